@@ -44,6 +44,8 @@ SPLIT = regex.compile(
 )
 # The characters of the White_Space property.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that are one token after a word of letters.
+MARKS = (".", ",", "!", "?", ";", ":")
 #: The rank of a merge that never happens.
 NEVER = 1 << 60
 CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -73,7 +75,9 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._edges: dict[bytes, tuple | None] = {}
+        self._prefix: dict[bytes, tuple[int, list]] = {}
         self._piece: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._token: dict[str, tuple[int, ...]] = {}
 
     def _edge_chains(self, t: bytes) -> tuple | None:
@@ -125,18 +129,29 @@ class PrefixCounter:
                 j += 1
 
     def byte_counts(self, word: bytes) -> list[int]:
-        """Tokens of each byte prefix of one pre-token, from length 0 on."""
+        """Tokens of each byte prefix of one pre-token, from length 0 on.
+
+        The state of a prefix, its count and the right edge of its last token,
+        is shared by all words that start with it.
+        """
         count, last = [0], [None]
         vocab, longest, edges, compatible = self.vocab, self.longest, self.edges, self.compatible
+        known = self._prefix if len(word) <= CACHED_PIECE else {}
+        if len(known) >= 2 * CACHE:
+            known.clear()
         for i in range(1, len(word) + 1):
-            for s in range(i - longest if i > longest else 0, i):
-                t = word[s:i]
-                if t in vocab and (e := edges(t)) and (s == 0 or compatible(last[s], e[0])):
-                    count.append(count[s] + 1)
-                    last.append(e[1])
-                    break
-            else:
-                raise ValueError("the vocabulary has no token for a byte")
+            head = word[:i] if len(word) <= CACHED_PIECE else i
+            state = known.get(head)
+            if state is None:
+                for s in range(i - longest if i > longest else 0, i):
+                    t = word[s:i]
+                    if t in vocab and (e := edges(t)) and (s == 0 or compatible(last[s], e[0])):
+                        state = known[head] = (count[s] + 1, e[1])
+                        break
+                else:
+                    raise ValueError("the vocabulary has no token for a byte")
+            count.append(state[0])
+            last.append(state[1])
         return count
 
     def _token_counts(self, token: str) -> tuple[int, ...]:
@@ -152,7 +167,7 @@ class PrefixCounter:
             if token in CONTRACTIONS:  # its first two characters alone are two pre-tokens
                 found = (found[0], 2, found[2])
             if len(token) <= CACHED_PIECE:
-                if len(self._token) >= CACHE:
+                if len(self._token) >= CACHE // 2:
                     self._token.clear()
                 self._token[token] = found
         return found
@@ -184,12 +199,23 @@ class PrefixCounter:
         return out
 
     def _piece_bytes(self, piece: str) -> bytes:
+        """A piece's counts as 16-bit numbers; of a full cache the last generation is kept."""
         if len(self._piece) >= CACHE:
-            self._piece.clear()
-        found = np.array(self._plain_piece(piece), "<u2").tobytes()
+            self._older, self._piece = self._piece, {}
+        found = self._older.get(piece) or np.array(self._short_piece(piece), "<u2").tobytes()
         self._piece[piece] = found
         return found
 
+    def _short_piece(self, piece: str) -> list[int]:
+        """The same as ``_plain_piece``; words of letters, and a mark after them, need no pattern."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            return list(self._token_counts(piece))
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            head = self._token_counts(piece[:-1])
+            return [*head, head[-1] + 1]
+        return self._plain_piece(piece)
+
     def _plain(self, text: str) -> np.ndarray:
         """Counts of the prefixes of a text without special strings."""
         if not text:
@@ -201,8 +227,7 @@ class PrefixCounter:
             pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if lens.max() <= CACHED_PIECE:
-            get = self._piece.get
-            inner = np.frombuffer(b"".join([get(p) or self._piece_bytes(p) for p in pieces]), "<u2").astype(np.int64)
+                        inner = np.frombuffer(b"".join([self._piece.get(p) or self._piece_bytes(p) for p in pieces]), "<u2").astype(np.int64)
         else:
             inner = np.concatenate([np.array(self._plain_piece(p), np.int64) for p in pieces])
         ends = np.cumsum(lens)
