@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _util, packing, pii, quality_rules, token_counts
+from . import _util, ngram_join, packing, pii, quality_rules, token_counts
 
 #: Token limit of the count query.
 BUDGET = 1024
@@ -36,11 +36,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_util.read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_util.read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_util.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     kept = quality_rules.filter_by_rules(docs, labels)
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_token_counts, op7_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_pii, op4_token_counts, op7_packing, op8_ngram_join, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

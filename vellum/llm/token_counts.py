@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import _util
 
 #: Entries that the caches of one Python worker hold at most; a full cache is emptied.
-CACHE = 200_000
+CACHE = 400_000
 #: Longest piece, in code points, whose counts are held in a cache as 16-bit numbers.
 CACHED_PIECE = 256
 
@@ -136,11 +138,12 @@ class PrefixCounter:
         """
         count, last = [0], [None]
         vocab, longest, edges, compatible = self.vocab, self.longest, self.edges, self.compatible
-        known = self._prefix if len(word) <= CACHED_PIECE else {}
-        if len(known) >= 2 * CACHE:
+        short = len(word) <= CACHED_PIECE
+        known = self._prefix if short else {}
+        if len(known) >= CACHE:
             known.clear()
         for i in range(1, len(word) + 1):
-            head = word[:i] if len(word) <= CACHED_PIECE else i
+            head = word[:i] if short else i
             state = known.get(head)
             if state is None:
                 for s in range(i - longest if i > longest else 0, i):
@@ -167,7 +170,7 @@ class PrefixCounter:
             if token in CONTRACTIONS:  # its first two characters alone are two pre-tokens
                 found = (found[0], 2, found[2])
             if len(token) <= CACHED_PIECE:
-                if len(self._token) >= CACHE // 2:
+                if len(self._token) >= CACHE // 8:
                     self._token.clear()
                 self._token[token] = found
         return found
@@ -199,23 +202,26 @@ class PrefixCounter:
         return out
 
     def _piece_bytes(self, piece: str) -> bytes:
-        """A piece's counts as 16-bit numbers; of a full cache the last generation is kept."""
+        """A piece's counts as 16-bit numbers; of a full cache the last generation is kept.
+
+        Words of letters, and a mark after them, need no pattern to be split.
+        """
         if len(self._piece) >= CACHE:
             self._older, self._piece = self._piece, {}
-        found = self._older.get(piece) or np.array(self._short_piece(piece), "<u2").tobytes()
+        found = self._older.get(piece)
+        if found is None:
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isalpha() and word.isascii():
+                found = array("H", self.byte_counts(piece.encode())[1:]).tobytes()
+            elif word[-1:] in MARKS and word[:-1].isalpha():
+                stem = piece[:-1]
+                head = self._piece.get(stem) or self._piece_bytes(stem)
+                found = head + (int.from_bytes(head[-2:], sys.byteorder) + 1).to_bytes(2, sys.byteorder)
+            else:
+                found = array("H", self._plain_piece(piece)).tobytes()
         self._piece[piece] = found
         return found
 
-    def _short_piece(self, piece: str) -> list[int]:
-        """The same as ``_plain_piece``; words of letters, and a mark after them, need no pattern."""
-        word = piece[1:] if piece[0] == " " else piece
-        if word.isalpha():
-            return list(self._token_counts(piece))
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            head = self._token_counts(piece[:-1])
-            return [*head, head[-1] + 1]
-        return self._plain_piece(piece)
-
     def _plain(self, text: str) -> np.ndarray:
         """Counts of the prefixes of a text without special strings."""
         if not text:
@@ -227,7 +233,7 @@ class PrefixCounter:
             pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if lens.max() <= CACHED_PIECE:
-                        inner = np.frombuffer(b"".join([self._piece.get(p) or self._piece_bytes(p) for p in pieces]), "<u2").astype(np.int64)
+                        inner = np.frombuffer(b"".join([self._piece.get(p) or self._piece_bytes(p) for p in pieces]), np.uint16).astype(np.int64)
         else:
             inner = np.concatenate([np.array(self._plain_piece(p), np.int64) for p in pieces])
         ends = np.cumsum(lens)
