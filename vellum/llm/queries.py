@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _util, ngram_join, packing, pii, quality_rules, token_counts
+from . import _util, chat_tools, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 #: Token limit of the count query.
 BUDGET = 1024
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_util.read_table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_util.read_table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind_no"] < len(pii.BASE_KINDS))
@@ -28,10 +32,25 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.read_calls(_util.read_table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, chat_tools.ASK).select("conv_id", "call_id", "turn", "level", "linked", "valid", "errors", "message")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_util.read_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), BUDGET)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (_util.read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontamination.find(docs, benchmark)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_util.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality_classifier.classify(docs, labels)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_util.read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -46,5 +65,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_token_counts, op7_packing, op8_ngram_join, op9_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_util.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.classify(docs, labels)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_pii, op3_chat_tools, op4_token_counts, op5_decontamination,
+        op6_quality_classifier, op7_packing, op8_ngram_join, op9_quality_rules, op10_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
