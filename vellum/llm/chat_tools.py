@@ -139,6 +139,6 @@ def read_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = lambda by: F.concat_ws(":", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("conv_id").cast("string")), (F.col("turn") - by).cast("string"))
     named = lambda by: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(by))
     arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.col("role").alias("role")))
-    calls = conversations.where("role = 'user'").select(F.col("conv_id").cast("long"), named(0).alias("call_id"), F.col("turn").cast("long"), F.lit("ask").alias("name"), arguments.alias("arguments"), named(2).alias("after"))
+    calls = conversations.where("role = 'user'").select(F.col("conv_id").cast("long"), named(0).alias("call_id"), F.col("turn").cast("long"), F.lit("ask").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, named(2)).alias("after"))
     results = conversations.where("role = 'assistant'").select(named(1).alias("call_id"), F.col("text").alias("result"))
     return calls, results

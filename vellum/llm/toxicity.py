@@ -5,9 +5,9 @@ words near them and overall, capitals, punctuation, and words whose letters are
 mixed with digits or signs, among them lexicon words so written.  Language,
 source and id are no features.
 
-The lexicon is a fixed list and the words that the training labels single out:
-those in at least ``MINED_DOCS`` toxic texts of the sample and ``MINED_ODDS``
-times likelier there.  Model and lexicon are learned from at most ``max_rows``
+The lexicon is a fixed list, and the words and word stems that the training
+labels single out: those in at least ``MINED_DOCS`` toxic texts of the sample
+and ``MINED_ODDS`` times likelier there, each weighted by the logarithm.  Model and lexicon are learned from at most ``max_rows``
 labelled texts, those with the smallest hash of their id, never from rows held
 out; the bound is a parameter and keeps the driver's memory fixed.  A third of
 the sample isn't fitted on and calibrates the scores.
@@ -40,33 +40,69 @@ LEXICON = frozenset(
 SECOND_PERSON = frozenset(b"you your yours yourself youre u ur du dich dir dein deine ihr euch tu te ti tus usted ustedes vous votre vos toi ton".split())
 NEAR = 5
 MAX_ROWS = 12_000
-MINED_WORDS, MINED_DOCS, MINED_ODDS = 500, 4, 8.0
+MINED_UNITS, MINED_DOCS, MINED_ODDS = 1000, 4, 5.0
+#: Lengths, in bytes, of the word starts that count as stems.
+STEMS = (5, 6, 7, 8)
+#: Words whose kind one Python worker holds at most.
+CACHE = 300_000
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MIXED = re.compile(rb"(?<![^\s.,;:!?\"'()])[a-z]+[0-9@$*!|+_.-]+[a-z][a-z0-9@$*!|+_.-]*|(?<![^\s])[0-9@$]+[a-z][a-z0-9@$*]*")
 _LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
-NAMES = ("density", "hits", "near", "second", "capitals", "loud", "punctuation", "mixed", "mixed_hits", "loud_hits", "length")
+NAMES = ("density", "hits", "near", "second", "capitals", "loud", "punctuation", "mixed", "mixed_hits", "loud_hits", "length", "stem_hits", "stem_density", "stem_weight")
 
 
-def features(text: bytes, lexicon: frozenset[bytes]) -> list[float]:
+def units(word: bytes) -> list[bytes]:
+    """A word and its stems; a stem is marked by a trailing dash."""
+    return [word, *[word[:k] + b"-" for k in STEMS if len(word) >= k]]
+
+
+class Lexicon(dict):
+    """The kind of a word: 0, or a bit for a lexicon word (1), for address (2), for a mined one (4)."""
+
+    def __init__(self, mined: dict[bytes, float]):
+        super().__init__()
+        self.mined = mined
+        self.words = LEXICON | {u for u in mined if not u.endswith(b"-")}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        kind = (word in self.words) + 2 * (word in SECOND_PERSON) + 4 * any(u in self.mined for u in units(word))
+        self[word] = kind
+        return kind
+
+    def __reduce__(self):
+        return Lexicon, (self.mined,)
+
+    def weight(self, word: bytes) -> float:
+        return max((self.mined.get(u, 0.0) for u in units(word)), default=0.0)
+
+
+_SIGNS = re.compile(rb"[^a-z]")
+
+
+def features(text: bytes, lexicon: Lexicon) -> list[float]:
     low = text.lower()
     words = low.translate(_KEEP).split()
     n = len(words)
     if not n:
         return [0.0] * len(NAMES)
-    hits = [k for k, w in enumerate(words) if w in lexicon]
-    second = sum(map(SECOND_PERSON.__contains__, words))
-    near = sum(1 for k in hits if not SECOND_PERSON.isdisjoint(words[max(0, k - NEAR) : k + NEAR + 1]))
+    kinds = bytes(map(lexicon.__getitem__, words))
+    marked = [k for k, kind in enumerate(kinds) if kind] if kinds.strip(b"\0") else []
+    hits = [k for k in marked if kinds[k] & 1]
+    second = sum(1 for k in marked if kinds[k] & 2)
+    stems = [lexicon.weight(words[k]) for k in marked if kinds[k] & 4]
+    near = sum(1 for k in hits if any(x & 2 for x in kinds[max(0, k - NEAR) : k + NEAR + 1]))
     b = np.frombuffer(text, np.uint8)
     letters = max(1, int(np.count_nonzero((b | 32) - 97 < 26)))
     capitals = int(np.count_nonzero(b - 65 < 26))
     mixed = _MIXED.findall(low)
-    signs = re.compile(rb"[^a-z]")
-    plain = [signs.sub(b"", w.translate(_LEET)) for w in mixed]
-    mixed_hits = sum(1 for w, bare in zip(mixed, plain) if bare in lexicon or _masked(w, lexicon))
+    mixed_hits = sum(1 for w in mixed if _SIGNS.sub(b"", w.translate(_LEET)) in lexicon.words or _masked(w, lexicon.words))
     loud_hits = sum(1 for w in {words[k] for k in hits} if w.upper() in text)
     return [
         len(hits) / n, float(len(hits)), near / n, second / n, capitals / letters, text.count(b"!") / n,
         sum(map(text.count, (b".", b",", b"?", b";", b":"))) / n, len(mixed) / n, float(mixed_hits), float(loud_hits), float(np.log1p(n)),
+        float(len(stems)), len(stems) / n, sum(stems),
     ]
 
 
@@ -168,7 +204,7 @@ def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    lexicon: frozenset[bytes]
+    lexicon: Lexicon
     trees: BoostedTrees | None
     points: tuple[np.ndarray, np.ndarray]
     share: float
@@ -190,42 +226,38 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     sample = usable.groupBy(F.col("doc_id").cast("long").alias("_lid")).agg(F.max("toxic").cast("int").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
     # The sample has max_rows ids at most, so it can be broadcast.
     texts = _util.id_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("_id") == F.col("_lid")).dropDuplicates(["_id"])
-    texts = _util.materialize(texts.select("_id", "_text", "_y"), "sample")
+    texts = _util.materialize(texts.select("_id", "_text", "_y", (F.pmod(F.xxhash64("_id"), F.lit(3)) != 2).alias("fit")), "sample")
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[bytes, int], int] = {}
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for w in set(text.lower().translate(_KEEP).split()):
-                    if 3 <= len(w) <= 40:
-                        found[w, y] = found.get((w, y), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.binary()), pa.array([c if k[1] else 0 for k, c in found.items()], pa.int64()), pa.array([c for c in found.values()], pa.int64())], ["word", "toxic", "all"])
+                for u in {u for w in set(text.lower().translate(_KEEP).split()) if 3 <= len(w) <= 40 for u in units(w)}:
+                    found[u, y] = found.get((u, y), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.binary()), pa.array([c if k[1] else 0 for k, c in found.items()], pa.int64()), pa.array([c for c in found.values()], pa.int64())], ["unit", "toxic", "all"])
 
-    total = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    total = texts.where("fit").agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     n, toxic = int(total[0]), int(total[1])
     share = toxic / n if n else 0.0
     if not 0 < toxic < n:
-        return Model(LEXICON, None, (np.zeros(1), np.zeros(1)), share)
-    counted = texts.mapInArrow(distinct_words, "word binary, toxic long, all long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("all").alias("b"))
+        return Model(Lexicon({}), None, (np.zeros(1), np.zeros(1)), share)
+    counted = texts.where("fit").select("_id", "_text", "_y").mapInArrow(distinct_units, "unit binary, toxic long, all long").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("all").alias("b"))
     odds = (F.col("a") / toxic) / ((F.col("b") - F.col("a") + 0.5) / (n - toxic + 1))
-    mined = counted.where((F.col("a") >= MINED_DOCS) & (odds >= MINED_ODDS)).orderBy(F.desc("a"), "word").limit(MINED_WORDS).collect()
-    lexicon = LEXICON | {bytes(r["word"]) for r in mined}
+    mined = counted.where((F.col("a") >= MINED_DOCS) & (odds >= MINED_ODDS)).select("unit", "a", F.log(odds).alias("weight")).orderBy(F.desc("a"), "unit").limit(MINED_UNITS).collect()
+    lexicon = Lexicon({bytes(r["unit"]): float(r["weight"]) for r in mined})
 
-    rows = texts.mapInArrow(_featurize(lexicon, extra=True), "id long, y int, x array<double>").toPandas().sort_values("id")
-    x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(float)
-    turn = np.arange(len(y)) % 3 == 2
-    if min(y[~turn].sum(), (1 - y[~turn]).sum(), y[turn].sum(), (1 - y[turn]).sum()) < 1:
-        turn = np.zeros(len(y), bool)
-    trees = BoostedTrees().fit(x[~turn], y[~turn])
-    test = turn if turn.any() else ~turn
-    return Model(frozenset(lexicon), trees, isotonic(trees.predict(x[test]), y[test]), share)
+    rows = texts.select("_id", "_text", "_y", "fit").mapInArrow(_featurize(lexicon), "id long, y int, fit boolean, x array<double>").toPandas().sort_values("id")
+    x, y, fit = np.array(rows["x"].tolist()), rows["y"].to_numpy(float), rows["fit"].to_numpy(bool)
+    trees = BoostedTrees().fit(x[fit], y[fit])
+    test = ~fit if min(y[~fit].sum(), (1 - y[~fit]).sum()) >= 1 else fit
+    return Model(lexicon, trees, isotonic(trees.predict(x[test]), y[test]), share)
 
 
-def _featurize(lexicon: frozenset[bytes], extra: bool):
+def _featurize(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array([features(t, lexicon) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), x], ["id", "y", "fit", "x"])
 
     return run
 
