@@ -10,6 +10,8 @@ at once: a pair whose prefixes are disjoint under one of them is no pair.
   prefix elements propose pairs (a join on the element).
 * Orders 1 and 2 are independent hash orders; their prefixes are intersected
   before a pair's whole sets are.
+* Parity bitmaps, a thirty-second of the size of a set, come before both: bits
+  that differ are elements that differ, so too many of them rule a pair out.
 
 Any order is correct; the shingles that order 0 knows as common only steer the cost.
 
@@ -47,6 +49,8 @@ from . import _util
 CACHE = 300_000
 #: Shingles that order 0 knows as common: the most frequent, this many at most.
 COMMON = 50_000
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Partners of one hub that are compared in one run of rows.
 FAN = 500
 
@@ -198,16 +202,58 @@ def prefix_rows(docs: DataFrame, size: int, threshold: int, common: tuple[np.nda
     return _util.id_text(docs, id_col, text_col).mapInArrow(run, "token long, id long, n int")
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """The parity of the elements of each of ``2n`` to ``4n`` classes, as bits."""
+    bits = 1 << (2 * len(tokens) - 1).bit_length()
+    classes = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=max(8, bits))
+    return np.packbits(classes & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the elements that two sets don't share, from their signatures."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size_x, size_y = 8 * len(a), 8 * len(b)
+    while size_x > size_y:  # halves of a parity bitmap fold into the next smaller one
+        size_x //= 2
+        x = (x >> size_x) ^ (x & ((1 << size_x) - 1))
+    while size_y > size_x:
+        size_y //= 2
+        y = (y >> size_y) ^ (y & ((1 << size_y) - 1))
+    return (x ^ y).bit_count()
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that their sizes and signatures don't rule out."""
+    of = lambda side: sets.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("sig").alias(f"{side}_sig"))
+    hub, member = of("hub"), of("member")
+    sized = pairs.join(hub, pairs["hub"] == hub["hub_id"]).join(member, F.col("member") == F.col("member_id"))
+    sized = sized.where(100 * F.least("hub_n", "member_n") >= threshold * F.greatest("hub_n", "member_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hub, member, m, n, a, b = (batch.column(k).to_pylist() for k in range(6))
+            fits = [(100 + threshold) * differing(p, q) <= (100 - threshold) * (i + j) for i, j, p, q in zip(m, n, a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fits)), batch.column(1).filter(pa.array(fits))], ["hub", "member"])
+
+    return sized.select("hub", "member", "hub_n", "member_n", "hub_sig", "member_sig").mapInArrow(run, "hub long, member long").distinct()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, set`` of the wanted ids; a set is the bytes of its sorted hashes."""
+    """``id, n, sig, set`` of the wanted ids; a set is the bytes of its sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            cells = [pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["id", "n", "sig", "set"])
 
     texts = _util.id_text(docs, id_col, text_col)
-    return texts.join(wanted, texts["_id"] == wanted["id"], "left_semi").mapInArrow(run, "id long, set binary")
+    return texts.join(_small(wanted), texts["_id"] == wanted["id"], "left_semi").mapInArrow(run, "id long, n int, sig binary, set binary")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are counted to be few; else a join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int, orders: tuple[int, ...]) -> DataFrame:
@@ -291,8 +337,9 @@ def link(
     classes = rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # Copies of a smaller id go no further; they are few columns and join by their class.
     copies = rows.where("n > 0").join(classes.where("copies > 1"), ["k1", "k2"]).where("id != rep").select("id").distinct()
+    copies = _util.materialize(copies, "copies")
     texts = docs.select(F.col(id_col).alias("_vid"), F.col(text_col).alias("_vtext"))
-    firsts = texts.join(copies, texts["_vid"] == copies["id"], "left_anti")
+    firsts = texts.join(_small(copies), texts["_vid"] == copies["id"], "left_anti")
 
     elements = prefix_rows(firsts, size, threshold, common, "_vid", "_vtext")
     by_token = Window.partitionBy("token")
@@ -301,9 +348,9 @@ def link(
     members = _util.materialize(grouped.where("id != leader"), "members")
     near = members.select(F.col("leader").alias("hub"), F.col("id").alias("member")).distinct()
     pairs = _util.materialize(near, "pairs")
-    wanted = pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct()
+    wanted = _util.materialize(pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct(), "wanted")
     sets = _util.materialize(sets_of(firsts, wanted, size, "_vid", "_vtext"), "sets")
-    led = _util.materialize(verify(pairs, sets, threshold, orders), "led")
+    led = _util.materialize(verify(_util.materialize(plausible(pairs, sets, threshold), "plausible"), sets, threshold, orders), "led")
 
     apart = members.join(led, (members["leader"] == led["hub"]) & (members["id"] == led["member"]), "left_anti").select("token", F.col("id").alias("hub"), F.col("n").alias("hub_n"))
     others = members.select("token", F.col("id").alias("member"), "n")
@@ -311,7 +358,7 @@ def link(
     rest = apart.join(others, "token").where(similar_size)
     # A pair of two members apart from the leader comes twice: once is enough.
     rest = rest.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
-    crossed = verify(_util.materialize(rest, "rest"), sets, threshold, orders)
+    crossed = verify(_util.materialize(plausible(rest, sets, threshold), "plausible"), sets, threshold, orders)
 
     of = components(led.union(crossed))
     labels = classes.join(of, classes["rep"] == of["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from . import _util
 
-DIM = 4096
+DIM = 2048
 #: Labelled rows that the model is fitted and calibrated on, at most.
 MAX_ROWS = 4000
 
 
 def _mark(name: int, level: int) -> int:
-    return (name * 40503 + level * 9973 + 1013904223) * 2654435761 % (1 << 32) >> 20
+    return (name * 40503 + level * 9973 + 1013904223) * 2654435761 % (1 << 32) >> 21
 
 
 def _level(share: float) -> int:
@@ -48,7 +48,7 @@ def features(text: bytes) -> np.ndarray:
     if len(b) >= 3:
         gram = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
         gram ^= gram >> np.uint32(15)
-        x = np.bincount((gram * np.uint32(0x2C1B3C6D)) >> np.uint32(20), minlength=DIM).astype(np.float32)
+        x = np.bincount((gram * np.uint32(0x2C1B3C6D)) >> np.uint32(21), minlength=DIM).astype(np.float32)
         x /= len(gram)
     else:
         x = np.zeros(DIM, np.float32)
