@@ -18,9 +18,10 @@ Any order is correct; the shingles that order 0 knows as common only steer the c
 Groups are never expanded into all pairs.  Equal sets are one class and only
 its smallest id goes on.  In each group of a prefix element every member is
 compared with the smallest id, the leader.  Members linked with the leader are
-connected by it, so only members that are *not* linked with it are then
-compared with the rest of the group.  Every pair of classes that can be similar
-and isn't connected through a leader is thus compared, and no component is lost.
+connected by it.  Members that no chain of links joins to the leader choose the
+smallest of them as a second leader, and what is apart even then is compared
+with all of the group that it isn't joined to.  Every pair of classes that can
+be similar and isn't connected anyway is thus compared; no component is lost.
 
 Comparisons are streamed: the set of one side stands first in its partition's
 rows, the other sides follow, and a hub with many partners is dealt to many
@@ -325,6 +326,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("id").alias("_id"), F.col("component").alias("_cid"))
+
+
+def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with their own and their leader's component, as a table."""
+    of = _util.materialize(_labels(links), "components")
+    own = members.join(of, members["id"] == of["_id"], "left").select("token", "id", "n", "leader", F.coalesce("_cid", "id").alias("cid"))
+    led = own.join(of, own["leader"] == of["_id"], "left").select("token", "id", "n", "leader", "cid", F.coalesce("_cid", "leader").alias("leader_cid"))
+    return _util.materialize(led, "state")
+
+
 def link(
     docs: DataFrame, threshold: int = 80, size: int = 5, orders: tuple[int, ...] = (1, 2), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -352,15 +365,26 @@ def link(
     sets = _util.materialize(sets_of(firsts, wanted, size, "_vid", "_vtext"), "sets")
     led = _util.materialize(verify(_util.materialize(plausible(pairs, sets, threshold), "plausible"), sets, threshold, orders), "led")
 
-    apart = members.join(led, (members["leader"] == led["hub"]) & (members["id"] == led["member"]), "left_anti").select("token", F.col("id").alias("hub"), F.col("n").alias("hub_n"))
-    others = members.select("token", F.col("id").alias("member"), "n")
-    similar_size = (100 * F.least("hub_n", "n") >= threshold * F.greatest("hub_n", "n")) & (F.col("hub") != F.col("member"))
-    rest = apart.join(others, "token").where(similar_size)
+    # Members that no chain of links joins to their leader get a second leader among themselves.
+    links = led
+    state = _with_components(members, links)
+    second = state.where("cid != leader_cid").withColumn("hub", F.min("id").over(by_token)).select("token", "hub").distinct()
+    second = second.join(state.select(F.col("id").alias("_id"), F.col("cid").alias("_cid")).distinct(), F.col("hub") == F.col("_id")).select("token", "hub", F.col("_cid").alias("hub_cid"))
+    near = state.join(second, "token").where("cid != hub_cid").select("hub", F.col("id").alias("member")).distinct()
+    near = _util.materialize(plausible(near, sets, threshold), "plausible")
+    links = _util.materialize(links.union(verify(near, sets, threshold, orders)), "linked")
+
+    # What is still apart is compared with all that it isn't joined to.
+    state = _with_components(members, links)
+    apart = state.where("cid != leader_cid").select("token", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("cid").alias("hub_cid"))
+    others = state.select("token", F.col("id").alias("member"), "n", "cid")
+    similar_size = 100 * F.least("hub_n", "n") >= threshold * F.greatest("hub_n", "n")
+    rest = apart.join(others, "token").where(similar_size & (F.col("hub_cid") != F.col("cid")))
     # A pair of two members apart from the leader comes twice: once is enough.
     rest = rest.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
     crossed = verify(_util.materialize(plausible(rest, sets, threshold), "plausible"), sets, threshold, orders)
 
-    of = components(led.union(crossed))
+    of = components(links.union(crossed))
     labels = classes.join(of, classes["rep"] == of["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = rows.join(labels, ["k1", "k2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))).alias("component_id"))
