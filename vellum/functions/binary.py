@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def byte_array(c: Column) -> Column:
@@ -83,7 +84,7 @@ def crc64_bytes(data: bytes, state: int = 0) -> int:
     return crc ^ 0xFFFFFFFFFFFFFFFF
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def crc64(data: pd.Series) -> pd.Series:
     """CRC-64 of the xz format, as 16 hex digits."""
     return data.map(lambda b: None if b is None else f"{crc64_bytes(bytes(b)):016x}")
@@ -101,7 +102,7 @@ def blake2sp_bytes(data: bytes) -> bytes:
     return root.digest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake2sp(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else blake2sp_bytes(bytes(b)).hex())
 
