@@ -1,0 +1,459 @@
+"""Each operator against a brute-force version, and the defined result of each odd case."""
+
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from vellum.llm import chat_tools, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, id long, n int, token string, _id int, _text string"
+WORDS = "the of and in to is was for on with as by at from that are be this a an alpha beta gamma delta omega river stone".split()
+
+
+def documents(spark, texts, start=0):
+    """Rows with extra columns whose names clash with those the operators use inside."""
+    return spark.createDataFrame([(k + start, t, "en", 7, 7, "x", 7, "x") for k, t in enumerate(texts)], SCHEMA)
+
+
+def odd(spark):
+    rng = random.Random(5)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(20_000))
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, long), (4, "one two"), (4, "one two"), (None, "one two three four five six"), (5, "é" * 50 + " 😀 " + "x" * 5000)]
+    return spark.createDataFrame([(i, t, None, 7, 7, None, 7, "x") for i, t in rows], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+# Token counts
+
+
+@pytest.fixture(scope="module")
+def bytes_bpe():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_prefix_counts_equal_the_library_at_every_prefix(bytes_bpe):
+    table, rng = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    parts = ["a", "the", " ", "  ", "\n", "'re", "'s", "'", "l", "ll", "é", "😀", "1", "23", "!", "?!", "\t", "\x1c", "\x85", "<|endoftext|>", "<|endo", "漢字", "Hello", "'ve", "\r\n", "ing", "\u3000"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        want = [len(bytes_bpe.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)]
+        assert table.counts(text).tolist() == want, text
+
+
+def test_token_counts(spark, bytes_bpe):
+    out = {(r.doc_id, r.n_bytes): r for r in token_counts.token_counts(odd(spark), public_tokenizers.path("byte_bpe_50k.json"), 1024, store_prefixes=True).collect()}
+    for r in odd(spark).collect():
+        got = out[r.doc_id, len((r.text or "").encode())]
+        n = len(bytes_bpe.encode(r.text or "", add_special_tokens=False).ids)
+        assert got.n_tokens == n and got.over_limit == (n > 1024) and len(got.prefix_counts) == len(r.text or "")
+        if n > 1024:
+            assert len(bytes_bpe.encode(r.text[: got.fit_chars]).ids) <= 1024 < len(bytes_bpe.encode(r.text[: got.fit_chars + 1]).ids)
+    assert token_counts.token_counts(empty(spark), public_tokenizers.path("byte_bpe_50k.json"), 9).count() == 0
+
+
+def test_truncate_needs_no_encoding(spark):
+    docs = documents(spark, ["one two three four", "one"])
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert sorted(r.text for r in token_counts.truncate(counted, docs).collect()) == ["one", "one two"]
+
+
+# Packing
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packing_is_a_round_trip(spark, parts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS).title() + rng.choice(["", ",", "!!", "'s", "7"]) for _ in range(rng.choice([0, 3, 50, 900]))) for _ in range(60)]
+    docs = documents(spark, texts).union(odd(spark).where("doc_id is null or doc_id <> 4").withColumn("doc_id", F.col("doc_id") + 1000)).repartition(parts)
+    docs = spark.createDataFrame(docs.collect(), SCHEMA).coalesce(parts)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).collect()
+    for r in docs.collect():
+        want = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        mine = sorted((p for p in pieces if p.doc_id == r.doc_id), key=lambda p: p.start)
+        assert [x for p in mine for x in p.ids] == want and all(p.doc_tokens == len(want) for p in mine)
+        assert [p.start for p in mine] == [sum(q.length for q in mine[:k]) for k in range(len(mine))]
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) and p.length == len(p.ids)
+    total = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == total.get(p.sequence_id, 0)
+        total[p.sequence_id] = p.offset + p.length
+    assert all(n <= 4096 and (n & (n - 1)) == 0 for n in total.values())
+    assert packing.pack(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_balance_evens_the_cost():
+    rng = random.Random(6)
+    pieces = [packing.Piece(k, 0, bytes(4 * n), n) for k, n in enumerate(rng.choice([20, 100, 700, 3000]) for _ in range(300))]
+    n = sum(p.length for p in pieces) // 4096
+    full, rest = packing.balance(pieces, n, 4096, 1.0, 1 / 4096)
+    assert all(sum(p.length for p in s) == 4096 for s in full) and sum(p.length for p in rest) < 4096
+    cost = [sum(p.length + p.length**2 / 4096 for p in s) for s in full]
+    naive = [3000 + 3000**2 / 4096 + 1096 + 1096**2 / 4096, 4096 + 41 * 100**2 / 4096]
+    assert max(cost) - min(cost) < max(naive) - min(naive)
+
+
+# Personal data
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            fits = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}
+            if fits[kind]:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_pii_equals_the_plain_patterns(spark):
+    rng = random.Random(7)
+    parts = ["a@b.c", "_", "x@y", "@z.com", ".d@e.f", "1.2.3.4", "256.1.1.1", ".5", "00012.1.1.1", "4465758382889437", "4465 7583-8288 9437", " ", "-", "7", "+1 (234) 555-6789", "+", "é", "😀", "12345678901234567890", "%", ".", "\n", "(", "+49 30 1234567890"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["9" * 60_000, "a." * 20_000, "+1" + " " * 9000, "1." * 20_000]
+    found = pii.find(documents(spark, texts)).select("doc_id", pii.joined(F.filter("found", lambda s: s["kind_no"] < 4)).alias("base"), pii.joined(F.col("found")).alias("all")).collect()
+    for r in found:
+        assert r.base == base_spans(texts[r.doc_id]), texts[r.doc_id][:200]
+        assert set(r.base.split(",")) <= set(r["all"].split(",")) or not r.base
+
+
+def test_pii_checksums_and_context(spark):
+    texts = ["IBAN DE89370400440532013000 ok", "IBAN DE89370400440532013001 no", "ssn: 123-45-6789", "code 123-45-6789", "call 555-123-4567", "x 555-123-4567"]
+    got = {r.doc_id: r.s for r in pii.find(documents(spark, texts)).select("doc_id", pii.joined(F.col("found")).alias("s")).collect()}
+    assert got == {0: "iban:5:27", 1: "", 2: "national_id:5:16", 3: "", 4: "local_phone:5:17", 5: ""}
+
+
+def test_pii_redaction(spark):
+    docs = documents(spark, ["é a@b.cd, 1.2.3.4!", "none", "", "+49 30 1234567890 and +44465758382889437"])
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    texts = [r.text for r in out.orderBy("doc_id").collect()]
+    assert texts[:3] == ["é [EMAIL], [IP]!", "none", ""] and "1234567890" not in texts[3]
+    left = pii.find(out).where(F.size("found") > 0).count()
+    assert left == 0
+    assert sorted(map(str, (r.text for r in pii.redact(odd(spark)).collect()))) == sorted(map(str, (r.text for r in odd(spark).collect())))
+    assert pii.redact(empty(spark)).count() == 0
+
+
+# Rules
+
+
+def plain_measures(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    seen = {}
+    for w in windows:
+        seen[w] = seen.get(w, 0) + 1
+    covered = {j for k, w in enumerate(windows) if seen[w] > 1 for j in (k, k + 1, k + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rule_measures(spark):
+    rng = random.Random(8)
+    texts = [rng.choice([" ", "\n", "\x0b "]).join(rng.choice(WORDS[:6] + ["é#", "a|b", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(150)] + [" ", "a b c a b c", "a a a a"]
+    for docs, plain in ((documents(spark, texts), dict(enumerate(texts))), (odd(spark).where("doc_id is not null").dropDuplicates(["doc_id"]), {r.doc_id: r.text for r in odd(spark).collect()})):
+        for r in quality_rules.measures(docs).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(plain[r.doc_id])
+
+
+def test_binomial_tail(spark):
+    cases = [(0, 10, 0.1), (3, 50, 0.1), (20, 1000, 0.02), (5, 20_000, 0.02), (0, 0, 0.1)]
+    for k, n, p in cases:
+        got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
+        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+        assert got == pytest.approx(want, rel=1e-6, abs=1e-300)
+
+
+def test_cutoffs_bound_false_rejection(spark):
+    # 1000 good texts of which 1 in 40 has many symbols: the strict cutoffs would reject 2.5 %.
+    measured = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), *[F.lit(0.0).alias(r) for r in quality_rules.CUTOFFS if r != "symbol_ratio"], F.when(F.col("id") % 40 == 0, 0.15).otherwise(0.0).alias("symbol_ratio"))
+    good = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    chosen = {(s, r): c for s, r, c in quality_rules.select_cutoffs(measured, good.union(good))}
+    assert chosen["en", "symbol_ratio"] == 0.20 and chosen["en", "dup_line_ratio"] == 0.10
+    assert quality_rules.select_cutoffs(measured, labels(spark)) == []
+
+
+def test_rules_on_odd_rows(spark):
+    out = quality_rules.filter_by_rules(odd(spark), labels(spark)).collect()
+    assert len(out) == 8 and {r.doc_id: r.kept for r in out}[3] and not {r.doc_id: r.kept for r in out}[0]
+    assert quality_rules.filter_by_rules(empty(spark), labels(spark)).count() == 0
+
+
+# Similarity join
+
+
+def near_texts(rng, groups=12):
+    out = []
+    for _ in range(groups):
+        base = [rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.choice([3, 5, 8, 60, 200]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = "changed" + str(rng.randrange(9))
+            out.append(rng.choice([" ", "  ", "\n"]).join(copy).upper())
+    common = "the common line that many share with each other here and there"
+    return out + [f"{common} {' '.join(rng.choice(WORDS) for _ in range(4))}" for _ in range(30)] + ["", " ", "a b", "A  b"]
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return {k: (len(sets[k]), root[k]) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_equals_all_pairs(spark, seed):
+    texts = near_texts(random.Random(seed))
+    docs = documents(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()}
+    want = brute_components(texts)
+    assert got == want
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
+
+
+def test_prefixes_of_similar_sets_meet_under_every_order():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(1, 80))
+        a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: max(1, int(n * 0.95))], rng.integers(0, 1 << 60, max(0, n // 20)).astype(np.uint64)]))
+        a = np.unique(a)
+        both = ngram_join.overlap(a, b)
+        assert both == len(set(a.tolist()) & set(b.tolist()))
+        differ = len(a) + len(b) - 2 * both
+        assert ngram_join.differing(ngram_join.signature(a), ngram_join.signature(b)) <= differ
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            common = (np.sort(a[:5]), np.arange(1, len(a[:5]) + 1).astype(np.uint64))
+            for order, known in ((0, common), (1, None), (2, None)):
+                assert ngram_join.shares(ngram_join.prefix(a, order, 80, known), ngram_join.prefix(b, order, 80, known))
+
+
+def test_join_on_odd_rows(spark):
+    out = ngram_join.link(odd(spark)).collect()
+    assert len(out) == 8
+    by = {(r.doc_id, r.n_shingles): r.component_id for r in out}
+    assert by[0, 0] == 0 and by[1, 0] == 1 and by[2, 0] == 2 and by[4, 1] == 4 and by[None, 2] is None
+    kept = [r.doc_id for r in ngram_join.keep_one(odd(spark)).collect()]
+    assert sorted(kept, key=str) == [0, 1, 2, 3, 4, 5, None]
+    assert ngram_join.link(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)]
+    root = list(range(500))
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    got = {r.id: r.component for r in ngram_join.components(spark.createDataFrame(edges, "hub long, member long")).collect()}
+    assert got == {k: root[k] for k in got} and all(k in got for k in range(500) if root[k] != k)
+
+
+# Decontamination
+
+
+def test_decontamination_tolerates_substitutions(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (40, 25, 15, 8)]
+    clean = [word() for _ in range(300)]
+    changed = list(items[0])
+    for k in (7, 19, 33):
+        changed[k] = "other"
+    texts = [
+        " ".join(clean), " ".join(clean[:50] + items[0] + clean[50:]), " ".join(clean[:9] + changed + clean[9:]), (", ".join(items[1]) + "!").upper(),
+        " ".join(clean[:40] + items[2]), " ".join(items[3]), " ".join(items[3][:7]), " ".join(items[0][:9] + clean[:30]), "", None,
+    ]
+    benchmark = spark.createDataFrame([(k, " ".join(w), "x") for k, w in enumerate(items)] + [(9, None, "x"), (8, "the", "x")], "item_id long, text string, id string")
+    found = decontamination.find(documents(spark, texts), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 0), (2, 0), (3, 1), (4, 2), (5, 3)}
+    by = {r.doc_id: r for r in found}
+    assert (by[1].start_word, by[1].overlap_words, by[1].equal_words) == (50, 40, 40) and (by[2].overlap_words, by[2].equal_words) == (40, 37)
+    kept = decontamination.remove(documents(spark, texts), benchmark)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 6, 7, 8, 9]
+    assert decontamination.find(odd(spark), benchmark).count() == 0 and decontamination.find(empty(spark), benchmark).count() == 0
+    assert decontamination.find(odd(spark), benchmark.limit(0)).count() == 0 and decontamination.remove(odd(spark), benchmark).count() == 8
+
+
+def test_blocks_give_the_same_matches(spark, small, monkeypatch):
+    docs, benchmark = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    whole = sorted(map(tuple, decontamination.find(docs, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 3000)
+    assert whole and sorted(map(tuple, decontamination.find(docs, benchmark).collect())) == whole
+
+
+# Learned operators
+
+
+def test_cumulative_links_keep_their_order():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 5)).astype(np.float32)
+    y = np.digitize(x @ np.array([2, -1, 0.5, 0, 0]) + rng.logistic(size=600) * 0.3, [-1, 1])
+    w, theta = quality_classifier.fit(x, y)
+    assert (np.diff(theta) > 0).all()
+    tails = quality_classifier.Model(w.astype(np.float32), theta, 0.0).tails(x)
+    assert (tails[:, 0] >= tails[:, 1]).all() and ((tails > 0.5).sum(1) == y).mean() > 0.8
+
+
+def test_quality_keeps_good_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality_classifier.classify(docs, known).join(known, "doc_id").toPandas()
+    assert out.kept[out.quality == 1].mean() > 0.97 and out.kept[out.quality == 0].mean() < 0.2
+    assert quality_classifier.classify(odd(spark), labels(spark)).where("kept and tail_probability = 1").count() == 8
+    assert quality_classifier.classify(odd(spark), known).count() == 8 and quality_classifier.classify(empty(spark), known).count() == 0
+    assert quality_classifier.keep_good(odd(spark), labels(spark)).columns == odd(spark).columns
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    p, y = np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1])
+    at, value = toxicity.isotonic(p, y)
+    assert value.tolist() == [0, 0.5, 1] or value.tolist() == [0, 0.5, 1, 1]
+    assert (np.diff(at) > 0).all()
+
+
+def test_trees_learn_an_interaction():
+    rng = np.random.default_rng(14)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.5)).astype(float)
+    p = toxicity.BoostedTrees().fit(x, y).predict(x)
+    assert ((p > 0.5) == (y > 0)).mean() > 0.98
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.classify(docs, known).join(known, "doc_id").toPandas()
+    assert all((zlib.crc32(str(d).encode()) % 4 == 2) == h for d, h in zip(out.doc_id, out.held_out))
+    held = out[out.held_out]
+    assert held.predicted[held.toxic == 1].mean() > 0.8 and held.predicted[held.toxic == 0].mean() < 0.03
+    assert ((out.score >= 0.3).astype(int) == out.predicted).all() and out.score.between(0, 1).all()
+
+
+def test_toxicity_never_learns_from_held_out_rows(spark):
+    docs = documents(spark, ["you idiot " * 5, "fine words"] * 60)
+    good = [(k, 1, k % 2 == 0) for k in range(120)]
+    rows = [(k, q, int(t)) for k, q, t in good]
+    lied = [(k, q, 1 - t if zlib.crc32(str(k).encode()) % 4 == 2 else t) for k, q, t in rows]
+    score = lambda known: sorted(map(tuple, toxicity.classify(docs, labels(spark, known)).collect()))
+    assert score(rows) == score(lied)
+    assert toxicity.classify(odd(spark), labels(spark)).where("score = 0 and predicted = 0").count() == 8
+    assert toxicity.classify(empty(spark), labels(spark, rows)).count() == 0
+
+
+# Urls
+
+
+def plain_rule(host, path):
+    best = None
+    for suffix, start, verdict in url_filter.RULES:
+        if (host == suffix or host.endswith("." + suffix)) and path.startswith(start):
+            if best is None or len(suffix + start) > len(best[0]):
+                best = (suffix + start, verdict)
+    return best
+
+
+def test_rules_and_verdicts(spark):
+    urls = [None, "no scheme", "http://A.Example.COM/en/x?y", "https://www.example.com/en/1#z", "http://b.example.net/es/", "http://b.example.net/de/", "x://com", "x://com/", "http://notcom/", "https://u:p@b.net/fr/é", "http://h.org?x://y", "a://b.com//en/"]
+    pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id long, url string, score int")
+    out = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    for k, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split(r"[/?#]", rest)[0].lower()
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        want = plain_rule(host, path)
+        assert (out[k].host, out[k].path, out[k].rule) == (host, path, want and want[0]), u
+        assert out[k].verdict == (want[1] if want else out[k].verdict) and out[k].verdict in ("allow", "block")
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_models_tell_classes_apart(spark):
+    rng = random.Random(15)
+    urls = [(f"a{rng.randrange(999)}.com/news/{rng.randrange(9999)}".encode(), 1) for _ in range(300)] + [(f"x{rng.randrange(999)}.net/es/pills-{rng.randrange(9999)}".encode(), 0) for _ in range(300)]
+    model = url_filter.train(spark.createDataFrame(urls, "text binary, label int"))
+    assert model.score(b"a12.com/news/55") > 0 > model.score(b"x77.net/es/pills-1")
+    again = url_filter.train(spark.createDataFrame(urls, "text binary, label int").repartition(7))
+    assert (again.tables == model.tables).all()
+    assert url_filter.train(spark.createDataFrame(urls[:5], "text binary, label int")) is None
+
+
+# Tool calls
+
+
+def test_tool_calls(spark):
+    schema = {"add": [("a", "integer", True), ("b", "number", False)]}
+    calls = spark.createDataFrame(
+        [
+            (1, "c1", 0, "add", '{"b":2.50, "a":1}', None), (1, "c2", 2, "add", '{"a":"x"}', "c1"), (1, "c3", 4, "add", "{}", "c2"), (2, "c4", 0, "add", "oops", "none"),
+            (2, "c5", 0, "run", "{}", "c6"), (2, "c6", 1, "add", '{"a":1}', "c5"), (3, None, 0, "add", None, None), (1, "c1", 0, "add", '{"b":2.50, "a":1}', None),
+        ],
+        "conv_id long, call_id string, turn long, name string, arguments string, after string",
+    )
+    results = spark.createDataFrame([("c1", 'say "é"\n'), ("c1", 'say "é"\n'), ("c3", "ok"), ("zz", "lost")], "call_id string, result string")
+    out = {r.call_id: r for r in chat_tools.link(calls, results, schema).collect()}
+    assert len(out) == 7
+    assert {k: r.level for k, r in out.items()} == {"c1": 0, "c2": 1, "c3": 2, "c4": 0, "c5": None, "c6": None, None: 0}
+    assert {k: r.errors for k, r in out.items()} == {"c1": "", "c2": "a: type", "c3": "a: missing", "c4": "json", "c5": "tool", "c6": "", None: "json"}
+    assert {k for k, r in out.items() if r.linked} == {"c1", "c3"}
+    assert out["c1"].message == '{"after":null,"arguments":{"a":1,"b":2.5},"call_id":"c1","name":"add","result":"say \\"é\\"\\n"}'
+    assert all(json.loads(r.message)["call_id"] == k for k, r in out.items())
+    assert [r.call_id for r in chat_tools.orphan_results(calls, results).collect()] == ["zz"]
+
+
+def test_long_chains_take_few_joins(spark):
+    calls = spark.range(300).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.col("id").alias("turn"), F.lit("x").alias("name"), F.lit("{}").alias("arguments"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
+    assert {r.call_id: r.level for r in chat_tools.levels(calls).collect()} == {str(k): k for k in range(300)}
+
+
+def test_conversations(spark, small):
+    calls, results = chat_tools.read_calls(spark.read.parquet(f"{small}/conversations.parquet"))
+    out = chat_tools.link(calls, results, chat_tools.ASK).toPandas()
+    assert out.valid.all() and len(out) == calls.count() and out.level.max() >= 1
+    blank = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    calls, results = chat_tools.read_calls(blank)
+    assert chat_tools.link(calls, results, chat_tools.ASK).count() == 0
+    nulls = spark.createDataFrame([(None, 0, "user", "a"), (1, None, "user", None), (1, 1, None, "b"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    calls, results = chat_tools.read_calls(nulls)
+    assert chat_tools.link(calls, results, chat_tools.ASK).where("call_id is null").count() == 2
+
+
+def test_sha_of_spans(spark):
+    r = pii.find(documents(spark, ["a@b.cd"])).select(F.sha2(pii.joined(F.col("found")), 256)).first()[0]
+    assert r == hashlib.sha256(b"email:0:6").hexdigest()

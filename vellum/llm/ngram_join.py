@@ -205,8 +205,8 @@ def prefix_rows(docs: DataFrame, size: int, threshold: int, common: tuple[np.nda
 
 def signature(tokens: np.ndarray) -> bytes:
     """The parity of the elements of each of ``2n`` to ``4n`` classes, as bits."""
-    bits = 1 << (2 * len(tokens) - 1).bit_length()
-    classes = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=max(8, bits))
+    bits = max(8, 1 << (2 * len(tokens) - 1).bit_length())
+    classes = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(classes & 1, bitorder="little").tobytes()
 
 
