@@ -32,6 +32,8 @@ from . import _util
 
 #: Entries that the word cache of one Python worker holds at most; a full cache is emptied.
 CACHE = 300_000
+#: Words that are encoded together.
+JOINED = 500
 #: Full sequences in one window.
 WINDOW = 256
 
@@ -51,9 +53,26 @@ class WordEncoder:
         self.library.no_padding()
         self._encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.cache: dict[str, bytes] = {"": b""}
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self._encode(words, add_special_tokens=False)):
+        """Encode words of letters many at a time; the ids that end a word tell them apart."""
+        single = [w for w in words if not w.isalpha()]
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), JOINED):
+            some = letters[at : at + JOINED]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):  # a letter has become more than letters in lower case
+                single += some
+                continue
+            raw, low = ids.tobytes(), 0
+            for word, high in zip(some, (4 * ends).tolist()):
+                self.cache[word] = raw[low:high]
+                low = high
+        for word, found in zip(single, self._encode(single, add_special_tokens=False)):
             self.cache[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
