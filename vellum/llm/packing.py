@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from . import _util
 
 #: Entries that the word cache of one Python worker holds at most; a full cache is emptied.
-CACHE = 300_000
+CACHE = 600_000
 #: Words that are encoded together.
 JOINED = 500
 #: Full sequences in one window.
