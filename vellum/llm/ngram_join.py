@@ -17,9 +17,10 @@ Any order is correct; the shingles that order 0 knows as common only steer the c
 
 Groups are never expanded into all pairs.  Equal sets are one class and only
 its smallest id goes on.  In each group of a prefix element every member is
-compared with the smallest id, the leader.  Members linked with the leader are
-connected by it.  Members that no chain of links joins to the leader choose the
-smallest of them as a second leader, and what is apart even then is compared
+compared with the leader: the one whose own prefix is the most common, which
+the text that others vary is.  Members linked with the leader are connected by
+it.  Members that no chain of links joins to the leader choose a second leader
+among them in the same way, and what is apart even then is compared
 with all of the group that it isn't joined to.  Every pair of classes that can
 be similar and isn't connected anyway is thus compared; no component is lost.
 
@@ -49,7 +50,9 @@ from . import _util
 #: Distinct words whose hashes one Python worker holds at most; a full cache is emptied.
 CACHE = 300_000
 #: Shingles that order 0 knows as common: the most frequent, this many at most.
-COMMON = 50_000
+COMMON = 200_000
+#: Shingles that are counted together before their common ones are passed on, and the count from which they are.
+BLOCK, OFTEN = 1_000_000, 3
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Partners of one hub that are compared in one run of rows.
@@ -118,10 +121,11 @@ def order_key(tokens: np.ndarray, order: int, common: tuple[np.ndarray, np.ndarr
 
 
 def prefix(tokens: np.ndarray, order: int, threshold: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first elements of a set under an order, in that order."""
     p = prefix_length(len(tokens), threshold)
-    if p >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(order_key(tokens, order, common), p - 1)[:p]]
+    key = order_key(tokens, order, common)
+    low = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return tokens[low[np.argsort(key[low])]]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -139,30 +143,36 @@ def summarize(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def rows(ids: pa.Array, n: list, k1: list, k2: list, tokens: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            mine, extra = len(n), len(tokens)
+            cells = [pa.concat_arrays([ids, pa.nulls(extra, pa.int64())])]
+            cells += [pa.array(x + [None] * extra, pa.int64()) for x in (n, k1, k2)]
+            cells += [pa.concat_arrays([pa.nulls(mine, pa.int64()), pa.array(x, pa.int64())]) for x in (tokens, counts)]
+            return pa.RecordBatch.from_arrays(cells, ["id", "n", "k1", "k2", "token", "count"])
+
+        block: list[np.ndarray] = []
+        held = 0
+
+        def common() -> tuple[np.ndarray, np.ndarray]:
+            nonlocal block, held
+            found, count = np.unique(np.concatenate(block), return_counts=True)
+            block, held = [], 0
+            return found[count >= OFTEN].view(np.int64), count[count >= OFTEN]
+
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            n, k1, k2, sets = [], [], [], []
+            n, k1, k2 = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 k1.append(int.from_bytes(key[:8], "little", signed=True))
                 k2.append(int.from_bytes(key[8:], "little", signed=True))
-                sets.append(s)
-            found, count = np.unique(np.concatenate(sets), return_counts=True)
-            often = count >= max(3, len(sets) // 100)
-            tokens, counts = found[often].view(np.int64), count[often]
-            rows, extra = len(n), len(tokens)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), pa.nulls(extra, pa.int64())]),
-                    pa.array(n + [None] * extra, pa.int64()),
-                    pa.array(k1 + [None] * extra, pa.int64()),
-                    pa.array(k2 + [None] * extra, pa.int64()),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(tokens, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(counts, pa.int64())]),
-                ],
-                ["id", "n", "k1", "k2", "token", "count"],
-            )
+                block.append(s)
+                held += len(s)
+            yield rows(batch.column(0), n, k1, k2, *(common() if held >= BLOCK else none))
+        if held:
+            yield rows(pa.nulls(0, pa.int64()), [], [], [], *common())
 
     return _util.id_text(docs, id_col, text_col).mapInArrow(run, "id long, n long, k1 long, k2 long, token long, count long")
 
@@ -180,11 +190,15 @@ def common_shingles(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, size: int, threshold: int, common: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """One row for each element of each document's prefix under order 0."""
+    """One row for each element of each document's prefix under order 0.
+
+    ``common`` is the share of the prefix, in thousandths, that is common;
+    ``pos`` is the element's place in the order, from 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens, lens, sizes = [], [], [], []
+            ids, tokens, lens, sizes, shares_ = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, size)
                 if doc is None or not len(s):
@@ -194,13 +208,14 @@ def prefix_rows(docs: DataFrame, size: int, threshold: int, common: tuple[np.nda
                 tokens.append(p)
                 lens.append(len(p))
                 sizes.append(len(s))
+                shares_.append(1000 * overlap(np.sort(p), common[0]) // len(p) if len(common[0]) else 0)
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))],
-                    ["token", "id", "n"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lens)), *[pa.array(np.repeat(np.array(x, np.int32), lens)) for x in (sizes, shares_)], pa.array(np.concatenate([np.arange(1, m + 1, dtype=np.int32) for m in lens]))],
+                    ["token", "id", "n", "common", "pos"],
                 )
 
-    return _util.id_text(docs, id_col, text_col).mapInArrow(run, "token long, id long, n int")
+    return _util.id_text(docs, id_col, text_col).mapInArrow(run, "token long, id long, n int, common int, pos int")
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -333,8 +348,8 @@ def _labels(links: DataFrame) -> DataFrame:
 def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members with their own and their leader's component, as a table."""
     of = _util.materialize(_labels(links), "components")
-    own = members.join(of, members["id"] == of["_id"], "left").select("token", "id", "n", "leader", F.coalesce("_cid", "id").alias("cid"))
-    led = own.join(of, own["leader"] == of["_id"], "left").select("token", "id", "n", "leader", "cid", F.coalesce("_cid", "leader").alias("leader_cid"))
+    own = members.join(of, members["id"] == of["_id"], "left").select("token", "id", "n", "common", "pos", "leader", F.coalesce("_cid", "id").alias("cid"))
+    led = own.join(of, own["leader"] == of["_id"], "left").select("token", "id", "n", "common", "pos", "leader", "cid", F.coalesce("_cid", "leader").alias("leader_cid"))
     return _util.materialize(led, "state")
 
 
@@ -356,7 +371,7 @@ def link(
 
     elements = prefix_rows(firsts, size, threshold, common, "_vid", "_vtext")
     by_token = Window.partitionBy("token")
-    grouped = elements.select("token", "id", "n", F.first("id").over(by_token.orderBy("id")).alias("leader"))
+    grouped = elements.select("token", "id", "n", "common", "pos", F.first("id").over(by_token.orderBy(F.desc("common"), "id")).alias("leader"))
     # A leader alone in its group has no partner; the leaders of others are found again by their partners.
     members = _util.materialize(grouped.where("id != leader"), "members")
     near = members.select(F.col("leader").alias("hub"), F.col("id").alias("member")).distinct()
@@ -368,7 +383,7 @@ def link(
     # Members that no chain of links joins to their leader get a second leader among themselves.
     links = led
     state = _with_components(members, links)
-    second = state.where("cid != leader_cid").withColumn("hub", F.min("id").over(by_token)).select("token", "hub").distinct()
+    second = state.where("cid != leader_cid").withColumn("hub", F.min(F.struct(-F.col("common"), "id")).over(by_token)["id"]).select("token", "hub").distinct()
     second = second.join(state.select(F.col("id").alias("_id"), F.col("cid").alias("_cid")).distinct(), F.col("hub") == F.col("_id")).select("token", "hub", F.col("_cid").alias("hub_cid"))
     near = state.join(second, "token").where("cid != hub_cid").select("hub", F.col("id").alias("member")).distinct()
     near = _util.materialize(plausible(near, sets, threshold), "plausible")
@@ -376,10 +391,12 @@ def link(
 
     # What is still apart is compared with all that it isn't joined to.
     state = _with_components(members, links)
-    apart = state.where("cid != leader_cid").select("token", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("cid").alias("hub_cid"))
-    others = state.select("token", F.col("id").alias("member"), "n", "cid")
+    apart = state.where("cid != leader_cid").select("token", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("cid").alias("hub_cid"))
+    others = state.select("token", F.col("id").alias("member"), "n", "pos", "cid")
     similar_size = 100 * F.least("hub_n", "n") >= threshold * F.greatest("hub_n", "n")
-    rest = apart.join(others, "token").where(similar_size & (F.col("hub_cid") != F.col("cid")))
+    # At the first element that two sets share, what follows it must be enough for the overlap.
+    enough = (100 + threshold) * (F.least(F.col("hub_n") - F.col("hub_pos"), F.col("n") - F.col("pos")) + 1) >= threshold * (F.col("hub_n") + F.col("n"))
+    rest = apart.join(others, "token").where(similar_size & enough & (F.col("hub_cid") != F.col("cid")))
     # A pair of two members apart from the leader comes twice: once is enough.
     rest = rest.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
     crossed = verify(_util.materialize(plausible(rest, sets, threshold), "plausible"), sets, threshold, orders)
