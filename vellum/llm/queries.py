@@ -77,4 +77,20 @@ QUERIES = {
         op6_quality_classifier, op7_packing, op8_ngram_join, op9_quality_rules, op10_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Whole sets meet shingle by shingle; the smallest id is found by following links until nothing new is reached.
+_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) m USING (doc_id)
+"""
+
+#: What has no SQL here rests on offsets of matches, token vocabularies or learned models.
+ORACLE_SQL: dict[str, str] = {"op8_ngram_join": _JOIN_SQL}
