@@ -72,3 +72,20 @@ def member_type(link: Column, is_dir: Column) -> Column:
 def time_cell(seconds: Column) -> Column:
     text = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
     return F.coalesce(text, F.lit("????-??-?? ??:??"))
+
+
+def dos_time(t: Column) -> Column:
+    """A time from 1980 to 2107 in 32 bits, to two seconds; null outside those years."""
+    part = lambda v, bits: F.shiftleft(v.cast("long"), bits)
+    packed = (
+        part(F.year(t) - 1980, 25) + part(F.month(t), 21) + part(F.dayofmonth(t), 16)
+        + part(F.hour(t), 11) + part(F.minute(t), 5) + F.floor(F.second(t) / 2).cast("long")
+    )
+    return F.when(F.year(t).between(1980, 2107), packed)
+
+
+def from_dos_time(n: Column) -> Column:
+    """The time without zone of a packed one; null where it is no date."""
+    part = lambda bits, width: F.shiftright(n, bits).bitwiseAND((1 << width) - 1)
+    cell = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", part(25, 7) + 1980, part(21, 4), part(16, 5), part(11, 5), part(5, 6), part(0, 5) * 2)
+    return F.try_to_timestamp(cell, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")

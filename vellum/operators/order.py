@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import paths
+from vellum.operators.ranges import running_total
 
 
 def solid_key() -> list[Column]:
@@ -21,12 +22,8 @@ def solid_order(members: DataFrame) -> DataFrame:
     Ranks come from ranges of the order, not from one sorted partition.
     """
     keyed = members.select("ord", "name", "size", *[k.alias(f"_k{i}") for i, k in enumerate(solid_key())])
-    cols = [f"_k{i}" for i in range(5)]
-    ranged = keyed.repartitionByRange(200, *cols).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*cols))).join(F.broadcast(before), "_part")
-    return ranked.select("ord", "name", (F.col("_before") + F.col("_rn")).cast("long").alias("position"))
+    ranked = running_total(keyed, [f"_k{i}" for i in range(5)], F.lit(1), "before")
+    return ranked.select("ord", "name", (F.col("before") + 1).alias("position"))
 
 
 def solid_groups(members: DataFrame) -> DataFrame:
@@ -68,11 +65,16 @@ def budget_prefix(members: DataFrame, budget: int) -> DataFrame:
     """
     sizes = members.groupBy("size").agg(F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("size"))
     total = F.col("n") * F.col("size")
-    from vellum.plans.catalog import running_total
-
     placed = running_total(sizes.withColumn("bytes", total), "down", "bytes", "before")
     room = F.greatest(F.lit(budget) - F.col("before"), F.lit(0))
     fit = F.when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.floor(room / F.greatest(F.col("size"), F.lit(1)))))
     stops = placed.withColumn("fit", fit.cast("long"))
     first_short = stops.where("fit < n").agg(F.max("size").alias("stop"))
     return stops.crossJoin(F.broadcast(first_short)).where(F.col("stop").isNull() | (F.col("size") >= F.col("stop"))).agg(F.coalesce(F.sum("fit"), F.lit(0)).cast("long").alias("members"))
+
+
+def extraction_limits(members: DataFrame, most: int, most_total: int) -> DataFrame:
+    """What an extraction with ceilings says of each member, taken in archive order."""
+    upto = running_total(members.select("ord", "name", "size"), "ord", "size", "before")
+    state = F.when(F.col("size") > most, "member too large").when(F.col("before") + F.col("size") > most_total, "total too large").otherwise("ok")
+    return upto.select("ord", "name", "size", state.alias("state"))

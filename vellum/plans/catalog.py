@@ -7,9 +7,11 @@ the members' packed bytes cut into volumes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.ranges import running_total
+
 #: Bytes of a volume.
 VOLUME = 65536
 
@@ -60,19 +62,6 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new)
 
 
-def running_total(df: DataFrame, order: str, value: str, alias: str, parts: int = 200) -> DataFrame:
-    """The sum of ``value`` over all rows before each, in the order of ``order``.
-
-    Rows are dealt by ranges of the order; each range is summed on its own, and the
-    ranges' offsets, ``parts`` numbers, are summed apart.  No task sees all rows.
-    """
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(order)) - F.col(value)
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(alias, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
-
-
 def chunks(spark: SparkSession, sf_dir: str, volume: int = VOLUME) -> DataFrame:
     """A row for each member and volume with the packed bytes ``lo`` to ``hi``; offsets run through all volumes."""
     placed = running_total(members(spark, sf_dir).select("ord", "name", "packed_size"), "ord", "packed_size", "first")

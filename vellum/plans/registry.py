@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import binary, cells, paths
-from vellum.operators import diff, listing, order, volumes
+from vellum.operators import diff, listing, order, ranges, volumes
 from vellum.plans.catalog import CHUNKS_SQL, MEMBERS_SQL, SNAPSHOT_SQL, chunks, members, snapshot, table
+from vellum.sources import container, lists
+from vellum.streaming import assemble
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -355,6 +357,52 @@ def stripe_parity(s, d):
     return volumes.stripe_parity(shards, 8, 3)
 
 
+# Sources, containers, streams
+
+@query(M + "SELECT name, size, mtime_s, version, md5, 'ok' AS state FROM members")
+def container_roundtrip(s, d):
+    data = members(s, d).select("ord", "name", F.col("text").cast("binary").alias("data"), "mtime_s", "version")
+    found = container.scan(container.write(data, 1 << 20), path="archive")
+    return found.select("name", "size", "mtime_s", F.coalesce("version", F.lit(0).cast("long")).alias("version"), F.md5("payload").alias("md5"), "state")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 2 THEN 'v15' ELSE 'v50' END AS family, CAST(CASE page_id % 4 WHEN 0 THEN NULL WHEN 3 THEN octet_length(encode(url)) + 6 ELSE octet_length(encode(url)) END AS BIGINT) AS at FROM pages")
+def signature_start(s, d):
+    long, old, weak = (F.lit(x) for x in (container.SIGNATURE, container.SIGNATURE_OLD, container.SIGNATURE_OLDEST))
+    k, stub = F.col("page_id") % 4, F.col("url").cast("binary")
+    data = F.when(k == 0, stub).when(k == 1, F.concat(stub, long)).when(k == 2, F.concat(stub, old)).otherwise(F.concat(stub, weak, F.lit(b"xx"), long))
+    found = table(s, d, "pages").select("page_id", container.start(data).alias("start"))
+    return found.select("page_id", "start.family", F.col("start.offset").cast("long").alias("at"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS path, 0 AS line_no, 'docs/é' || page_id || '.txt' AS line FROM pages UNION ALL SELECT CAST(page_id AS VARCHAR), 2, regexp_replace(split_part(url, '//', 1), '\\s+$', '') FROM pages WHERE regexp_replace(split_part(url, '//', 1), '\\s+$', '') <> ''")
+def list_file_lines(s, d):
+    text = F.concat(F.lit("docs/é"), F.col("page_id").cast("string"), F.lit(".txt // note\r\n  \n"), F.col("url"))
+    k = F.col("page_id") % 4
+    data = F.when(k == 0, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))).when(k == 1, F.concat(F.lit(b"\xff\xfe"), F.encode(text, "UTF-16LE")))
+    data = data.when(k == 2, F.concat(F.lit(b"\xfe\xff"), F.encode(text, "UTF-16BE"))).otherwise(F.encode(text, "ISO-8859-1"))
+    return lists.list_lines(table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), data.alias("content")))
+
+
+@query(ORACLE_SQL["volume_merge"])
+def stream_assemble(s, d):
+    c = chunks(s, d).where(~F.col("volume").isin(1, 3))
+    c = c.select("ord", "volume", "lo", "hi", (F.col("lo") == F.col("first")).alias("is_first"), (F.col("hi") == F.col("first") + F.col("packed_size")).alias("is_final"))
+    path = ranges.written(c, "fragments").inputFiles()[0].rsplit("/", 1)[0]
+    return assemble.assemble(s.readStream.schema(c.schema).option("maxFilesPerTrigger", "4").parquet(path))
+
+
+@query(M + "SELECT ord, name, size, CASE WHEN size > 20000 THEN 'member too large' WHEN sum(size) OVER (ORDER BY ord) > 1000000 THEN 'total too large' ELSE 'ok' END AS state FROM members")
+def extraction_limits(s, d):
+    return order.extraction_limits(members(s, d), 20_000, 1_000_000)
+
+
+@query("SELECT event_id, CAST((year(ts) - 1980) * 33554432 + month(ts) * 2097152 + day(ts) * 65536 + hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2 AS BIGINT) AS packed, date_trunc('minute', ts) + to_seconds(second(ts) // 2 * 2) AS unpacked FROM events")
+def dos_time(s, d):
+    packed = table(s, d, "events").select("event_id", cells.dos_time(F.col("ts")).alias("packed"))
+    return packed.select("event_id", "packed", cells.from_dos_time(F.col("packed")).alias("unpacked"))
+
+
 # Category coverage; no operator of its own
 
 @query("SELECT n_name, r_name, count(*) AS orders, CAST(round(sum(CAST(o_totalprice * 100 AS BIGINT))) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")
