@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 from array import array
 from collections.abc import Iterator
 
@@ -46,8 +45,8 @@ SPLIT = regex.compile(
 )
 # The characters of the White_Space property.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Marks that are one token after a word of letters.
-MARKS = (".", ",", "!", "?", ";", ":")
+#: Marks that are one pre-token where they stand after letters at the end of a piece.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The rank of a merge that never happens.
 NEVER = 1 << 60
 CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -72,12 +71,14 @@ class PrefixCounter:
         raw = lambda s: bytes(byte[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
-        self.vocab = {raw(t) for t in spec["model"]["vocab"] if all(c in byte for c in t)}
+        #: A token's number; negative until its own encoding has been looked at.
+        self.vocab = {t: -k - 1 for k, t in enumerate(sorted({raw(t) for t in spec["model"]["vocab"] if all(c in byte for c in t)}))}
         self.longest = max(map(len, self.vocab))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._edges: dict[bytes, tuple | None] = {}
-        self._prefix: dict[bytes, tuple[int, list]] = {}
+        self._edges: dict[int, tuple[list, list]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._prefix: dict[bytes, tuple[list[int], list[int]]] = {}
         self._piece: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._token: dict[str, tuple[int, ...]] = {}
@@ -103,10 +104,18 @@ class PrefixCounter:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [*left, (t, NEVER)], [*right, (t, NEVER)]
 
-    def edges(self, t: bytes) -> tuple | None:
-        found = self._edges.get(t, 0)
-        if found == 0:
-            found = self._edges[t] = self._edge_chains(t)
+    def _number(self, t: bytes) -> int | None:
+        """The number of a token that is its own encoding; other tokens leave the vocabulary."""
+        chains, k = self._edge_chains(t), -self.vocab[t] - 1
+        if chains is None:
+            del self.vocab[t]
+            return None
+        self.vocab[t], self._edges[k] = k, chains
+        return k
+
+    def _meet(self, key: int, before: int, after: int) -> bool:
+        """Whether two neighbouring tokens are compatible, held for the next time."""
+        found = self._pairs[key] = self.compatible(self._edges[before][1], self._edges[after][0])
         return found
 
     def compatible(self, right: list, left: list) -> bool:
@@ -133,40 +142,57 @@ class PrefixCounter:
     def byte_counts(self, word: bytes) -> list[int]:
         """Tokens of each byte prefix of one pre-token, from length 0 on.
 
-        The state of a prefix, its count and the right edge of its last token,
+        What is known of a prefix, the counts and the last tokens up to it,
         is shared by all words that start with it.
         """
-        count, last = [0], [None]
-        vocab, longest, edges, compatible = self.vocab, self.longest, self.edges, self.compatible
-        short = len(word) <= CACHED_PIECE
-        known = self._prefix if short else {}
-        if len(known) >= CACHE:
-            known.clear()
-        for i in range(1, len(word) + 1):
-            head = word[:i] if short else i
-            state = known.get(head)
-            if state is None:
-                for s in range(i - longest if i > longest else 0, i):
-                    t = word[s:i]
-                    if t in vocab and (e := edges(t)) and (s == 0 or compatible(last[s], e[0])):
-                        state = known[head] = (count[s] + 1, e[1])
-                        break
-                else:
-                    raise ValueError("the vocabulary has no token for a byte")
-            count.append(state[0])
-            last.append(state[1])
+        count, last, n = [0], [-1], len(word)
+        vocab, longest, pairs, known = self.vocab, self.longest, self._pairs, self._prefix
+        short = n <= CACHED_PIECE
+        if len(pairs) >= CACHE:
+            pairs.clear()
+        if short:
+            if len(known) >= CACHE:
+                known.clear()
+            for k in range(n, 0, -1):
+                held = known.get(word[:k])
+                if held is not None:
+                    count, last = held[0][: k + 1], held[1][: k + 1]
+                    break
+        begun = len(count)
+        for i in range(begun, n + 1):
+            for s in range(i - longest if i > longest else 0, i):
+                t = vocab.get(word[s:i])
+                if t is None or (t < 0 and (t := self._number(word[s:i])) is None):
+                    continue
+                if s:
+                    key = last[s] << 32 | t
+                    fits = pairs.get(key)
+                    if not (self._meet(key, last[s], t) if fits is None else fits):
+                        continue
+                count.append(count[s] + 1)
+                last.append(t)
+                break
+            else:
+                raise ValueError("the vocabulary has no token for a byte")
+        if short:
+            held = count, last
+            for i in range(begun, n + 1):
+                known[word[:i]] = held
         return count
 
+    def _letters(self, word: str) -> list[int]:
+        """Tokens of each code-point prefix of one pre-token of letters or of marks, from length 1 on."""
+        raw = word.encode()
+        count = self.byte_counts(raw)
+        if len(raw) == len(word):
+            return count[1:]
+        return [*[count[i] for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80], count[-1]]
+
     def _token_counts(self, token: str) -> tuple[int, ...]:
         """Tokens of each code-point prefix of one pre-token, from length 1 on."""
         found = self._token.get(token)
         if found is None:
-            count = self.byte_counts(token.encode())
-            if token.isascii():
-                found = tuple(count[1:])
-            else:
-                ends = np.cumsum([len(c.encode()) for c in token])
-                found = tuple(count[e] for e in ends)
+            found = tuple(self._letters(token))
             if token in CONTRACTIONS:  # its first two characters alone are two pre-tokens
                 found = (found[0], 2, found[2])
             if len(token) <= CACHED_PIECE:
@@ -204,24 +230,41 @@ class PrefixCounter:
     def _piece_bytes(self, piece: str) -> bytes:
         """A piece's counts as 16-bit numbers; of a full cache the last generation is kept.
 
-        Words of letters, and a mark after them, need no pattern to be split.
+        Words of letters, marks after them, and such words around single line
+        ends need no pattern to be split.
         """
         if len(self._piece) >= CACHE:
             self._older, self._piece = self._piece, {}
         found = self._older.get(piece)
         if found is None:
             word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha() and word.isascii():
-                found = array("H", self.byte_counts(piece.encode())[1:]).tobytes()
-            elif word[-1:] in MARKS and word[:-1].isalpha():
-                stem = piece[:-1]
-                head = self._piece.get(stem) or self._piece_bytes(stem)
-                found = head + (int.from_bytes(head[-2:], sys.byteorder) + 1).to_bytes(2, sys.byteorder)
+            stem = piece.rstrip(MARKS)
+            if word.isalpha():
+                found = array("H", self._letters(piece)).tobytes()
+            elif len(stem) < len(piece) and (stem[1:] if stem[:1] == " " else stem).isalpha():
+                found = self._end_to_end([self._piece.get(stem) or self._piece_bytes(stem), self._marks(piece[len(stem) :])])
+            elif "\n" in piece and all(lines := piece.split("\n")) and not any(x[0] in SPACES or x[-1] in SPACES for x in (lines[0][1:] or "x", *lines[1:])):
+                parts = [self._piece.get(lines[0]) or self._piece_bytes(lines[0])]
+                for line in lines[1:]:
+                    parts += self._marks("\n"), self._piece.get(line) or self._piece_bytes(line)
+                found = self._end_to_end(parts)
             else:
                 found = array("H", self._plain_piece(piece)).tobytes()
         self._piece[piece] = found
         return found
 
+    def _marks(self, token: str) -> bytes:
+        return array("H", self._token_counts(token)).tobytes()
+
+    @staticmethod
+    def _end_to_end(parts: list[bytes]) -> bytes:
+        """The counts of pieces that stand next to each other and aren't joined."""
+        out, base = array("H"), 0
+        for part in parts:
+            out.extend([base + c for c in memoryview(part).cast("H")])
+            base = out[-1]
+        return out.tobytes()
+
     def _plain(self, text: str) -> np.ndarray:
         """Counts of the prefixes of a text without special strings."""
         if not text:
@@ -233,7 +276,7 @@ class PrefixCounter:
             pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if lens.max() <= CACHED_PIECE:
-                        inner = np.frombuffer(b"".join([self._piece.get(p) or self._piece_bytes(p) for p in pieces]), np.uint16).astype(np.int64)
+            inner = np.frombuffer(b"".join([self._piece.get(p) or self._piece_bytes(p) for p in pieces]), np.uint16).astype(np.int64)
         else:
             inner = np.concatenate([np.array(self._plain_piece(p), np.int64) for p in pieces])
         ends = np.cumsum(lens)
