@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ from . import _util
 
 #: Entries that the caches of one Python worker hold at most; a full cache is emptied.
 CACHE = 400_000
+#: Entries of the cache of prefixes, which share the lists of the words they came from.
+PREFIXES = 400_000
 #: Longest piece, in code points, whose counts are held in a cache as 16-bit numbers.
 CACHED_PIECE = 256
 
@@ -73,7 +76,12 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         #: A token's number; negative until its own encoding has been looked at.
         self.vocab = {t: -k - 1 for k, t in enumerate(sorted({raw(t) for t in spec["model"]["vocab"] if all(c in byte for c in t)}))}
-        self.longest = max(map(len, self.vocab))
+        self.size = [len(t) for t in self.vocab]
+        #: The length of the longest token that ends with three bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in self.vocab:
+            if len(t) > self.reach.get(t[-3:], 2):
+                self.reach[t[-3:]] = len(t)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._edges: dict[int, tuple[list, list]] = {}
@@ -146,12 +154,12 @@ class PrefixCounter:
         is shared by all words that start with it.
         """
         count, last, n = [0], [-1], len(word)
-        vocab, longest, pairs, known = self.vocab, self.longest, self._pairs, self._prefix
+        vocab, reach, size, pairs, known = self.vocab, self.reach.get, self.size, self._pairs, self._prefix
         short = n <= CACHED_PIECE
         if len(pairs) >= CACHE:
             pairs.clear()
         if short:
-            if len(known) >= CACHE:
+            if len(known) >= PREFIXES:
                 known.clear()
             for k in range(n, 0, -1):
                 held = known.get(word[:k])
@@ -160,7 +168,10 @@ class PrefixCounter:
                     break
         begun = len(count)
         for i in range(begun, n + 1):
-            for s in range(i - longest if i > longest else 0, i):
+            # Only one start fits, so the likely ones come first: the last token grows, or a byte stands alone.
+            first = i - 1 - size[last[-1]] if i > 1 else 0
+            low = i - reach(word[i - 3 : i], 2) if i > 3 else 0
+            for s in (first, i - 1, *range(low if low > 0 else 0, i - 1)):
                 t = vocab.get(word[s:i])
                 if t is None or (t < 0 and (t := self._number(word[s:i])) is None):
                     continue
@@ -230,8 +241,7 @@ class PrefixCounter:
     def _piece_bytes(self, piece: str) -> bytes:
         """A piece's counts as 16-bit numbers; of a full cache the last generation is kept.
 
-        Words of letters, marks after them, and such words around single line
-        ends need no pattern to be split.
+        Words of letters, and marks after them, need no pattern to be split.
         """
         if len(self._piece) >= CACHE:
             self._older, self._piece = self._piece, {}
@@ -242,29 +252,14 @@ class PrefixCounter:
             if word.isalpha():
                 found = array("H", self._letters(piece)).tobytes()
             elif len(stem) < len(piece) and (stem[1:] if stem[:1] == " " else stem).isalpha():
-                found = self._end_to_end([self._piece.get(stem) or self._piece_bytes(stem), self._marks(piece[len(stem) :])])
-            elif "\n" in piece and all(lines := piece.split("\n")) and not any(x[0] in SPACES or x[-1] in SPACES for x in (lines[0][1:] or "x", *lines[1:])):
-                parts = [self._piece.get(lines[0]) or self._piece_bytes(lines[0])]
-                for line in lines[1:]:
-                    parts += self._marks("\n"), self._piece.get(line) or self._piece_bytes(line)
-                found = self._end_to_end(parts)
+                head = self._piece.get(stem) or self._piece_bytes(stem)
+                base = int.from_bytes(head[-2:], sys.byteorder)
+                found = head + array("H", [base + c for c in self._token_counts(piece[len(stem) :])]).tobytes()
             else:
                 found = array("H", self._plain_piece(piece)).tobytes()
         self._piece[piece] = found
         return found
 
-    def _marks(self, token: str) -> bytes:
-        return array("H", self._token_counts(token)).tobytes()
-
-    @staticmethod
-    def _end_to_end(parts: list[bytes]) -> bytes:
-        """The counts of pieces that stand next to each other and aren't joined."""
-        out, base = array("H"), 0
-        for part in parts:
-            out.extend([base + c for c in memoryview(part).cast("H")])
-            base = out[-1]
-        return out.tobytes()
-
     def _plain(self, text: str) -> np.ndarray:
         """Counts of the prefixes of a text without special strings."""
         if not text:
@@ -272,8 +267,17 @@ class PrefixCounter:
         if _CLOSE_SPACES.search(text):
             pieces = _WORD_START.split(text)
         else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+            pieces = []
+            lines = text.split("\n")
+            if any(not x or x[0] in SPACES or x[-1] in SPACES for x in lines):
+                lines = [text]
+            for line in lines:  # a single line end between visible characters is a pre-token of its own
+                if pieces:
+                    pieces.append("\n")
+                first, *rest = line.split(" ")
+                if first:
+                    pieces.append(first)
+                pieces += [" " + p for p in rest]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if lens.max() <= CACHED_PIECE:
             inner = np.frombuffer(b"".join([self._piece.get(p) or self._piece_bytes(p) for p in pieces]), np.uint16).astype(np.int64)
