@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import binary, cells, paths
+from vellum.functions import binary, cells, filters, paths
 from vellum.operators import diff, listing, order, ranges, volumes
 from vellum.plans.catalog import CHUNKS_SQL, MEMBERS_SQL, SNAPSHOT_SQL, chunks, members, snapshot, table
 from vellum.sources import container, lists
@@ -357,6 +357,40 @@ def stripe_parity(s, d):
     return volumes.stripe_parity(shards, 8, 3)
 
 
+def _little_endian(n):
+    """Four bytes of a number, the lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
+
+
+def _operand(data, at, size):
+    """The number that the bytes of ``data`` from ``at`` on make, the lowest first."""
+    return F.conv(F.concat(*[F.hex(F.substring(data, at + k, 1)) for k in reversed(range(size))]), 16, 10).cast("long")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey + here < 16777216 THEN o_custkey + here ELSE o_custkey + 4278190080 END AS target, o_custkey AS back FROM (SELECT o_orderkey, o_custkey, (o_orderkey * 1117 + 1) % 16777216 AS here FROM orders)")
+def x86_calls(s, d):
+    at = F.col("o_orderkey") * 1117
+    code = F.concat(F.unhex(F.lit("E8")), _little_endian(F.col("o_custkey")))
+    moved = table(s, d, "orders").select("o_orderkey", filters.x86_filter(code, at).alias("code"))
+    back = moved.select("o_orderkey", "code", filters.x86_filter(F.col("code"), at, inverse=True).alias("back"))
+    return back.select("o_orderkey", _operand(F.col("code"), 2, 4).alias("target"), _operand(F.col("back"), 2, 4).alias("back"))
+
+
+@query("SELECT o_orderkey, (o_custkey + (o_orderkey * 1117 // 4)) % 16777216 AS target, o_custkey AS back FROM orders")
+def arm_branches(s, d):
+    at = F.col("o_orderkey") * 1117
+    code = F.concat(F.substring(_little_endian(F.col("o_custkey")), 1, 3), F.unhex(F.lit("EB")))
+    moved = table(s, d, "orders").select("o_orderkey", filters.arm_filter(code, at).alias("code"))
+    back = moved.select("o_orderkey", "code", filters.arm_filter(F.col("code"), at, inverse=True).alias("back"))
+    return back.select("o_orderkey", _operand(F.col("code"), 1, 3).alias("target"), _operand(F.col("back"), 1, 3).alias("back"))
+
+
+@query("SELECT doc_id, CAST(len(w) AS INTEGER) AS windows, CASE WHEN len(w) >= 64 THEN CAST(len(list_distinct(w)) * 100 // len(w) AS INTEGER) END AS percent FROM (SELECT doc_id, list_transform(range(0, octet_length(encode(coalesce(text, ''))) - 3, 16), lambda i: substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 8)) AS w FROM documents)")
+def window_screen(s, d):
+    data = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    return data.select("doc_id", filters.window_count(F.col("data")).alias("windows"), filters.distinct_window_percent(F.col("data"), 64).alias("percent"))
+
+
 # Sources, containers, streams
 
 @query(M + "SELECT name, size, mtime_s, version, md5, 'ok' AS state FROM members")
