@@ -57,6 +57,15 @@ def test_prefix_counts_equal_the_library_at_every_prefix(bytes_bpe):
         assert table.counts(text).tolist() == want, text
 
 
+def test_prefix_counts_of_letters_marks_and_line_ends(bytes_bpe):
+    table, rng = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(9)
+    parts = ["the", "ing", "ño", "é", "Q", "$$$", ".", "!?", "-_", "\n", "\r", " ", " ", " ", "'s", "'", "7", "漢", "\u0301", "ª", "ⅷ", "\n\n", "😀"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = [len(bytes_bpe.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)]
+        assert table.counts(text).tolist() == want, text
+
+
 def test_token_counts(spark, bytes_bpe):
     out = {(r.doc_id, r.n_bytes): r for r in token_counts.token_counts(odd(spark), public_tokenizers.path("byte_bpe_50k.json"), 1024, store_prefixes=True).collect()}
     for r in odd(spark).collect():
