@@ -321,6 +321,14 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.find(odd(spark), benchmark.limit(0)).count() == 0 and decontamination.remove(odd(spark), benchmark).count() == 8
 
 
+def test_decontamination_folds_every_letter(spark):
+    rng = random.Random(13)
+    item = ["".join(rng.choice("ñóíéüßç") for _ in range(6)) for _ in range(26)]
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = decontamination.find(documents(spark, [" ".join(item).upper(), "Çà " + " ".join(item).title()]), benchmark).collect()
+    assert sorted((r.doc_id, r.overlap_words, r.equal_words) for r in found) == [(0, 26, 26), (1, 26, 26)]
+
+
 def test_blocks_give_the_same_matches(spark, small, monkeypatch):
     docs, benchmark = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.find(docs, benchmark).collect()))

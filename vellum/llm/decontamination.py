@@ -10,7 +10,7 @@ at least ``min_overlap`` words, or all words of a shorter item, of which
 ``identity`` percent are equal.  Items shorter than the window have a seed of
 all their words; those under ``MIN_ITEM`` words are too short to tell anything.
 
-Words are lower-cased (A-Z) and stripped of ASCII punctuation on both sides.
+Words are case-folded by Unicode's rules and lose their ASCII punctuation, in items and documents alike.
 
 The benchmark's items are the stated query set: they go to the tasks in blocks
 of at most ``BLOCK_BYTES`` of text, one pass over the documents for each block,
@@ -59,7 +59,8 @@ _words = _Words()
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.lower().translate(None, _PUNCTUATION).split()
+    folded = text.lower() if text.isascii() else text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+    return folded.translate(None, _PUNCTUATION).split()
 
 
 def hashes(texts: list[list[bytes]]) -> np.ndarray:
