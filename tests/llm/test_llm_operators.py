@@ -329,6 +329,39 @@ def test_decontamination_folds_every_letter(spark):
     assert sorted((r.doc_id, r.overlap_words, r.equal_words) for r in found) == [(0, 26, 26), (1, 26, 26)]
 
 
+def brute_contaminated(items, text, least=13, identity=80):
+    """The items of which some alignment has a window with enough equal words."""
+    for i, item in enumerate(items):
+        for shift in range(1 - len(item), len(text)):
+            same = [p + shift >= 0 and text[p + shift] == w for p, w in enumerate(item) if 0 <= p + shift < len(text)]
+            need = min(least, len(item))
+            if any(100 * sum(same[a:b]) >= identity * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1)):
+                yield i
+                break
+
+
+def test_decontamination_misses_no_window(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou")
+    items = [[word() for _ in range(n)] for n in (5, 6, 8, 10, 11, 12, 13, 14, 15, 15, 18, 18, 25, 30)]
+    texts = []
+    for item in items * 12:
+        out = list(item)
+        for k in rng.sample(range(len(item)), rng.randint(0, len(item) // 4)):
+            out[k] = "other"
+        texts.append([word() for _ in range(rng.randint(0, 5))] + out[: len(out) - rng.choice([0, 0, 0, 2])] + [word() for _ in range(rng.randint(0, 5))])
+    # Fifteen words in runs of three equal ones.
+    texts.append([w if k not in (3, 7, 11) else "other" for k, w in enumerate(items[8])])
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = documents(spark, [" ".join(t) for t in texts])
+    want = {(d, i) for d, t in enumerate(texts) for i in brute_contaminated(items, t)}
+    found = decontamination.find(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 100 and (len(texts) - 1, 8) in want
+    assert all(r.overlap_words >= min(13, r.item_words) and 100 * r.equal_words >= 80 * r.overlap_words for r in found)
+    monkeypatch.setattr(decontamination, "HITS", 20)
+    assert sorted(map(tuple, decontamination.find(docs, benchmark).collect())) == sorted(map(tuple, found))
+
+
 def test_blocks_give_the_same_matches(spark, small, monkeypatch):
     docs, benchmark = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.find(docs, benchmark).collect()))

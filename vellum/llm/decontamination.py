@@ -1,20 +1,23 @@
-"""Benchmark decontamination by spaced seeds.
-
-A seed is a mask over a window of words of which some positions are ignored.
-The kept words of each window are hashed; equal hashes of a benchmark item and
-a document propose an alignment, whatever stands in the ignored positions.
-The whole overlap on that alignment is then compared word by word, and the best
-run, by +1 for equal and ``MISMATCH`` for other words, is the verified overlap:
-runs go on across substitutions.  A document is contaminated when the run has
-at least ``min_overlap`` words, or all words of a shorter item, of which
-``identity`` percent are equal.  Items shorter than the window have a seed of
-all their words; those under ``MIN_ITEM`` words are too short to tell anything.
+"""Benchmark decontamination by counted word grams.
+
+Equal word grams of a benchmark item and a document propose an alignment.  An
+overlap on it is a window of words that stand opposite each other; a document is
+contaminated when one of at least ``min_overlap`` words, or of all words of a
+shorter item, has ``identity`` percent equal words.  The longest such window of
+the alignment with most equal words is reported.
+
+No such window is missed: a substitution breaks at most ``q`` grams of ``q``
+words, so a window of ``n`` words with ``e`` substitutions keeps ``n - q + 1 - q * e``
+of them.  Each item has the longest grams of which every window that counts
+keeps some, and alignments with as many equal grams are compared word by word.
+Items under ``MIN_ITEM`` words are too short to tell anything.
 
 Words are case-folded by Unicode's rules and lose their ASCII punctuation, in items and documents alike.
 
 The benchmark's items are the stated query set: they go to the tasks in blocks
 of at most ``BLOCK_BYTES`` of text, one pass over the documents for each block,
-so what is broadcast is bounded whatever the benchmark's size.
+so what is broadcast is bounded whatever the benchmark's size.  Equal grams are
+looked up for whole documents, about ``HITS`` at a time.
 
 Cases: null and empty texts match nothing; null document ids are reported as
 null; items without an id are used, with a null id; repeated rows give repeated
@@ -24,7 +27,7 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,13 @@ from pyspark.sql import functions as F
 
 from . import _util
 
-# The seeds; 1 keeps a word, 0 ignores it.
-SEEDS = ("110110010111", "111010011011", "101101110101", "111111110000")
-SPAN = 12
+# Grams have at most so many words.
+MAX_GRAM = 8
 MIN_ITEM = 5
-MISMATCH = -3
 #: Text of the benchmark that is broadcast at once; an item that is larger makes a block alone.
 BLOCK_BYTES = 8 << 20
+#: Equal grams that are looked up at once, in whole documents.
+HITS = 2_000_000
 #: Distinct words whose hashes one Python worker holds at most.
 CACHE = 300_000
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -63,82 +66,99 @@ def words(text: bytes) -> list[bytes]:
     return folded.translate(None, _PUNCTUATION).split()
 
 
-def hashes(texts: list[list[bytes]]) -> np.ndarray:
+def hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each text's words end."""
     if len(_words) > CACHE:
         _words.clear()
     get = _words.__getitem__
-    return np.fromiter((get(w) for ws in texts for w in ws), np.uint64, sum(map(len, texts)))
+    found = [np.fromiter(map(get, words(t)), np.uint64) for t in texts]
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.cumsum([len(f) for f in found], dtype=np.int64)
 
 
-def seed_hashes(h: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
-    """The hash of the kept words of the window that starts at each position."""
-    n = len(h) - span + 1
+def gram_hashes(h: np.ndarray, q: int) -> np.ndarray:
+    """The hash of the ``q`` words that start at each position."""
+    n = len(h) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, span * 64 + len(mask), np.uint64)
-    for k in mask:
+    out = np.full(n, q, np.uint64)
+    for k in range(q):
         out = (out ^ h[k : k + n]) * _MULTIPLIER
         out ^= out >> np.uint64(31)
     return out
 
 
+def gram_of(n_words: int, min_overlap: int, identity: int) -> tuple[int, int]:
+    """The longest grams of which every window that counts keeps some, and how many it keeps at least."""
+    lengths = range(min(min_overlap, n_words), n_words + 1)
+    for q in range(min(MAX_GRAM, lengths[0]), 0, -1):
+        least = min(n - q + 1 - q * (n * (100 - identity) // 100) for n in lengths)
+        if least > 0:
+            return q, least
+    return 1, 1
+
+
 class Index:
     """The seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]]):
-        texts = [(i, words(t)) for i, t in items]
-        texts = [(i, ws) for i, ws in texts if len(ws) >= MIN_ITEM]
-        self.ids = [i for i, _ in texts]
-        self.tokens = hashes([ws for _, ws in texts])
-        lens = np.array([len(ws) for _, ws in texts], np.int64)
+    def __init__(self, items: list[tuple[int | None, bytes]], min_overlap: int, identity: int):
+        self.min_overlap, self.identity = min_overlap, identity
+        tokens, ends = hashes(t for _, t in items)
+        lens = np.diff(ends, prepend=0)
+        used = lens >= MIN_ITEM
+        self.ids = [i for (i, _), u in zip(items, used) if u]
+        self.tokens, lens = tokens[np.repeat(used, lens)], lens[used]
         self.starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(lens)), lens)
-        self.shapes: list[tuple[tuple[int, ...], int]] = [(tuple(k for k, c in enumerate(s) if c == "1"), SPAN) for s in SEEDS]
-        self.shapes += [(tuple(range(n)), int(n)) for n in sorted(set(lens[lens < SPAN].tolist()))]
+        self.owner = owner = np.repeat(np.arange(len(lens)), lens)
+        of_length = {n: gram_of(n, min_overlap, identity) for n in set(lens.tolist())}
+        size, self.least = np.array([of_length[n] for n in lens.tolist()], np.int64).reshape(-1, 2).T
         self.tables = []
-        for mask, span in self.shapes:
-            found = seed_hashes(self.tokens, mask, span)
+        for q in sorted(set(size.tolist())):
+            found = gram_hashes(self.tokens, q)
             at = np.arange(len(found))
-            inside = owner[at] == owner[at + span - 1] if len(found) else np.zeros(0, bool)
-            if span < SPAN:
-                inside &= lens[owner[at]] == span
-            at, found = at[inside], found[inside]
+            at = at[(owner[at] == owner[at + q - 1]) & (size[owner[at]] == q)]
+            found = found[at]
             order = np.argsort(found, kind="stable")
             seen = np.zeros(1 << _FILTER_BITS, bool)
             seen[(found >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.tables.append((found[order], at[order], seen))
-        self.owner = owner
+            self.tables.append((q, found[order], at[order], seen))
 
     def alignments(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """``doc, item, shift``: position ``p`` of the item stands at ``p + shift`` of ``h``."""
-        keys = []
-        for (mask, span), (sorted_hashes, positions, seen) in zip(self.shapes, self.tables):
-            found = seed_hashes(h, mask, span)
-            if not len(found) or not len(sorted_hashes):
-                continue
+        for q, sorted_hashes, positions, seen in self.tables:
+            found = gram_hashes(h, q)
             at = np.flatnonzero(seen[(found >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            at = at[doc[at] == doc[at + span - 1]]
+            at = at[doc[at] == doc[at + q - 1]]
             low = np.searchsorted(sorted_hashes, found[at])
             count = np.searchsorted(sorted_hashes, found[at], "right") - low
             at, low, count = at[count > 0], low[count > 0], count[count > 0]
-            if not len(at):
-                continue
-            each = np.repeat(at, count)
-            k = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            item = self.owner[positions[k]]
-            keys.append(np.stack([doc[each], item, each - (positions[k] - self.starts[item])], 1))
-        if keys:
-            yield from map(tuple, np.unique(np.concatenate(keys), axis=0).tolist())
+            total = np.cumsum(count)
+            a = 0
+            while a < len(at):
+                # Whole documents, one at least, with about HITS equal grams.
+                b = int(np.searchsorted(total, total[a] + HITS))
+                b = max(int(np.searchsorted(doc[at], doc[at[min(b, len(at) - 1)]])) if b < len(at) else b, int(np.searchsorted(doc[at], doc[at[a]], "right")))
+                n = count[a:b]
+                each = np.repeat(at[a:b], n)
+                k = np.repeat(low[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                item = self.owner[positions[k]]
+                shift = each - (positions[k] - self.starts[item])
+                order = np.lexsort((shift, item, doc[each]))
+                keys = np.stack([doc[each], item, shift], 1)[order]
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+                equal = np.diff(first, append=len(keys))
+                yield from map(tuple, keys[first[equal >= self.least[keys[first, 1]]]].tolist())
+                a = b
 
     def overlap(self, h: np.ndarray, low: int, high: int, item: int, shift: int) -> tuple[int, int, int]:
-        """The best run on one alignment within ``h[low:high]``: its start in ``h``, length and equal words."""
+        """The longest window with enough equal words on one alignment within ``h[low:high]``: its start in ``h``, length and equal words."""
         first, last = self.starts[item], self.starts[item + 1]
         a, b = max(low, shift), min(high, shift + int(last - first))
         same = self.tokens[first + a - shift : first + b - shift] == h[a:b]
-        score = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-        gain = score - np.minimum.accumulate(score)
-        end = int(gain.argmax())
-        start = end - int((score[: end + 1][::-1] == score[: end + 1].min()).argmax())
+        # A window has enough equal words when the score doesn't fall over it.
+        score = np.concatenate([[0], np.cumsum(np.where(same, 100 - self.identity, -self.identity))])
+        starts = np.searchsorted(-np.minimum.accumulate(score), -score)
+        end = int((np.arange(len(score)) - starts).argmax())
+        start = int(starts[end])
         return a + start, end - start, int(same[start:end].sum())
 
     def words_of(self, item: int) -> int:
@@ -148,22 +168,21 @@ class Index:
 SCHEMA = "doc_id long, item_id long, start_word long, overlap_words long, equal_words long, item_words long"
 
 
-def scan(docs: DataFrame, index: Index, min_overlap: int, identity: int, id_col: str, text_col: str) -> DataFrame:
+def scan(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = [words(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(ws) for ws in texts])
-            h, doc = hashes(texts), np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
+            h, ends = hashes(t.as_py() for t in batch.column(1))
+            starts = np.concatenate([[0], ends]).astype(np.int64)
+            doc = np.repeat(np.arange(len(ids)), np.diff(starts))
             best: dict[tuple[int, int], tuple] = {}
             for d, item, shift in index.alignments(h, doc):
-                low = int(ends[d]) - len(texts[d])
+                low = int(starts[d])
                 start, n, equal = index.overlap(h, low, int(ends[d]), item, shift)
-                need = min(min_overlap, index.words_of(item))
-                if n >= need and 100 * equal >= identity * n and (equal, -start) > best.get((d, item), (0, 0))[:2]:
+                if n >= min(index.min_overlap, index.words_of(item)) and (equal, -start) > best.get((d, item), (0, 0))[:2]:
                     best[d, item] = (equal, -start, ids[d], index.ids[item], start - low, n, equal, index.words_of(item))
             rows = [best[k][2:] for k in sorted(best)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], [c.split()[0] for c in SCHEMA.split(", ")])
@@ -193,7 +212,7 @@ def find(
     _util.tune(spark)
     out = None
     for block in blocks(benchmark, item_col, item_text_col):
-        found = _util.materialize(scan(docs, Index(block), min_overlap, identity, id_col, text_col), "matches")
+        found = _util.materialize(scan(docs, Index(block, min_overlap, identity), id_col, text_col), "matches")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
