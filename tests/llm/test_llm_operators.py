@@ -464,6 +464,45 @@ def test_models_tell_classes_apart(spark):
     assert url_filter.train(spark.createDataFrame(urls[:5], "text binary, label int")) is None
 
 
+def test_model_counts_are_exact_and_grow(spark):
+    rng = random.Random(16)
+    urls = [(bytes(rng.choices(range(97, 123), k=60)), k % 2) for k in range(8000)]
+    model = url_filter.train(spark.createDataFrame(urls, "text binary, label int"))
+    want = {}
+    for text, label in urls:
+        padded = b"\x02" * 5 + text + b"\x03"
+        for k in range(len(text) + 1):
+            want.setdefault(padded[k : k + 6], [0, 0])[label] += 1
+    assert len(want) > 1 << 18
+    assert {(int(key).to_bytes(6, "big"), n0, n1) for key, n0, n1 in model.tables} == {(g, *n) for g, n in want.items()}
+
+
+def plain_score(urls, text):
+    logs = []
+    for label in (0, 1):
+        padded = [b"\x02" * 5 + t + b"\x03" for t, known in urls if known == label]
+        total, own = 0.0, b"\x02" * 5 + text + b"\x03"
+        for end in range(5, len(own)):
+            p = 1 / 256
+            for k in range(6):
+                seen = [t[i - k : i + 1] for t in padded for i in range(5, len(t)) if t[i - k : i] == own[end - k : end]]
+                p = (seen.count(own[end - k : end + 1]) + 2 * p) / (len(seen) + 2)
+            total += math.log(max(p, 1e-12))
+        logs.append(total)
+    return (logs[1] - logs[0]) / (len(text) + 1)
+
+
+def test_scores_by_blocks_equal_single_scores(spark):
+    rng = random.Random(17)
+    label = [(f"{rng.choice(['a', 'shop', 'b'])}{rng.randrange(99)}.com/en/{rng.randrange(999)}".encode(), k % 2) for k in range(300)]
+    model = url_filter.train(spark.createDataFrame(label, "text binary, label int"))
+    texts = [t for t, _ in label[:5]] + [b"", b"QQ" * 9, "é.org/ü".encode(), b"b.org/x", b"b.org/x"]
+    rows = url_filter._scored(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n long, text binary"), model, "text").collect()
+    assert sorted(r.n for r in rows) == list(range(len(texts)))
+    assert all(math.isclose(r.score, model.score(texts[r.n]), abs_tol=1e-9) for r in rows)
+    assert all(math.isclose(r.score, plain_score(label, texts[r.n]), abs_tol=1e-9) for r in rows)
+
+
 # Tool calls
 
 

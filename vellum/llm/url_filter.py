@@ -12,9 +12,12 @@ log-likelihoods, accepted less rejected, divided by its length is under the
 cut.  The cut is calibrated on labelled urls that the models haven't seen: at
 most ``false_block`` of the accepted ones fall under it.
 
-Counts are kept in tables of ``1 << BITS`` hashed slots, one row per slot, order
-and class, so what is gathered and broadcast has a fixed bound.  They cover all
-labelled urls but the calibration fifth.
+A context of five bytes and its character make one number, so the counts are
+exact: a table with a row for each such gram of the labelled urls but the
+calibration fifth, which grows with them.  Shorter grams are its sums by their
+last bytes.  No more than the grams of two bytes, 65,536 at most, are broadcast;
+all else is joined.  Urls are scored in blocks: a block's distinct grams meet the
+table, and what they are worth comes back to the block.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed with a null score; null ids are kept; repeated rows give
@@ -26,9 +29,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +44,9 @@ RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
 ORDERS = 5
-BITS = 18
 STRENGTH = 2.0
 ALPHABET = 256
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+LEAST = 1e-12
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -63,84 +67,125 @@ def decide(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def gram_slots(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the slots of each position's context and of context and character."""
-    b = np.frombuffer(b"\x02" * ORDERS + text + b"\x03", np.uint8).astype(np.uint64)
-    n = len(text) + 1
-    shift = np.uint64(64 - BITS)
-    out = []
-    context = np.full(n, 1, np.uint64)
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each character, or at the text's end, as a number, and the text it is of."""
+    padded = [b"\x02" * ORDERS + t + b"\x03" for t in texts]
+    b = np.frombuffer(b"".join(padded), np.uint8).astype(np.int64)
+    owner = np.repeat(np.arange(len(padded)), [len(t) for t in padded])
+    n = max(len(b) - ORDERS, 0)
+    keys = np.zeros(n, np.int64)
     for k in range(ORDERS + 1):
-        if k:
-            context = (context ^ (b[ORDERS - k : ORDERS - k + n] + np.uint64(k << 8))) * _MULTIPLIER
-            context ^= context >> np.uint64(29)
-        gram = (context ^ (b[ORDERS:] + np.uint64(0xABCD00))) * _MULTIPLIER
-        gram ^= gram >> np.uint64(31)
-        out.append((((context * _MULTIPLIER) >> shift).astype(np.int64), ((gram * _MULTIPLIER) >> shift).astype(np.int64)))
-    return out
+        keys = keys << 8 | b[k : k + n]
+    inside = owner[:n] == owner[ORDERS:]
+    return keys[inside], owner[:n][inside]
 
 
 def _counts(urls: DataFrame) -> DataFrame:
-    """``kind, slot, n``: gram and context counts, summed within a partition before they are shuffled.
-
-    A kind is class * 2 * (ORDERS + 1) + 2 * order + (0 for contexts, 1 for grams).
-    """
+    """``key, n0, n1``: how often each gram is in rejected and accepted urls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = 4 * (ORDERS + 1)
-        table = np.zeros((kinds, 1 << BITS), np.int32)
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for order, slots in enumerate(gram_slots(text)):
-                    for part in (0, 1):
-                        np.add.at(table[label * 2 * (ORDERS + 1) + 2 * order + part], slots[part], 1)
-        for kind in range(kinds):
-            at = np.flatnonzero(table[kind])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[kind][at].astype(np.int64))], ["kind", "slot", "n"])
+            keys, owner = grams(batch.column(0).to_pylist())
+            found, at = np.unique(keys, return_inverse=True)
+            label = np.array(batch.column(1).to_pylist(), np.int64)[owner]
+            n = np.bincount(2 * at + label, minlength=2 * len(found)).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[:, 0]), pa.array(n[:, 1])], ["key", "n0", "n1"])
+
+    return urls.mapInArrow(run, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    return urls.mapInArrow(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
+
+def _last(n: int) -> int:
+    """The mask of a gram's last ``n`` bytes."""
+    return (1 << 8 * n) - 1
 
 
 @dataclass
 class Model:
-    tables: np.ndarray
+    counts: DataFrame
+
+    @cached_property
+    def tables(self) -> np.ndarray:
+        """All counts, in one place: for single urls and small tables only."""
+        return np.array(sorted(map(tuple, self.counts.collect())), np.int64).reshape(-1, 3)
 
     def score(self, text: bytes) -> float:
         """Mean log-likelihood difference for each character."""
-        parts = []
-        slots = gram_slots(text)
-        for label in (0, 1):
-            p = np.full(len(text) + 1, 1 / ALPHABET)
-            for order, (context, gram) in enumerate(slots):
-                kind = label * 2 * (ORDERS + 1) + 2 * order
-                p = (self.tables[kind + 1][gram] + STRENGTH * p) / (self.tables[kind][context] + STRENGTH)
-            parts.append(np.log(np.clip(p, 1e-12, None)).sum())
-        return float(parts[1] - parts[0]) / (len(text) + 1)
+        known, total = self.tables[:, 0], 0.0
+        for key in grams([text])[0].tolist():
+            p = np.full(2, 1 / ALPHABET)
+            for k in range(ORDERS + 1):
+                gram = self.tables[known & _last(k + 1) == key & _last(k + 1), 1:].sum(0)
+                context = self.tables[known >> 8 & _last(k) == key >> 8 & _last(k), 1:].sum(0)
+                p = (gram + STRENGTH * p) / (context + STRENGTH)
+            rejected, accepted = np.log(np.clip(p, LEAST, None))
+            total += float(accepted - rejected)
+        return total / (len(text) + 1)
+
+    def worth(self, asked: DataFrame) -> DataFrame:
+        """``key, worth``: the log-likelihood difference of each gram that is counted or asked for."""
+        both = self.counts.unionByName(asked.select("key", F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1")))
+        both = _util.materialize(both.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+        tail = lambda c, n: F.col(c).bitwiseAND(F.lit(_last(n)).cast("long"))
+        known = None
+        for k in range(ORDERS + 1):
+            # Contexts of up to two bytes and grams of up to two are bounded tables.
+            small = F.broadcast if k <= 2 else lambda df: df
+            context = both.groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(_last(k)).cast("long")).alias("context")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+            level = both.groupBy(tail("key", k + 1).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+            level = level.withColumn("context", F.shiftright("key", 8)).join(small(context), "context")
+            if known is None:
+                level = level.withColumns({"q0": F.lit(1 / ALPHABET), "q1": F.lit(1 / ALPHABET)})
+            else:
+                lower = known.select(F.col("key").alias("lower"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+                level = level.withColumn("lower", tail("key", k)).join(small(lower), "lower")
+            known = level.select("key", *[((F.col(f"n{c}") + STRENGTH * F.col(f"q{c}")) / (F.col(f"c{c}") + STRENGTH)).alias(f"p{c}") for c in (0, 1)])
+        return known.select("key", (F.log(F.greatest("p1", F.lit(LEAST))) - F.log(F.greatest("p0", F.lit(LEAST)))).alias("worth"))
 
 
 def train(labelled: DataFrame) -> Model | None:
     """From ``text binary, label int`` (1: accepted); None without both classes."""
-    rows = _counts(labelled).toPandas()  # at most 4 * (ORDERS + 1) * 2**BITS rows
-    half = 2 * (ORDERS + 1)
-    if rows.empty or rows["kind"].min() >= half or rows["kind"].max() < half:
-        return None
-    tables = np.zeros((2 * half, 1 << BITS), np.float32)
-    tables[rows["kind"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return Model(tables)
+    counts = _util.materialize(_counts(labelled), "counts")
+    sums = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    return Model(counts) if sums[0] and sums[1] else None
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def _scored(df: DataFrame, model: Model, column: str) -> DataFrame:
-    """All columns of ``df`` with the score of the bytes in ``column``; null where they are."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """All columns of ``df`` with the score of the bytes in ``column``, none of them null."""
     names = df.columns
     at = names.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, first + k))], [*names, "_block"])
+
+    # Written, so that a row's block stays what it is.
+    rows = _util.materialize(df.mapInArrow(block, _fields(df) + ", _block long"), "blocks")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [None if t is None else shared.value.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
+            keys, owner = grams(batch.column(0).to_pylist())
+            blocks = batch.column(1).to_numpy()
+            for b in np.unique(blocks):
+                found = np.unique(keys[blocks[owner] == b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b)), pa.array(found)], ["_block", "key"])
+
+    asked = _util.materialize(rows.select(column, "_block").mapInArrow(distinct, "_block long, key long"), "asked")
+    worth = asked.join(model.worth(asked.select("key")), "key").select("_block", "key", "worth")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, owner = grams(left.column(at).to_pylist())
+        known, first = np.unique(right.column("key").to_numpy(), return_index=True)
+        each = right.column("worth").to_numpy()[first][np.searchsorted(known, keys)]
+        n = left.num_rows
+        means = np.bincount(owner, each, n) / np.bincount(owner, minlength=n)
+        return left.drop_columns("_block").append_column("score", pa.array(means))
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double")
+    return rows.groupBy("_block").cogroup(worth.groupBy("_block")).applyInArrow(score, _fields(df) + ", score double")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, false_block: float = 0.01, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -154,10 +199,11 @@ def filter_urls(pages: DataFrame, rules=RULES, false_block: float = 0.01, id_col
     rule = F.col("by_rule.rule").alias("rule")
     if model is None:
         return base.select("page_id", "host", "path", rule, F.coalesce("by_rule.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    seen = _scored(labelled.where("held and label = 1"), model, "text")
-    cut = seen.agg(F.percentile_approx("score", false_block, 10_000)).first()[0]
+    # What is scored: the undecided, and the accepted ones that calibrate the cut.
+    asked = base.where("text is not null and (by_rule is null or (held and by_rule.verdict = 'allow'))")
+    scored = _util.materialize(_scored(asked.select("page_id", "host", "path", "text", F.col("by_rule").isNull().alias("open")), model, "text"), "scores")
+    cut = scored.where("not open").agg(F.percentile_approx("score", false_block, 10_000)).first()[0]
     cut = min(0.0, cut) if cut is not None else 0.0
-    undecided = base.withColumn("text", F.when(F.col("by_rule").isNull(), F.col("text"))).select("page_id", "host", "path", rule, F.col("by_rule.verdict").alias("ruled"), "text")
-    out = _scored(undecided, model, "text")
-    verdict = F.coalesce("ruled", F.when(F.col("score") < cut, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    shown = lambda df, rule, verdict, score: df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), score.alias("score"))
+    rest = shown(base.where("by_rule is not null or text is null"), rule, F.coalesce("by_rule.verdict", F.lit("allow")), F.lit(None).cast("double"))
+    return rest.unionByName(shown(scored.where("open"), F.lit(None).cast("string"), F.when(F.col("score") < cut, "block").otherwise("allow"), F.col("score")))
