@@ -158,6 +158,20 @@ def test_pii_checksums_and_context(spark):
     assert got == {0: "iban:5:27", 1: "", 2: "national_id:5:16", 3: "", 4: "local_phone:5:17", 5: ""}
 
 
+def test_pii_accounts_among_capitals_and_numbers(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"
+    around = [("", ""), ("", " Please"), ("", " BIC COBADEFF"), ("", " 12 EUR"), ("é REF AB12 ", " X"), ("ID GB12 ", ""), ("", " " + gb), (gb + " ", " 7"), ("", "x"), ("A", "")]
+    texts = [a + x + b for x in (de, de.replace(" ", ""), de[:-1] + "1") for a, b in around]
+    want = {}
+    for k, text in enumerate(texts):
+        valid = [m for x in (de, de.replace(" ", ""), gb) for m in re.finditer(rf"(?<![A-Za-z0-9]){x}(?![A-Za-z0-9])", text)]
+        want[k] = ",".join(f"iban:{a}:{b}" for a, b in sorted(m.span() for m in valid))
+    assert want[3] == "iban:0:27" and want[6].count("iban") == 2 and want[20] == ""
+    got = {r.doc_id: r.s for r in pii.find(documents(spark, texts)).select("doc_id", pii.joined(F.col("iban_spans")).alias("s")).collect()}
+    assert got == want
+    assert [r.text for r in pii.redact(documents(spark, [texts[3], texts[6]])).orderBy("doc_id").collect()] == ["[IBAN] 12 EUR", "[IBAN] [IBAN]"]
+
+
 def test_pii_redaction(spark):
     docs = documents(spark, ["é a@b.cd, 1.2.3.4!", "none", "", "+49 30 1234567890 and +44465758382889437"])
     out = pii.redact(docs)

@@ -24,7 +24,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# A place where an account may start, and as much text as the longest one and its end can take.
+IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,31}))"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?<!\+[0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 
@@ -43,6 +44,12 @@ CONTEXT = {
     "local_phone": "phone|tel|call|mobile|fax|telefon|telefono|whatsapp",
 }
 CONTEXT_BONUS = 0.4
+# The lengths of accounts by country; those of other codes have 15 to 34 characters.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()
 #: Code points before a span in which context words count.
 WINDOW = 40
 #: Spans beyond the base kinds are kept from this score on.
@@ -77,6 +84,37 @@ def _valid_iban(match: Column) -> Column:
     return F.length(s).between(15, 34) & (rest == 1)
 
 
+def _account(run: Column) -> Column:
+    """The account that ``run`` starts with, or an empty string: of its country's length, else the longest valid one."""
+    lengths = F.expr("map(" + ", ".join(f"'{c[:2]}', {c[2:]}" for c in IBAN_LENGTHS) + ")")
+    own = F.try_element_at(lengths, F.substring(run, 1, 2))
+    tried = F.when(own.isNull(), F.sequence(F.lit(34), F.lit(15), F.lit(-1))).otherwise(F.array(own))
+    head = lambda n: F.call_function("regexp_extract", run, F.concat(F.lit(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){"), (n - 4).cast("string"), F.lit(r"}(?![A-Za-z0-9])")), F.lit(0))
+    return F.coalesce(F.get(F.filter(F.transform(tried, head), _valid_iban), F.lit(0)), F.lit(""))
+
+
+def _account_spans(text: Column) -> Column:
+    """Valid accounts, the leftmost of those that overlap, whatever capitals and digits stand around them."""
+    # The matches are empty; after a first character none is at the start, where split would leave it out.
+    whole = F.concat(F.lit("\n"), text)
+    accounts = F.transform(F.regexp_extract_all(whole, F.lit(IBAN), F.lit(1)), _account)
+    gaps = F.transform(F.split(whole, IBAN, -1), F.length)
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(accounts)), accounts, lambda g, a: F.struct(g.alias("gap"), a.alias("match")))
+    return F.aggregate(
+        steps,
+        F.expr("named_struct('at', -1, 'end', 0, 'spans', cast(array() as array<struct<start:int,end:int,match:string>>))"),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"]).alias("at"),
+            F.when((x["match"] != "") & (acc["at"] + x["gap"] >= acc["end"]), acc["at"] + x["gap"] + F.length(x["match"])).otherwise(acc["end"]).alias("end"),
+            F.when(
+                (x["match"] != "") & (acc["at"] + x["gap"] >= acc["end"]),
+                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"), x["match"].alias("match")))),
+            ).otherwise(acc["spans"]).alias("spans"),
+        ),
+        lambda acc: acc["spans"],
+    )
+
+
 def _always(_: Column) -> Column:
     return F.lit(True)
 
@@ -94,15 +132,14 @@ RULES = {
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
 
 
-def kind_spans(text: Column, kind: str) -> Column:
-    """The confirmed spans of one kind, in order."""
-    pattern, confirm, cheap = RULES[kind]
+def _match_spans(text: Column, pattern: str, confirm) -> Column:
+    """The confirmed matches of a pattern, in order."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     # Each gap's length goes with the match after it; the last gap has none.
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     empty = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,match:string>>))")
-    placed = F.aggregate(
+    return F.aggregate(
         steps,
         empty,
         lambda acc, x: F.struct(
@@ -114,6 +151,12 @@ def kind_spans(text: Column, kind: str) -> Column:
         ),
         lambda acc: acc["spans"],
     )
+
+
+def kind_spans(text: Column, kind: str) -> Column:
+    """The confirmed spans of one kind, in order."""
+    pattern, confirm, cheap = RULES[kind]
+    placed = _account_spans(text) if kind == "iban" else _match_spans(text, pattern, confirm)
     before = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))))
     scored = F.transform(
         placed,
