@@ -39,6 +39,15 @@ def test_auto_rename(spark):
     assert [r.free_name for r in diff.auto_rename(wanted, taken).orderBy("ord").collect()] == ["a.txt", "a(1).txt", "b(1)", ".rc"]
 
 
+def test_auto_rename_skips_numbers_in_use(spark):
+    names = ["a.txt", "a.txt", "a(1).txt", "a.txt", "a(1).txt", "c.d", "c.d", "a.txt", "e"]
+    held = ["a(3).txt", "c.d(1)", "e", "e(1)", "e(02)", "e(2).x"]
+    wanted = spark.createDataFrame(list(enumerate(names)), "ord long, name string")
+    got = [r.free_name for r in diff.auto_rename(wanted, spark.createDataFrame([(t,) for t in held], "name string")).orderBy("ord").collect()]
+    assert got == ["a.txt", "a(2).txt", "a(1).txt", "a(4).txt", "a(1)(1).txt", "c.d", "c(1).d", "a(5).txt", "e(2)"]
+    assert len(set(got)) == len(got) and not set(got) & set(held)
+
+
 @pytest.mark.parametrize("parts", [1, 4, 13])
 def test_running_total_for_any_number_of_partitions(spark, parts):
     df = spark.createDataFrame([(k, k * k % 7) for k in range(50)], "ord long, v long")

@@ -91,8 +91,23 @@ def validate_edits(edits: DataFrame) -> DataFrame:
 
 
 def auto_rename(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """Free names: a taken one becomes ``name(k).ext``, the k-th of its collisions."""
-    dup = wanted.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1)
-    dup = dup.join(taken.select("name").distinct().withColumn("is_taken", F.lit(1)), "name", "left").withColumn("k", F.col("k") + F.coalesce("is_taken", F.lit(0)))
+    """Free names: a taken one becomes ``name(n).ext`` with the next ``n`` whose name is neither taken nor wanted.
+
+    The first wanted of a free name keeps it.  The k-th collision of a name gets its
+    k-th number that isn't in use: ``k`` plus the numbers in use below that.
+    """
     stem, ext = F.regexp_extract("name", r"(?s)^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("name", r"(?s)^(.*?)(\.[^./]*)?$", 2)
-    return dup.select("ord", "name", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("("), F.col("k").cast("string"), F.lit(")"), ext)).alias("free_name"))
+    named = lambda n: F.concat(stem, F.lit("("), n.cast("string"), F.lit(")"), ext)
+    dup = wanted.select("ord", "name").withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1)
+    dup = dup.join(taken.select("name").distinct().withColumn("is_taken", F.lit(1)), "name", "left").withColumn("k", (F.col("k") + F.coalesce("is_taken", F.lit(0))).cast("long"))
+    # Numbers in use, with the name that would be given them.
+    numbered = r"(?s)^(.*)\(([1-9][0-9]{0,17})\)(\.[^./]*)?$"
+    part = lambda k: F.regexp_extract("whole", numbered, k)
+    used = taken.select("name").unionByName(wanted.select("name")).distinct().withColumnRenamed("name", "whole").where(F.col("whole").rlike(numbered))
+    used = used.select("whole", F.concat(part(1), part(3)).alias("name"), part(2).cast("long").alias("n")).where(named(F.col("n")) == F.col("whole"))
+    # The j-th number in use, from 0, is passed by the collisions from n - j on.
+    used = used.select("name", (F.col("n") - F.row_number().over(Window.partitionBy("name").orderBy("n")) + 1).alias("k"), F.lit(1).alias("in_use"))
+    both = dup.select("ord", "name", "k", F.lit(0).alias("in_use")).unionByName(used, allowMissingColumns=True)
+    before = Window.partitionBy("name").orderBy("k", F.desc("in_use")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    given = both.withColumn("n", F.col("k") + F.sum("in_use").over(before)).where("in_use = 0")
+    return given.select("ord", "name", F.when(F.col("k") == 0, F.col("name")).otherwise(named(F.col("n"))).alias("free_name"))
