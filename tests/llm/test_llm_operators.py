@@ -206,6 +206,13 @@ def test_rule_measures(spark):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(plain[r.doc_id])
 
 
+def test_repeats_are_told_by_whole_hashes(spark, monkeypatch):
+    # A hash of 32 bits: without those of a position too few are left to tell 5000 windows apart.
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.crc32(F.concat_ws(" ", *c).cast("binary")).cast("long"))
+    text = " ".join(f"w{k}" for k in range(5000)) + " w7 w8 w9"
+    assert [r.n_repeat_words for r in quality_rules.measures(documents(spark, [text])).collect()] == [6]
+
+
 def test_binomial_tail(spark):
     cases = [(0, 10, 0.1), (3, 50, 0.1), (20, 1000, 0.02), (5, 20_000, 0.02), (0, 0, 0.1)]
     for k, n, p in cases:

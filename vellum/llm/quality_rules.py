@@ -16,7 +16,7 @@ Cases: a null or empty text has no words and fails the base rule; null ids are
 kept, unlabelled; a null or unlisted stratum is ``other``; repeated labels count
 once each; with no labels no cutoff passes and the base rules alone decide; an
 empty table gives an empty one; other columns are not read.  The repeated
-windows of a text are told apart by 64-bit hashes less the bits of a position.
+windows of a text are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -49,9 +49,8 @@ LIMIT, LEVEL = 0.02, 0.05
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The counts and measures of every whole text; a narrow plan.
 
-    The words of repeated 3-word windows: a key holds a window's hash in its
-    upper bits and its position in the lower ones, so that one sort of plain
-    longs brings equal windows together.  The positions with an equal neighbour
+    The words of repeated 3-word windows: a key is a window's hash and its
+    position, so that one sort brings equal windows together.  The positions with an equal neighbour
     are sorted again, and each covers the words up to the next, three at most.
     """
     stratum = F.col(stratum_col).cast("string")
@@ -76,14 +75,12 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))).alias("n_upper"),
         F.when(F.col("windows") >= 2, hashed).otherwise(F.expr("cast(array() as array<bigint>)")).alias("hashes"),
     )
-    low = F.expr("shiftleft(1L, length(bin(windows))) - 1L")  # the bits of a position
-    key = F.transform("hashes", lambda h, i: h.bitwiseAND(F.bitwise_not(F.col("low"))).bitwiseOR(i.cast("long")))
+    key = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.cast("long").alias("at")))
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
-    out = out.withColumn("low", low).withColumn("keys", F.when(repeats, F.sort_array(key)))
-    head = lambda k: k.bitwiseAND(F.bitwise_not(F.col("low")))
-    equal = lambda k, i: F.coalesce(head(k) == head(F.get("keys", i)), F.lit(False))
+    out = out.withColumn("keys", F.when(repeats, F.sort_array(key)))
+    equal = lambda k, i: F.coalesce(k["hash"] == F.get("keys", i)["hash"], F.lit(False))
     found = F.filter("keys", lambda k, i: equal(k, i - 1) | equal(k, i + 1))
-    at = F.sort_array(F.transform(found, lambda k: k.bitwiseAND(F.col("low"))))
+    at = F.sort_array(F.transform(found, lambda k: k["at"]))
     covered = F.aggregate(
         at,
         F.expr("named_struct('last', -3L, 'n', 0L)"),
