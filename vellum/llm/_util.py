@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch.  Whole documents are sent, so a batch is kept to a
 #: thousand of them; Spark also ends a batch at ``BATCH_BYTES``.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Distinct words whose hashes one Python worker holds at most, and bytes of the longest that it holds.
+WORDS, LONG_WORD = 100_000, 64
+#: Bytes of a text whose words are split at once.
+SEGMENT = 1 << 20
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def tune(spark: SparkSession) -> None:
@@ -54,3 +65,80 @@ def text_bytes(col: str | Column = "text") -> Column:
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text's bytes, under names that clash with nothing."""
     return df.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_text"))
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are counted to be few; else a join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept while they fit."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = found
+        return found
+
+
+#: The one cache of word hashes in a worker, whichever operators it runs.
+_words = WordHashes()
+
+
+def segments(text: bytes) -> Iterator[bytes]:
+    """The text in parts that end at white space."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        found = _SPACE.search(text, at + SEGMENT)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
+def hash_words(texts: Iterable[bytes]) -> np.ndarray:
+    """The hashes of the words of consecutive texts, in order; ASCII white space parts words."""
+    out = []
+    for text in texts:
+        words = text.split()
+        if len(_words) > WORDS:
+            _words.clear()
+        out.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def releasing(run: Run) -> Run:
+    """``run``, which leaves no cache and no free pages behind in the worker that the next task reuses."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Imported by name: a closure would bring a copy of the module's cache along.
+        from vellum.llm import _util
+
+        try:
+            yield from run(batches)
+        finally:
+            _util._words.clear()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[list[bytes]], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose text ``judge`` keeps, and those without an id: one pass over the rows, no join."""
+    names = docs.columns
+    at_id, at_text = names.index(id_col), names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at_text).cast(pa.binary()).to_pylist()]
+            loose = batch.column(at_id).is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(judge(texts) | loose))
+
+    return docs.mapInArrow(releasing(run), docs.schema)
