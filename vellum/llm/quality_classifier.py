@@ -124,8 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, max_r
             rows = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["id", "grade", "x"])
 
-    # The sample has max_rows ids at most, so it can be broadcast.
-    held = _util.id_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("_id") == F.col("_lid")).dropDuplicates(["_id"])
+    # The sample has max_rows ids at most, so it can be broadcast; of texts that repeat an id the least one counts.
+    held = _util.id_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("_id") == F.col("_lid")).groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_grade").alias("_grade"))
     rows = held.select("_id", "_text", "_grade").mapInArrow(run, "id long, grade int, x binary").toPandas()
     if rows.empty or rows["grade"].nunique() < 2:
         return None
@@ -143,19 +143,24 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, max_r
     return model
 
 
+def judge(model: Model | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The tail probabilities of each text, and whether it is kept."""
+    if model is None:
+        tails = np.ones((len(texts), 1))
+    else:
+        tails = np.concatenate([np.zeros((0, len(model.thresholds))), *[model.tails(features(t)[None, :]) for t in texts]])
+    return tails, tails[:, 0] >= (model.cut if model else 0.0)
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, expected_grade, tail_probability, kept`` of every whole text; a narrow map."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if model is None:
-                tails = np.ones((len(texts), 1))
-            else:
-                tails = np.concatenate([model.tails(features(t)[None, :]) for t in texts])
-            kept = tails[:, 0] >= (model.cut if model else 0.0)
+            tails, kept = judge(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1).astype(np.float64)), pa.array(tails[:, 0].astype(np.float64)), pa.array(kept)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return _util.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return _util.id_text(docs, id_col, text_col).mapInArrow(_util.releasing(run), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -163,7 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return score(docs, train(docs, labels, **options))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows whose id isn't rejected; rows without an id are kept."""
-    bad = classify(docs, labels, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_vellum_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_vellum_id"], "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows whose text isn't rejected, and those without an id; they are scored and filtered in one pass."""
+    _util.tune(docs.sparkSession)
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
+    return _util.keep_rows(docs, lambda texts: judge(model, texts)[1], id_col, text_col)
