@@ -305,6 +305,63 @@ def test_join_on_odd_rows(spark):
     assert ngram_join.link(empty(spark)).count() == 0
 
 
+def brute_nodes(rows):
+    """The component of each id: one node, which each of its texts links."""
+    sets = []
+    for i, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = {i: i for i, _ in rows}
+    for b, (j, _) in enumerate(rows):
+        for a, (i, _) in enumerate(rows[:b]):
+            if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return sorted((i, len(s), root[i]) for (i, _), s in zip(rows, sets))
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    word = lambda k: f"w{k}"
+    a, b = " ".join(map(word, range(60))), " ".join(map(word, range(100, 161)))
+    near_b = b.replace("w160", "end")
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, ""), (3, near_b), (4, "alone"), (4, "alone"), (5, None), (6, "x y"), (6, "z"), (-7, "z")]
+    docs = spark.createDataFrame([(i, t, "en", 7, 7, "x", k, "x") for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect())
+    assert got == brute_nodes(rows) and {c for i, _, c in got if i in (1, 2, 3)} == {1} and {c for i, _, c in got if i == 6} == {-7}
+    kept = sorted((r.doc_id, r.text or "", r._id) for r in ngram_join.keep_one(docs).collect())
+    assert kept == [(-7, "z", 11), (1, a, 0), (4, "alone", 6), (5, "", 8)]
+    rng = random.Random(21)
+    texts = near_texts(rng, 10)
+    rows = [(rng.randrange(len(texts) // 2), t) for t in texts]
+    docs = spark.createDataFrame([(i, t, "en", 7, 7, "x", 7, "x") for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()) == brute_nodes(rows)
+    # Both texts of an id that nothing smaller stands for stay.
+    docs = spark.createDataFrame([(2, a, "en", 7, 7, "x", 7, "x"), (2, b, "en", 7, 7, "x", 7, "x"), (3, near_b, "en", 7, 7, "x", 7, "x")], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()) == sorted([(2, a), (2, b)])
+
+
+def test_common_elements_are_led_by_one(spark, monkeypatch):
+    # Each of the many texts is like the next but one, so that common elements have several leaders.
+    rng = random.Random(22)
+    base = [f"w{k}" for k in range(50)]
+    texts = []
+    for k in range(120):
+        t = list(base)
+        t[rng.randrange(5, 45)] = f"n{k % 7}"
+        texts.append(" ".join(t))
+    docs = documents(spark, texts)
+    want = brute_components(texts)
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    monkeypatch.setattr(ngram_join, "OFTEN", 1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()} == want
+
+
+def test_bands_hold_all_similar_sizes(spark):
+    sizes = spark.range(1, 3000).select(F.col("id").alias("n")).withColumn("b", ngram_join._band("n", 80))
+    band = {r.n: r.b for r in sizes.collect()}
+    assert all(abs(band[n] - band[-(-4 * n // 5)]) <= 1 for n in band)
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)]
@@ -312,7 +369,7 @@ def test_components(spark):
     for a, b in edges:
         low, high = sorted((root[a], root[b]))
         root = [low if r == high else r for r in root]
-    got = {r.id: r.component for r in ngram_join.components(spark.createDataFrame(edges, "hub long, member long")).collect()}
+    got = {r.u: r.v for r in ngram_join.stars(spark.createDataFrame(edges, "hub long, member long")).collect()}
     assert got == {k: root[k] for k in got} and all(k in got for k in range(500) if root[k] != k)
 
 
@@ -364,7 +421,7 @@ def brute_contaminated(items, text, least=13, identity=80):
 def test_decontamination_misses_no_window(spark, monkeypatch):
     rng = random.Random(14)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou")
-    items = [[word() for _ in range(n)] for n in (5, 6, 8, 10, 11, 12, 13, 14, 15, 15, 18, 18, 25, 30)]
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 8, 10, 11, 12, 13, 14, 15, 15, 18, 18, 25, 30)]
     texts = []
     for item in items * 12:
         out = list(item)
@@ -372,15 +429,41 @@ def test_decontamination_misses_no_window(spark, monkeypatch):
             out[k] = "other"
         texts.append([word() for _ in range(rng.randint(0, 5))] + out[: len(out) - rng.choice([0, 0, 0, 2])] + [word() for _ in range(rng.randint(0, 5))])
     # Fifteen words in runs of three equal ones.
-    texts.append([w if k not in (3, 7, 11) else "other" for k, w in enumerate(items[8])])
+    texts.append([w if k not in (3, 7, 11) else "other" for k, w in enumerate(items[12])])
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     docs = documents(spark, [" ".join(t) for t in texts])
     want = {(d, i) for d, t in enumerate(texts) for i in brute_contaminated(items, t)}
     found = decontamination.find(docs, benchmark).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 100 and (len(texts) - 1, 8) in want
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 100 and (len(texts) - 1, 12) in want
     assert all(r.overlap_words >= min(13, r.item_words) and 100 * r.equal_words >= 80 * r.overlap_words for r in found)
     monkeypatch.setattr(decontamination, "HITS", 20)
-    assert sorted(map(tuple, decontamination.find(docs, benchmark).collect())) == sorted(map(tuple, found))
+    index = decontamination.Index([(k, " ".join(w).encode()) for k, w in enumerate(items)], 13, 80)
+    assert sorted(m for m in index.matches([" ".join(t).encode() for t in texts])) == sorted(tuple(r)[:5] for r in found)
+
+
+@pytest.mark.parametrize("least, identity", [(13, 80), (13, 90), (8, 75), (20, 100), (1, 80)])
+def test_decontamination_finds_every_substituted_item(least, identity):
+    rng = random.Random(15)
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(1, 41)]
+    index = decontamination.Index([(n, " ".join(w).encode()) for n, w in enumerate(items)], least, identity)
+    for n, item in enumerate(items):
+        for e in range(len(item) * (100 - identity) // 100 + 1):
+            for _ in range(12):
+                out = list(item)
+                for k in rng.sample(range(len(item)), e):
+                    out[k] = "other"
+                found = index.matches([" ".join(["before", *out, "after"]).encode()])
+                assert [m[1] for m in found] == [n], (item, out)
+
+
+def test_decontamination_of_equal_words_is_bounded():
+    import tracemalloc
+
+    index = decontamination.Index([(0, b"la " * 200)], 13, 80)
+    tracemalloc.start()
+    found = index.matches([b"la " * 20_000])
+    assert found == [(0, 0, 0, 200, 200)] and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
 
 
 def test_blocks_give_the_same_matches(spark, small, monkeypatch):
@@ -408,6 +491,16 @@ def test_quality_keeps_good_texts(spark):
     docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_classifier.classify(docs, known).join(known, "doc_id").toPandas()
     assert out.kept[out.quality == 1].mean() > 0.97 and out.kept[out.quality == 0].mean() < 0.2
+    # Held out by the hash of the id: neither fitted on nor used for the cut.
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    out = quality_classifier.classify(docs, known.where(~held)).join(known.where(held), "doc_id").toPandas()
+    assert len(out) > 60 and out.kept[out.quality == 1].mean() > 0.95 and out.kept[out.quality == 0].mean() < 0.3
+    good, bad = out.tail_probability[out.quality == 1].to_numpy(), out.tail_probability[out.quality == 0].to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.95
+    # Repeated ids and labels give one model, whatever their order.
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" z")))), known.unionByName(known.withColumn("quality", F.lit(1)))
+    models = [quality_classifier.train(twice[0].orderBy(F.rand(k)), twice[1].orderBy(F.rand(k))) for k in (1, 2)]
+    assert np.allclose(models[0].weights, models[1].weights) and models[0].cut == models[1].cut
     assert quality_classifier.classify(odd(spark), labels(spark)).where("kept and tail_probability = 1").count() == 8
     assert quality_classifier.classify(odd(spark), known).count() == 8 and quality_classifier.classify(empty(spark), known).count() == 0
     assert quality_classifier.keep_good(odd(spark), labels(spark)).columns == odd(spark).columns
