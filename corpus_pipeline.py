@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("PII", personal_data), ("packing", pack)]
 
-#: The learned stages have no SQL; tests hold each stage against a brute-force version.
+#: Learned models and token vocabularies have no SQL; tests hold the operators against brute-force versions and each stage against its operator.
 ORACLE_SQL = None
 
 
