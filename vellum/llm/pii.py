@@ -1,7 +1,9 @@
 """Personal data in texts, with DataFrame functions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards,
-mod 97 for bank accounts), and words close before a span adjust its score.
+mod 97 for bank accounts, variety of characters for secrets), and words close
+before a span adjust its score, up or down.  The base kinds are kept whatever
+their score; the others from ``THRESHOLD`` on.
 
 The matches of a pattern come from ``regexp_extract_all`` and the text between
 them from ``split``; running lengths of the two give the offsets.  The patterns
@@ -28,11 +30,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,31}))"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?<!\+[0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
-
-KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "local_phone")
+# Keys and tokens: long runs with a digit that no name or path goes on into; private keys.
+SECRET = (
+    r"-----BEGIN (?:[A-Z]{1,20} ){0,3}?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]{1,20} ){0,3}?PRIVATE KEY-----)?+"
+    r"|(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+"
+)
+# Heads of keys that services give out.
+ISSUED = r"^(?:-----BEGIN|(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_|github_pat_|glpat-|sk[-_]|xox[abprs]-|AIza|eyJ)"
+
+KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "local_phone", "secret")
 BASE_KINDS = KINDS[:4]
 # The score of a span by its pattern and checksum alone.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_id": 0.3, "local_phone": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_id": 0.3, "local_phone": 0.3, "secret": 0.3}
 # Words that make a kind likelier within the window before a span.
 CONTEXT = {
     "email": "mail|e-mail|email|contact|write",
@@ -42,8 +51,11 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|cuenta|compte",
     "national_id": "ssn|social|security|id|identity|tax",
     "local_phone": "phone|tel|call|mobile|fax|telefon|telefono|whatsapp",
+    "secret": "token|secret|key|apikey|api_key|access_key|secret_key|private_key|access_token|password|passwd|pwd|passphrase|auth|authorization|bearer|credential|credentials",
 }
-CONTEXT_BONUS = 0.4
+# Words that make any kind less likely there.
+AGAINST = "order|invoice|isbn|version|page|sha|sha1|sha256|md5|checksum|commit|hash|tracking|article|example"
+CONTEXT_BONUS, CONTEXT_MALUS = 0.4, 0.3
 # The lengths of accounts by country; those of other codes have 15 to 34 characters.
 IBAN_LENGTHS = (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
@@ -115,6 +127,12 @@ def _account_spans(text: Column) -> Column:
     )
 
 
+def _valid_secret(match: Column) -> Column:
+    """Of a known issuer, or with letters, digits and many different characters."""
+    varied = match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= 10)
+    return match.rlike(ISSUED) | varied
+
+
 def _always(_: Column) -> Column:
     return F.lit(True)
 
@@ -128,6 +146,7 @@ RULES = {
     "iban": (IBAN, _valid_iban, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}")),
     "national_id": (NATIONAL_ID, _always, lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]")),
     "local_phone": (LOCAL_PHONE, _always, lambda t: t.rlike(r"[0-9][.-][0-9]{4}")),
+    "secret": (SECRET, _valid_secret, lambda t: t.rlike(r"[A-Za-z0-9+/_-]{20}|-----BEGIN ")),
 }
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
 
@@ -157,6 +176,9 @@ def kind_spans(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, in order."""
     pattern, confirm, cheap = RULES[kind]
     placed = _account_spans(text) if kind == "iban" else _match_spans(text, pattern, confirm)
+    spoken = lambda s, names: before(s).rlike(rf"(?<![a-z])(?:{names})(?![a-z])")
+    own = (lambda s: F.when(s["match"].rlike(ISSUED), 0.9).otherwise(SCORES[kind])) if kind == "secret" else (lambda s: F.lit(SCORES[kind]))
+    score = lambda s: own(s) + F.when(spoken(s, CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0) - F.when(spoken(s, AGAINST), CONTEXT_MALUS).otherwise(0.0)
     before = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))))
     scored = F.transform(
         placed,
@@ -165,7 +187,7 @@ def kind_spans(text: Column, kind: str) -> Column:
             F.lit(KINDS.index(kind)).alias("kind_no"),
             s["end"].alias("end"),
             F.lit(kind).alias("kind"),
-            F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before(s).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), CONTEXT_BONUS).otherwise(0.0)).alias("score"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), score(s))).alias("score"),
         ),
     )
     if kind not in BASE_KINDS:
