@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled cutoffs, with DataFrame functions only.
 
 A rule rejects a text whose measure exceeds a cutoff.  The cutoffs are chosen on
-labelled holdouts: for each stratum and rule the candidate cutoffs are tested
-from the laxest on, each with the exact binomial tail
+labelled good texts that the base rule keeps, in two halves by the hash of the
+id.  In each stratum the first half orders all pairs of a rule and a cutoff by
+the good texts they reject; adding them one by one gives ever stricter settings.
+The second half tests these in that order, each with the exact binomial tail
 
-    P(Bin(n, limit) <= k) <= level / (strata * rules),
+    P(Bin(n, limit) <= k) <= level / strata,
 
-where ``n`` is the number of good holdout texts and ``k`` those the cutoff
-rejects.  A cutoff that passes guarantees, at that confidence, that it rejects
-at most ``limit`` of the good texts.  Bonferroni's division by the number of
-strata and rules corrects for multiple tests; along the cutoffs of one rule
-testing stops at the first failure, which needs no correction.  A rule without a passing cutoff is not used in its stratum.
+where ``n`` is the number of its good texts and ``k`` those that *any* rule of
+the setting rejects.  The last setting before the first failure is used.  So
+all rules together reject at most ``limit`` of a stratum's good texts, at that
+confidence in all strata at once: Bonferroni's division corrects for the strata,
+and along one order that the tested texts didn't shape, testing up to the first
+failure needs no correction.  In a stratum without a passing setting the base
+rule decides alone.
 
 Cases: a null or empty text has no words and fails the base rule; null ids are
 kept, unlabelled; a null or unlisted stratum is ``other``; repeated labels count
@@ -42,7 +46,7 @@ CUTOFFS = {
 STRATA = ("en", "de", "fr", "es", "other")
 
 
-#: At most this share of good texts may be rejected by a rule, at this error level over all rules and strata.
+#: At most this share of a stratum's good texts may be rejected by all rules together, at this error level over all strata.
 LIMIT, LEVEL = 0.02, 0.05
 
 
@@ -108,33 +112,46 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, zero, lambda acc, i: F.struct(step(acc, i).alias("term"), (acc["sum"] + F.exp(step(acc, i))).alias("sum")), lambda acc: acc["sum"])
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def select_cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, level: float = LEVEL, label_col: str = "quality") -> list[tuple[str, str, float]]:
-    """The strictest passing cutoff for each stratum and rule.
+    """The strictest cutoff of each stratum and rule in the stratum's last passing setting.
 
-    At most ``len(STRATA) * len(CUTOFFS)`` rows come to the driver.  Along the
-    cutoffs of one rule the tests stop at the first failure, which needs no
-    correction; the level is divided by the number of strata and rules.
+    ``(len(STRATA) + 1) * len(pairs)`` rows at most come to the driver, twice.
     """
+    pairs = [(rule, step, cutoff) for rule, cutoffs in CUTOFFS.items() for step, cutoff in enumerate(cutoffs)]
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_good")).where("_good = 1")
-    held = measured.join(good, measured["doc_id"] == good["_id"], "left_semi")
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("step"), F.lit(c).alias("cutoff"), F.count_if(F.col(rule) > c).alias("k")) for rule, cs in CUTOFFS.items() for k, c in enumerate(cs)])
-    counted = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), tests.alias("tests"))
+    held = measured.join(good, measured["doc_id"] == good["_id"], "left_semi").where(~_base_failed())
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rejected = held.where(half == 0).groupBy("stratum").agg(*[F.count_if(F.col(rule) > cutoff).alias(f"k{i}") for i, (rule, _, cutoff) in enumerate(pairs)])
+    # A stricter cutoff of a rule rejects no fewer texts, and of equal counts the laxer step comes first.
+    paths = {r["stratum"]: sorted(pairs, key=lambda p, r=r: (r[f"k{pairs.index(p)}"], p[1], p[0])) for r in rejected.collect()}
+    if not paths:
+        return []
+    first = F.lit(None).cast("int")
+    for stratum, path in paths.items():
+        # The first setting that rejects a text; the later ones reject it too.
+        found = F.array_min(F.array(*[F.when(F.col(rule) > cutoff, i) for i, (rule, _, cutoff) in enumerate(path)]))
+        first = F.when(F.col("stratum") == stratum, found).otherwise(first)
+    tests = F.array(*[F.struct(F.lit(i).alias("setting"), F.count_if(F.col("_first") <= i).alias("k")) for i in range(len(pairs))])
+    counted = held.where(half == 1).withColumn("_first", first).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), tests.alias("tests"))
     rows = counted.select("stratum", "n", F.explode("tests").alias("t")).select("stratum", "n", "t.*")
-    allowed = level / (len(STRATA) * len(CUTOFFS))
     # Beyond the mean of the distribution the tail is near a half or more, so nothing is summed there.
-    passed = F.when(F.col("k") > F.col("n") * limit, False).otherwise(binomial_tail(F.col("k"), F.col("n"), limit) <= allowed)
-    steps = rows.withColumn("passed", passed).groupBy("stratum", "rule").agg(
-        F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.lit(99)).alias("failed"), F.collect_list(F.struct("step", "cutoff")).alias("cutoffs")
-    )
-    chosen = steps.select("stratum", "rule", F.explode("cutoffs").alias("c"), "failed").where("c.step < failed").groupBy("stratum", "rule").agg(F.max_by("c.cutoff", "c.step").alias("cutoff"))
-    return [(r["stratum"], r["rule"], r["cutoff"]) for r in chosen.collect()]
+    passed = F.when(F.col("k") > F.col("n") * limit, False).otherwise(binomial_tail(F.col("k"), F.col("n"), limit) <= level / len(STRATA))
+    ends = rows.withColumn("passed", passed).groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("passed"), F.col("setting"))), F.lit(len(pairs))).alias("end")).collect()
+    chosen = {}
+    for r in ends:
+        for rule, _, cutoff in paths.get(r["stratum"], ())[: r["end"]]:
+            chosen[r["stratum"], rule] = min(cutoff, chosen.get((r["stratum"], rule), cutoff))
+    return sorted((stratum, rule, cutoff) for (stratum, rule), cutoff in chosen.items())
 
 
 def judge(measured: DataFrame, cutoffs: list[tuple[str, str, float]]) -> DataFrame:
     """Add ``base_failed``, ``broken_rules`` and ``kept``."""
     broken = [F.when((F.col("stratum") == s) & (F.col(rule) > c), F.lit(rule)) for s, rule, c in sorted(cutoffs)]
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measured.withColumn("base_failed", base)
+    out = measured.withColumn("base_failed", _base_failed())
     out = out.withColumn("broken_rules", F.array_join(F.array(*broken), ",") if broken else F.lit(""))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("broken_rules") == ""))
 
