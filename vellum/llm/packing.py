@@ -4,7 +4,7 @@ The cost of a piece of ``n`` tokens is ``linear * n + quadratic * n * n``: the
 matrix products and the attention within the piece.  Pieces are taken in
 descending length; each goes to the sequence of the lowest cost so far that has
 room for it.  Pieces for which no sequence has room are cut to fill the room
-that is left, so every sequence of a window but the rest is full.  The rest is
+that is left, the cheapest sequences first, so every sequence of a window but the rest is full.  The rest is
 carried into the next window; at the end of a partition it is laid out in
 sequences whose lengths are powers of two, which need no padding.
 
@@ -108,11 +108,11 @@ def encoder(path: str) -> WordEncoder:
 
 
 class Piece:
-    """A run of one document's ids."""
+    """A run of one document's ids; a part of it shares its bytes."""
 
     __slots__ = ("doc", "start", "ids", "total")
 
-    def __init__(self, doc, start: int, ids: bytes, total: int):
+    def __init__(self, doc, start: int, ids: memoryview, total: int):
         self.doc, self.start, self.ids, self.total = doc, start, ids, total
 
     @property
@@ -139,8 +139,8 @@ def balance(pieces: list[Piece], n: int, size: int, linear: float, quadratic: fl
         out[k].append(p)
         room[k] -= p.length
         cost[k] += linear * p.length + quadratic * p.length * p.length
-    # Cut the rest into the room that is left: the largest gaps get the largest pieces.
-    gaps = [int(k) for k in np.argsort(-room, kind="stable") if room[k] > 0]
+    # Cut the rest into the room that is left, the cheapest sequences first.
+    gaps = [int(k) for k in np.lexsort((-room, cost)) if room[k] > 0]
     late.reverse()  # the largest is last
     for k in gaps:
         while room[k] > 0 and late:
@@ -212,7 +212,7 @@ def pack(
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):
-                p = Piece(doc, 0, ids + tail, (len(ids) >> 2) + 1)
+                p = Piece(doc, 0, memoryview(ids + tail), (len(ids) >> 2) + 1)
                 while p.length > size:
                     whole, p = p.cut(size)
                     open_pieces.append(whole)
