@@ -33,8 +33,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_tools.read_calls(_util.read_table(spark, sf_dir, "conversations"))
-    return chat_tools.link(calls, results, chat_tools.ASK).select("conv_id", "call_id", "turn", "level", "linked", "valid", "errors", "message")
+    return chat_tools.format_conversations(_util.read_table(spark, sf_dir, "conversations"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +91,31 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) m USING (doc_id)
 """
 
+#: Calls are the users' messages, each after that of two turns before; results are the assistants', one turn later.
+_CHAT_SQL = r"""
+WITH RECURSIVE calls AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user'),
+nodes AS (SELECT conv_id, turn, count(*) AS same FROM calls GROUP BY ALL),
+levels(conv_id, turn, level) AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.conv_id = n.conv_id AND p.turn = n.turn - 2 AND n.turn >= 2)
+  UNION ALL SELECT n.conv_id, n.turn, l.level + 1 FROM levels l JOIN nodes n ON n.conv_id = l.conv_id AND n.turn = l.turn + 2),
+results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS result, min(text) <> max(text) AS several FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+faults AS (
+  SELECT c.conv_id, c.turn, c.text, l.level, r.turn IS NOT NULL AS linked, r.result,
+    concat_ws(',', CASE WHEN c.text IS NULL THEN 'text: missing' END, CASE WHEN same > 1 THEN 'duplicate id' END, CASE WHEN several THEN 'several results' END) AS errors
+  FROM calls c JOIN nodes n USING (conv_id, turn) JOIN levels l USING (conv_id, turn) LEFT JOIN results r USING (conv_id, turn))
+SELECT conv_id, conv_id || ':' || turn AS call_id, turn, 'call' AS kind, level, linked, errors = '' AS valid, errors,
+  '{"after":' || CASE WHEN turn >= 2 THEN '"' || conv_id || ':' || (turn - 2) || '"' ELSE 'null' END || ',"arguments":{"role":"user"' || coalesce(',"text":' || to_json(text), '') || ',"turn":' || turn || '},"call_id":"'
+    || conv_id || ':' || turn || '","name":"ask","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS message
+FROM faults
+UNION ALL
+SELECT DISTINCT conv_id, conv_id || ':' || (turn - 1), NULL, 'result', NULL, false, false, 'no call',
+  '{"after":null,"arguments":null,"call_id":"' || conv_id || ':' || (turn - 1) || '","name":null,"result":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}'
+FROM conversations a WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.conv_id = a.conv_id AND n.turn = a.turn - 1)
+UNION ALL
+SELECT conv_id, NULL, turn, 'message', NULL, false, true, '',
+  '{"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+"""
+
 #: What has no SQL here rests on offsets of matches, token vocabularies or learned models.
-ORACLE_SQL: dict[str, str] = {"op8_ngram_join": _JOIN_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_tools": _CHAT_SQL, "op8_ngram_join": _JOIN_SQL}
