@@ -7,6 +7,10 @@ of a character after a context of ``k`` characters is smoothed with that after
 
     p_k(c | context) = (count(context c) + STRENGTH * p_(k-1)) / (count(context) + STRENGTH).
 
+What the rules look at would give the labels away, so the models never see it:
+of each url, labelled or not, they read the host without its last label and
+without the labels that any rule names, and the path after its first segment.
+
 A url that no rule decides is blocked when the difference of its
 log-likelihoods, accepted less rejected, divided by its length is under the
 cut.  The cut is calibrated on labelled urls that the models haven't seen: at
@@ -20,7 +24,8 @@ all else is joined.  Urls are scored in blocks: a block's distinct grams meet th
 table, and what they are worth comes back to the block.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no
-rule and is allowed with a null score; null ids are kept; repeated rows give
+rule and is allowed with a null score; without accepted urls to calibrate on the
+cut is 0; null ids are kept; repeated rows give
 repeated results; without both classes of labelled urls the undecided are
 allowed; an empty table gives an empty one; other columns are not read.
 """
@@ -67,6 +72,14 @@ def decide(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def unlabelled(host: Column, path: Column, rules=RULES) -> Column:
+    """What is left of host and path without all that the rules look at."""
+    named = sorted({label for suffix, _, _ in rules for label in suffix.split(".")})
+    labels = F.split(host, r"\.")
+    kept = F.filter(F.slice(labels, F.lit(1), F.size(labels) - 1), lambda x: ~x.isin(*named))
+    return F.concat(F.array_join(kept, "."), F.regexp_replace(path, "^/[^/]*", ""))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The gram that ends at each character, or at the text's end, as a number, and the text it is of."""
     padded = [b"\x02" * ORDERS + t + b"\x03" for t in texts]
@@ -193,7 +206,7 @@ def filter_urls(pages: DataFrame, rules=RULES, false_block: float = 0.01, id_col
     _util.tune(pages.sparkSession)
     host, path = parse(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), (F.xxhash64(F.col(url_col)) % 5 == 0).alias("held"))
-    base = base.withColumn("by_rule", decide(F.col("host"), F.col("path"), rules)).withColumn("text", F.when((F.col("host") != "") | (F.col("path") != ""), F.concat("host", "path").cast("binary")))
+    base = base.withColumn("by_rule", decide(F.col("host"), F.col("path"), rules)).withColumn("text", F.when((F.col("host") != "") | (F.col("path") != ""), unlabelled(F.col("host"), F.col("path"), rules).cast("binary")))
     labelled = base.where("by_rule is not null").select("text", (F.col("by_rule.verdict") == "allow").cast("int").alias("label"), "held")
     model = train(labelled.where("not held").select("text", "label"))
     rule = F.col("by_rule.rule").alias("rule")
@@ -203,7 +216,7 @@ def filter_urls(pages: DataFrame, rules=RULES, false_block: float = 0.01, id_col
     asked = base.where("text is not null and (by_rule is null or (held and by_rule.verdict = 'allow'))")
     scored = _util.materialize(_scored(asked.select("page_id", "host", "path", "text", F.col("by_rule").isNull().alias("open")), model, "text"), "scores")
     cut = scored.where("not open").agg(F.percentile_approx("score", false_block, 10_000)).first()[0]
-    cut = min(0.0, cut) if cut is not None else 0.0
+    cut = 0.0 if cut is None else cut
     shown = lambda df, rule, verdict, score: df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), score.alias("score"))
     rest = shown(base.where("by_rule is not null or text is null"), rule, F.coalesce("by_rule.verdict", F.lit("allow")), F.lit(None).cast("double"))
     return rest.unionByName(shown(scored.where("open"), F.lit(None).cast("string"), F.when(F.col("score") < cut, "block").otherwise("allow"), F.col("score")))
