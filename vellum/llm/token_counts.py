@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -335,31 +336,37 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counter(vocabulary)
         for batch in batches:
-            n_bytes, n_tokens, fit, stored = [], [], [], []
+            n_bytes, n_tokens, fit, keys, stored = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 counts = table.counts(raw.decode("utf-8", "replace"))
                 n_bytes.append(len(raw))
+                keys.append(xxhash.xxh64_intdigest(raw, 42) - (1 << 63))
                 total = int(counts[-1]) if len(counts) else 0
                 n_tokens.append(total)
                 fit.append(len(counts) if total <= budget else longest_prefix(counts, budget))
                 if store_prefixes:
                     stored.append(counts.astype(np.int32))
-            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > budget for n in n_tokens], pa.bool_()), pa.array(fit, pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
+            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > budget for n in n_tokens], pa.bool_()), pa.array(fit, pa.int64()), pa.array(keys, pa.int64())]
+            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "text_key"]
             if store_prefixes:
                 columns.append(pa.array(stored, pa.list_(pa.int32())))
                 names.append("prefix_counts")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, text_key long"
     if store_prefixes:
         schema += ", prefix_counts array<int>"
     return _util.id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def truncate(counted: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cut every text to its budget with the stored answer, without encoding again."""
-    fit = counted.select(F.col("doc_id").alias("_id"), "fit_chars")
-    return docs.join(fit, docs[id_col].eqNullSafe(fit["_id"])).select(
-        docs[id_col].alias("doc_id"), F.expr(f"substring(`{text_col}`, 1, cast(fit_chars as int))").alias("text")
+    """Cut every text to its budget with the stored answer, without encoding again; one row for each of ``docs``.
+
+    Rows that repeat an id, or have none, are told apart by their texts.
+    """
+    fit = counted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "fit_chars").distinct()
+    text = F.coalesce(docs[text_col], F.lit(""))
+    key = F.xxhash64(text).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    return docs.join(fit, docs[id_col].eqNullSafe(fit["_id"]) & (key == fit["_key"])).select(
+        docs[id_col].alias("doc_id"), F.when(docs[text_col].isNotNull(), F.substring(text, F.lit(1), F.col("fit_chars").cast("int"))).alias("text")
     )

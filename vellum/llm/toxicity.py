@@ -9,7 +9,8 @@ The lexicon is a fixed list, and the words and word stems that the training
 labels single out: those in at least ``MINED_DOCS`` toxic texts of the sample
 and ``MINED_ODDS`` times likelier there, each weighted by the logarithm.  Model and lexicon are learned from at most ``max_rows``
 labelled texts, those with the smallest hash of their id, never from rows held
-out; the bound is a parameter and keeps the driver's memory fixed.  A third of
+out; the lexicon takes the ``MINED_UNITS`` likeliest of the sample's stems.  Both
+bounds are parameters and keep the driver's memory fixed.  A third of
 the sample isn't fitted on and calibrates the scores.
 
 Cases: null and empty texts get the score of a text without words; null ids are
@@ -225,7 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy(F.col("doc_id").cast("long").alias("_lid")).agg(F.max("toxic").cast("int").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
     # The sample has max_rows ids at most, so it can be broadcast.
-    texts = _util.id_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("_id") == F.col("_lid")).dropDuplicates(["_id"])
+    texts = _util.id_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("_id") == F.col("_lid"))
+    # Of texts that repeat an id the least one counts.
+    texts = texts.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y"))
     texts = _util.materialize(texts.select("_id", "_text", "_y", (F.pmod(F.xxhash64("_id"), F.lit(3)) != 2).alias("fit")), "sample")
 
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
