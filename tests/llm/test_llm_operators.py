@@ -81,6 +81,11 @@ def test_truncate_needs_no_encoding(spark):
     docs = documents(spark, ["one two three four", "one"])
     counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert sorted(r.text for r in token_counts.truncate(counted, docs).collect()) == ["one", "one two"]
+    rows = [(7, "one two three four"), (7, "a b c d e"), (7, "a b c d e"), (None, "é ü ö ä"), (None, "x"), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    got = sorted(((r.doc_id, r.text) for r in token_counts.truncate(counted, docs).collect()), key=str)
+    assert got == sorted([(7, "one two"), (7, "a b"), (7, "a b"), (None, "é "), (None, "x"), (None, None), (8, "")], key=str)
 
 
 # Packing
@@ -653,44 +658,118 @@ def test_scores_by_blocks_equal_single_scores(spark):
     assert all(math.isclose(r.score, plain_score(label, texts[r.n]), abs_tol=1e-9) for r in rows)
 
 
+def test_models_never_see_what_rules_look_at(spark):
+    rows = [("www.shop.example.com", "/en/a/b"), ("blog.x.org", "/es"), ("net", "/fr/z"), ("a.net.b.com", "/")]
+    got = spark.createDataFrame(rows, "host string, path string").select(url_filter.unlabelled(F.col("host"), F.col("path")).alias("t")).collect()
+    assert [r.t for r in got] == ["shop/a/b", "blog.x", "/z", "a.b"]
+    # The same names under all suffixes: the rules' verdicts say nothing about them, and hardly any is blocked.
+    rng = random.Random(18)
+    urls = [f"https://s{rng.randrange(200)}.{tld}/{lang}/{rng.randrange(999)}" for tld in ("com", "net", "org") for lang in ("es", "fr") for _ in range(400)]
+    spam = [f"https://pills{rng.randrange(99)}.net/es/buy-{rng.randrange(999)}" for _ in range(400)] + [f"https://pills{rng.randrange(99)}.org/en/buy-{rng.randrange(999)}" for _ in range(100)]
+    out = url_filter.filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls + spam)], "page_id long, url string")).where("rule is null").toPandas()
+    clean = out[out.page_id < len(urls)]
+    assert (clean.verdict == "block").mean() < 0.05 and (out[out.page_id >= len(urls)].verdict == "block").mean() > 0.95
+
+
 # Tool calls
 
+CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after string"
+RESULTS = "conv_id long, call_id string, result string"
+
 
 def test_tool_calls(spark):
-    schema = {"add": [("a", "integer", True), ("b", "number", False)]}
+    schema = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": "number"}}}}
     calls = spark.createDataFrame(
         [
             (1, "c1", 0, "add", '{"b":2.50, "a":1}', None), (1, "c2", 2, "add", '{"a":"x"}', "c1"), (1, "c3", 4, "add", "{}", "c2"), (2, "c4", 0, "add", "oops", "none"),
             (2, "c5", 0, "run", "{}", "c6"), (2, "c6", 1, "add", '{"a":1}', "c5"), (3, None, 0, "add", None, None), (1, "c1", 0, "add", '{"b":2.50, "a":1}', None),
+            (2, "c7", 3, "add", '{"a":1e2}', "c5"),
         ],
-        "conv_id long, call_id string, turn long, name string, arguments string, after string",
+        CALLS,
     )
-    results = spark.createDataFrame([("c1", 'say "é"\n'), ("c1", 'say "é"\n'), ("c3", "ok"), ("zz", "lost")], "call_id string, result string")
-    out = {r.call_id: r for r in chat_tools.link(calls, results, schema).collect()}
-    assert len(out) == 7
-    assert {k: r.level for k, r in out.items()} == {"c1": 0, "c2": 1, "c3": 2, "c4": 0, "c5": None, "c6": None, None: 0}
-    assert {k: r.errors for k, r in out.items()} == {"c1": "", "c2": "a: type", "c3": "a: missing", "c4": "json", "c5": "tool", "c6": "", None: "json"}
+    results = spark.createDataFrame([(1, "c1", 'say "é"\n'), (1, "c1", 'say "é"\n'), (1, "c3", "ok"), (2, "c1", "lost"), (1, None, "lost")], RESULTS)
+    rows = chat_tools.link(calls, results, schema).collect()
+    out = {r.call_id: r for r in rows if r.kind == "call"}
+    assert len(out) == 8 and len(rows) == 10
+    assert {k: r.level for k, r in out.items()} == {"c1": 0, "c2": 1, "c3": 2, "c4": 0, "c5": None, "c6": None, "c7": None, None: 0}
+    assert {k: r.errors for k, r in out.items()} == {"c1": "", "c2": "a: type", "c3": "a: missing", "c4": "json", "c5": "tool", "c6": "", "c7": "", None: "json"}
     assert {k for k, r in out.items() if r.linked} == {"c1", "c3"}
     assert out["c1"].message == '{"after":null,"arguments":{"a":1,"b":2.5},"call_id":"c1","name":"add","result":"say \\"é\\"\\n"}'
+    assert '"a":100}' in out["c7"].message
     assert all(json.loads(r.message)["call_id"] == k for k, r in out.items())
-    assert [r.call_id for r in chat_tools.orphan_results(calls, results).collect()] == ["zz"]
+    assert sorted((r.conv_id, str(r.call_id), r.errors) for r in rows if r.kind == "result") == [(1, "None", "no call"), (2, "c1", "no call")]
+
+
+def test_identifiers_are_of_a_conversation(spark):
+    calls = spark.createDataFrame([(1, "call_0", 0, "t", "{}", None), (2, "call_0", 0, "t", "{}", None), (2, "call_1", 1, "t", "{}", "call_0"), (2, "call_1", 2, "t", '{"x":1}', None), (None, "call_0", 5, "t", "{}", None)], CALLS)
+    results = spark.createDataFrame([(1, "call_0", "a"), (2, "call_0", "b"), (None, "call_0", "c"), (2, "call_1", "d"), (2, "call_1", "e")], RESULTS)
+    rows = chat_tools.link(calls, results, {"t": {"type": "object"}}).collect()
+    got = sorted(((r.conv_id, r.call_id, r.turn, r.level, r.result, r.errors) for r in rows), key=str)
+    both = "duplicate id,several results"
+    assert got == sorted([(1, "call_0", 0, 0, "a", ""), (2, "call_0", 0, 0, "b", ""), (2, "call_1", 1, 1, "d", both), (2, "call_1", 2, 1, "d", both), (None, "call_0", 5, 0, "c", "")], key=str)
+
+
+def test_numbers_have_one_form(spark):
+    same = [["1", "1.0", "1e0", "10E-1", "100e-2"], ["100", "1e2", "100.00", "1E+2"], ["0", "-0", "0.0", "0e5"], ["-12.34", "-12.340", "-1234e-2"], ["1e30", "1000000000000000000000000000000"], ["0.00015", "1.5e-4"], ["1.5e-30"], ["123456789012345678901"], ["-7"]]
+    rows = [(k, t) for k, group in enumerate(same) for t in group]
+    got = spark.createDataFrame(rows, "k long, t string").select("k", "t", chat_tools.number(F.col("t")).alias("n"), chat_tools.canonical(F.try_parse_json(F.concat(F.lit('{"z":['), F.col("t"), F.lit('],"a":"1.0"}')))).alias("c")).collect()
+    assert all(r.n == same[r.k][0] and r.c == '{"a":"1.0","z":[' + same[r.k][0] + "]}" for r in got)
+    assert all(float(r.n) == float(r.t) for r in got)
+    long = json.dumps({"t": 'a\n"1.0"' * 30_000, "n": 1})
+    assert json.loads(spark.range(1).select(chat_tools.canonical(F.try_parse_json(F.lit(long)))).first()[0]) == json.loads(long)
+
+
+def test_schemas(spark):
+    schema = {
+        "type": "object", "required": ["n", "o"], "additionalProperties": False,
+        "properties": {
+            "n": {"type": "integer"}, "e": {"enum": ["x", 1, None]}, "l": {"type": "array", "items": {"type": "string"}}, "f": {"type": "boolean"},
+            "o": {"type": "object", "required": ["p"], "properties": {"p": {"type": "number"}, "q": {"type": "null"}}},
+        },
+    }
+    cases = {
+        '{"n":1.0,"o":{"p":2.5}}': "", '{"n":123456789012345678901234,"o":{"p":1}}': "", '{"n":1.5,"o":{"p":1}}': "n: type", '{"o":{}}': "n: missing,o.p: missing", '{"n":1,"o":[]}': "o: type",
+        '{"n":1,"o":{"p":1},"e":1.0}': "", '{"n":1,"o":{"p":1},"e":"y"}': "e: enum", '{"n":1,"o":{"p":1},"l":["a",1]}': "l: items", '{"n":1,"o":{"p":1},"l":[]}': "", '{"n":1,"o":{"p":1},"z":0}': "$: unknown field",
+        '{"n":1,"o":{"p":1,"q":null},"f":false}': "", '{"n":1,"o":{"p":1,"q":2},"f":0}': "f: type,o.q: type", "[]": "json", "{": "json", "null": "json", "7": "json",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", chat_tools.check(F.col("t"), schema).alias("e")).collect()
+    assert {r.t: r.e for r in rows} == cases
 
 
 def test_long_chains_take_few_joins(spark):
-    calls = spark.range(300).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.col("id").alias("turn"), F.lit("x").alias("name"), F.lit("{}").alias("arguments"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
-    assert {r.call_id: r.level for r in chat_tools.levels(calls).collect()} == {str(k): k for k in range(300)}
+    key = lambda c: F.struct(F.lit(1).cast("long").alias("conv_id"), c.cast("string").alias("call_id"))
+    calls = spark.range(300).select(key(F.col("id")).alias("key"), F.when(F.col("id") > 0, key(F.col("id") - 1)).alias("to"))
+    assert {r.key.call_id: r.level for r in chat_tools.levels(calls).collect()} == {str(k): k for k in range(300)}
+
+
+def test_levels_equal_walks(spark):
+    rng = random.Random(19)
+    after = {k: rng.choice([None, *range(60)]) for k in range(50)}
+    want = {}
+    for k in after:
+        level, at, seen = 0, k, {k}
+        while after[at] in after and after[at] not in seen:
+            at = after[at]
+            seen.add(at)
+            level += 1
+        want[str(k)] = None if after[at] in after else level
+    calls = spark.createDataFrame([(7, str(k), k, "t", "{}", None if a is None else str(a)) for k, a in after.items()], CALLS)
+    rows = chat_tools.link(calls, spark.createDataFrame([], RESULTS), {"t": {"type": "object"}}).collect()
+    assert {r.call_id: r.level for r in rows} == want and None in want.values()
 
 
 def test_conversations(spark, small):
-    calls, results = chat_tools.read_calls(spark.read.parquet(f"{small}/conversations.parquet"))
-    out = chat_tools.link(calls, results, chat_tools.ASK).toPandas()
-    assert out.valid.all() and len(out) == calls.count() and out.level.max() >= 1
+    table = spark.read.parquet(f"{small}/conversations.parquet")
+    out = chat_tools.format_conversations(table).toPandas()
+    assert len(out) == table.where("role <> 'assistant'").count() + (out.kind == "result").sum() and out.level.max() >= 1
+    assert out[out.kind != "result"].valid.all() and sorted(set(out.kind)) in (["call", "message"], ["call", "message", "result"])
     blank = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    calls, results = chat_tools.read_calls(blank)
-    assert chat_tools.link(calls, results, chat_tools.ASK).count() == 0
+    assert chat_tools.format_conversations(blank).count() == 0
     nulls = spark.createDataFrame([(None, 0, "user", "a"), (1, None, "user", None), (1, 1, None, "b"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
-    calls, results = chat_tools.read_calls(nulls)
-    assert chat_tools.link(calls, results, chat_tools.ASK).where("call_id is null").count() == 2
+    rows = chat_tools.format_conversations(nulls).collect()
+    assert sorted((r.kind, str(r.call_id), r.errors) for r in rows) == [("call", "None", ""), ("call", "None", "text: missing,turn: missing"), ("message", "None", ""), ("result", "1:0", "no call")]
+    long = spark.createDataFrame([(1, 0, "user", 'é"\n\\' * 300_000), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert [len(json.loads(r.message)["arguments"]["text"]) for r in chat_tools.format_conversations(long).collect()] == [1_200_000]
 
 
 def test_sha_of_spans(spark):
