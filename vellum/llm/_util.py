@@ -67,9 +67,9 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_text"))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """Ids to be broadcast if they are counted to be few; else a join shuffles both sides."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of a few numbers, to be broadcast if they are counted to be few; else a join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 class WordHashes(dict):

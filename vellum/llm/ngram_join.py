@@ -60,6 +60,8 @@ BLOCK, OFTEN = 1_000_000, 3
 HOT = 1000
 #: Partners of one hub that are compared in one run of rows.
 FAN = 500
+#: Pairs that are broadcast to the sets at most; more are joined by a shuffle.
+BROADCAST_PAIRS = 250_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -297,11 +299,15 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int, orders: tuple[int,
 
     A hub's set comes first in each run of its rows; its members follow.
     """
-    fans = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("fan")).withColumn("salts", F.ceil(F.col("fan") / FAN).cast("int"))
-    fans = _util.materialize(fans, "fans")
-    hubs = fans.join(sets, fans["hub"] == sets["id"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "set")
-    dealt = pairs.join(fans.select("hub", "salts"), "hub")
-    members = dealt.join(sets, dealt["member"] == sets["id"]).select("hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member", "set")
+    salts = F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("salts")
+    heavy = _util.materialize(pairs.groupBy(F.col("hub").alias("_hub")).agg(salts).where("salts > 1"), "heavy")
+    dealt = lambda df: df.join(_util.few(heavy), F.col("hub") == F.col("_hub"), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    hubs = dealt(pairs.select("hub").distinct()).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
+    members = dealt(pairs).select("hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
+    # Whole sets are read, but only those that are compared are dealt.
+    asked = _util.materialize(hubs.unionByName(members).withColumn("id", F.coalesce("member", "hub")), "asked")
+    needed = sets.select("id", "set").join(_util.few(asked.select(F.col("id").alias("_id")).distinct()), F.col("id") == F.col("_id"), "left_semi")
+    rows = _util.few(asked, BROADCAST_PAIRS).join(needed, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, h, prefixes = None, None, []
@@ -320,7 +326,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int, orders: tuple[int,
                         found.append((hub, member))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["hub", "member"])
 
-    rows = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
     return rows.select("hub", "salt", "member", "set").mapInArrow(_util.releasing(run), "hub long, member long")
 
 
@@ -381,7 +387,7 @@ def similar_pairs(firsts: DataFrame, common: tuple[np.ndarray, np.ndarray, np.nd
     members = led_members(prefix_rows(firsts, size, threshold, common))
     near = members.select(F.col("leader").alias("hub"), F.col("id").alias("member")).distinct()
     pairs = _util.materialize(near, "pairs")
-    wanted = _util.materialize(pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct(), "wanted")
+    wanted = pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct()
     sets = _util.materialize(sets_of(firsts, wanted, size), "sets")
     compared = lambda rows: verify(_util.materialize(plausible(rows, sets, threshold), "plausible"), sets, threshold, orders)
     links = _util.materialize(compared(pairs), "linked")
