@@ -21,10 +21,10 @@ def ratio(packed: Column, size: Column) -> Column:
 
 
 def byte_count(size: Column) -> Column:
-    """The largest unit that divides the size; plain bytes otherwise."""
+    """The largest unit that divides the size, 0 too; plain bytes otherwise."""
     out = size.cast("string")
     for power, unit in ((10, "k"), (20, "m"), (30, "g")):
-        out = F.when((size > 0) & (size % (1 << power) == 0), F.concat((size / (1 << power)).cast("long").cast("string"), F.lit(unit))).otherwise(out)
+        out = F.when(size % (1 << power) == 0, F.concat((size / (1 << power)).cast("long").cast("string"), F.lit(unit))).otherwise(out)
     return out
 
 
@@ -35,10 +35,19 @@ def method_name(method: Column) -> Column:
     return out
 
 
-def unix_mode(mode: Column) -> Column:
-    """``ls`` style: type, three triplets, set-id and sticky bits."""
-    kind = mode.cast("long").bitwiseAND(F.lit(0o170000).cast("long"))
-    out = [F.when(kind == 0o040000, "d").when(kind == 0o120000, "l").otherwise("-")]
+# The letters of the file types in the mode's upper bits.
+MODE_TYPES = ((0o040000, "d"), (0o120000, "l"), (0o010000, "p"), (0o020000, "c"), (0o060000, "b"))
+
+
+def unix_mode(attributes: Column) -> Column:
+    """``ls`` style: type, three triplets, set-id and sticky bits; without a type the mode is in the high word."""
+    whole = attributes.cast("long")
+    typed = whole.bitwiseAND(F.lit(0o170000).cast("long")) != 0
+    mode = F.when(typed, whole).otherwise(F.shiftright(whole, 16))
+    kind, letter = mode.bitwiseAND(F.lit(0o170000).cast("long")), F.lit("-")
+    for bits, shown in MODE_TYPES:
+        letter = F.when(kind == bits, shown).otherwise(letter)
+    out = [letter]
     for shift, special, on in ((6, 0o4000, "s"), (3, 0o2000, "s"), (0, 0o1000, "t")):
         out += [F.when(_bit(mode, 4 << shift), "r").otherwise("-"), F.when(_bit(mode, 2 << shift), "w").otherwise("-")]
         x = _bit(mode, 1 << shift)
@@ -46,20 +55,76 @@ def unix_mode(mode: Column) -> Column:
     return F.concat(*out)
 
 
-# The attribute bits and letters in their order.
-DOS_BITS = ((0x2000, "I"), (0x800, "C"), (0x20, "A"), (0x10, "D"), (4, "S"), (2, "H"), (1, "R"))
+# The attribute bits and letters in their order; the second place is never used.
+DOS_BITS = ((0x2000, "I"), (0, "."), (0x20, "A"), (0x10, "D"), (4, "S"), (2, "H"), (1, "R"))
 
 
 def dos_attributes(bits: Column) -> Column:
     return F.concat(*[F.when(_bit(bits, b), letter).otherwise(".") for b, letter in DOS_BITS])
 
 
+# Hosts of the middle formats by their code, others are Mac; of unpackers' numbers the formats.
+HOSTS = ("DOS", "OS/2", "Windows", "Unix")
+UNPACKERS = {2: "v14", 15: "v15", 20: "v20", 26: "v26", 29: "v29", 36: "v36"}
+# The formats' numbers: 3 is the oldest, 4 the middle ones, 5 the newest.
+OLDEST, MIDDLE, NEWEST = 3, 4, 5
+
+
+def host_name(format_version: Column, host: Column) -> Column:
+    """The host's label; null in the oldest format, which has none."""
+    middle = F.lit("Mac")
+    for code, label in enumerate(HOSTS):
+        middle = F.when(host == code, label).otherwise(middle)
+    return F.when(format_version == OLDEST, F.lit(None).cast("string")).when(format_version == MIDDLE, middle).otherwise(F.when(host == 1, "Unix").otherwise("Windows"))
+
+
+def host_code(format_version: Column, host: Column) -> Column:
+    """0 for Windows and its kin, 1 for Unix and its kin, whatever the format."""
+    return F.when(format_version.isin(OLDEST, MIDDLE), F.when(host.isin(0, 2), 0).otherwise(1)).otherwise(host).cast("long")
+
+
+def version_label(format_version: Column, unpacker: Column, extended: Column) -> Column:
+    """The format of a member, ``v14`` to ``v70``; an unknown unpacker counts as ``v29``."""
+    middle = F.lit("v29")
+    for number, label in UNPACKERS.items():
+        middle = F.when(unpacker == number, label).otherwise(middle)
+    return F.when(format_version == OLDEST, "v14").when(format_version == MIDDLE, middle).otherwise(F.when(extended, "v70").otherwise("v50"))
+
+
+def attributes_cell(format_version: Column, host: Column, attributes: Column) -> Column:
+    unix = F.when(format_version == OLDEST, False).when(format_version == MIDDLE, host.isin(3, 4)).otherwise(host == 1)
+    return F.when(unix, unix_mode(attributes)).otherwise(dos_attributes(attributes))
+
+
 def dictionary_bytes(log: Column, base_kib: int = 128) -> Column:
     return F.lit(base_kib * 1024).cast("long") * F.pow(F.lit(2.0), log).cast("long")
 
 
+def dictionary_cell(format_version: Column, is_dir: Column, log: Column, explicit: Column) -> Column:
+    """The dictionary's size by the rule of the format; null for directories."""
+    middle = F.when(log <= 6, byte_count(dictionary_bytes(log, 64)))
+    size = F.when(format_version == OLDEST, "64k").when(format_version == MIDDLE, middle).otherwise(byte_count(F.coalesce(explicit, dictionary_bytes(log))))
+    return F.when(~is_dir, size)
+
+
+def compression_label(format_version: Column, version: Column, method: Column, dictionary: Column, explicit: Column) -> Column:
+    """Family, format, method and dictionary of a member."""
+    large = (version == "v70") & (F.coalesce(explicit, F.lit(0)) > 4 << 30)
+    family = F.when(format_version == OLDEST, "RAR 5.0(v13)").when(format_version == MIDDLE, F.concat(F.lit("RAR 1.5("), version, F.lit(")"))).when(large, "RAR 7.0(v70)").otherwise("RAR 5.0(v50)")
+    return F.concat(family, F.lit(" -m"), method.cast("string"), F.coalesce(F.concat(F.lit(" -md="), dictionary), F.lit("")))
+
+
+def details_label(format_version: Column, version: Column, explicit: Column, solid: Column, volumes: Column, volume: Column) -> Column:
+    """What a container is, by its first member: family, whether solid, which volume."""
+    large = (version == "v70") & (F.coalesce(explicit, F.lit(0)) > 4 << 30)
+    family = F.when(format_version == OLDEST, "RAR 1.4").when(format_version == MIDDLE, "RAR 1.5").when(large, "RAR 7").otherwise("RAR 5")
+    part = F.when(volumes <= 1, "").when(F.coalesce(format_version == NEWEST, F.lit(True)), F.concat(F.lit(", volume "), (volume + 1).cast("string"))).otherwise(", volume")
+    return F.concat(family, F.when(solid, ", solid").otherwise(""), part)
+
+
 def compression_cell(method: Column, log: Column) -> Column:
-    return F.concat(F.lit("v50 -m"), method.cast("string"), F.lit(" -md="), byte_count(dictionary_bytes(log)))
+    """That of a member of the newest format."""
+    return compression_label(F.lit(NEWEST), F.lit("v50"), method, byte_count(dictionary_bytes(log)), F.lit(None).cast("long"))
 
 
 def member_type(link: Column, is_dir: Column) -> Column:

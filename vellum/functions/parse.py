@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timezone
+import time
+from datetime import datetime
 
 _BINARY = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
@@ -41,36 +42,46 @@ def dictionary(text: str) -> tuple[int | None, int]:
 
 
 def period(text: str) -> int:
-    """Seconds of ``NdNhNmNs``; 0 if it isn't one."""
-    total, at = 0, 0
-    for m in re.finditer(r"(\d+)([dhms])", text.lower()):
-        if m.start() != at:
-            return 0
-        total += int(m[1]) * {"d": 86400, "h": 3600, "m": 60, "s": 1}[m[2]]
-        at = m.end()
-    return total if at == len(text) else 0
+    """Seconds of ``NdNhNmNs``, a unit without a number counting none; 0 if it isn't one."""
+    if not re.fullmatch(r"([0-9]*[dhms])+", text):
+        return 0
+    return sum(int(n or 0) * {"d": 86400, "h": 3600, "m": 60, "s": 1}[unit] for n, unit in re.findall(r"([0-9]*)([dhms])", text))
 
 
 def date(text: str) -> int:
-    """Epoch seconds of ``YYYY[MM[DD[HH[MM[SS]]]]]``; other characters separate."""
-    digits = re.sub(r"\D", "", text)
-    if len(digits) < 4 or len(digits) % 2:
+    """Epoch seconds of the local ``YYYY[MM[DD[HH[MM[SS]]]]]``; other characters separate.
+
+    Days beyond the month's end run on into the next; what 32 bits don't hold is refused.
+    """
+    digits = re.sub("[^0-9]", "", text)
+    if len(digits) not in (4, 6, 8, 10, 12, 14):
+        raise ValueError(f"bad date: {text!r}")
+    parts = [int(digits[:4]), *(int(digits[k : k + 2]) for k in range(4, len(digits), 2))]
+    y, m, d, hour, minute, second = parts + [1, 1, 0, 0, 0][len(parts) - 1 :]
+    if not (1 <= m <= 12 and 1 <= d <= 31 and hour < 24 and minute < 60 and second < 60):
         raise ValueError(f"bad date: {text!r}")
-    parts = [int(digits[:4]), *(int(digits[k : k + 2]) for k in range(4, min(len(digits), 14), 2))]
-    parts += [1, 1, 0, 0, 0][len(parts) - 1 :]
-    return int(datetime(*parts, tzinfo=timezone.utc).timestamp())
+    if y < 1970:
+        return 0
+    if y > 2106:
+        raise ValueError(f"date out of range: {text!r}")
+    seconds = int(time.mktime((y, m, d, hour, minute, second, 0, 0, -1)))
+    if seconds >= 1 << 32:
+        raise ValueError(f"date out of range: {text!r}")
+    return max(0, seconds)
 
 
 def time_filter(text: str) -> tuple[str, bool, str]:
-    """Kind of time (m, c or a), whether it joins the OR group, and the rest."""
-    kind, either = "m", False
-    while text and text[0] in "mcao":
-        if text[0] == "o":
-            either = True
-        else:
-            kind = text[0]
-        text = text[1:]
-    return kind, either, text
+    """The kinds of time (of m, c and a; m if none is named), whether it joins the OR group, and the rest."""
+    head = re.match("[mcao]*", text)[0]
+    return "".join(ch for ch in head if ch != "o") or "m", "o" in head, text[len(head) :]
+
+
+def auto_name(template: str, moment: datetime) -> str:
+    """A stamp for names: ``YYYY MM DD HH mm SS`` are replaced; all of them without a template."""
+    out = template or "YYYYMMDDHHmmSS"
+    for mark, value in (("YYYY", f"{moment.year:04}"), ("MM", f"{moment.month:02}"), ("DD", f"{moment.day:02}"), ("HH", f"{moment.hour:02}"), ("mm", f"{moment.minute:02}"), ("SS", f"{moment.second:02}")):
+        out = out.replace(mark, value)
+    return out
 
 
 def volume_name(stem: str, part: int, count: int, old: bool = False) -> str:

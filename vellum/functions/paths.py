@@ -102,16 +102,39 @@ def link_stays_inside(name: Column, target: Column) -> Column:
     return ~slashes(target).startswith("/") & ~target.rlike("^[A-Za-z]:") & (end >= 0)
 
 
-def stored_name(c: Column, drop_base: str = "", flat: bool = False, case: str = "", prefix: str = "") -> Column:
-    """The stored name's steps in their order: base directory off, paths off, case, prefix on."""
+def stored_name(c: Column, strip_base: bool = False, flat: bool = False, drop_prefix: str = "", case: str = "", prefix: str = "") -> Column:
+    """The stored name's steps in their order: first folder off, all folders off, a path prefix off, case, prefix on."""
     out = slashes(c)
-    if drop_base:
-        out = F.when(out.startswith(drop_base + "/"), F.substring(out, len(drop_base) + 2, 1 << 30)).otherwise(out)
+    if strip_base:
+        rest = F.regexp_extract(out, "(?s)^[^/]*/(.*)$", 1)
+        out = F.when(rest != "", rest).otherwise(out)
     if flat:
         out = basename(out)
+    if drop_prefix:
+        # A name that is the prefix itself stays.
+        path = drop_prefix.rstrip("/") + "/"
+        out = F.when(out.startswith(path), F.substring(out, len(path) + 1, 1 << 30)).otherwise(out)
     out = {"lower": F.lower, "upper": F.upper}.get(case, lambda x: x)(out)
     return F.concat(F.lit(prefix + "/"), out) if prefix else out
 
 
+def file_kept(c: Column, include: list[str], exclude: list[str]) -> Column:
+    """Masks of additions: on the whole relative name or its last part."""
+    hit = lambda masks: any_selector(c, masks) if masks else F.lit(False)
+    return (hit(include) if include else F.lit(True)) & ~hit(exclude)
+
+
+def directory_kept(c: Column, include: list[str], exclude: list[str], flat: bool = False) -> Column:
+    """Directories are stored only without include masks and with their paths."""
+    return file_kept(c, [], exclude) if not include and not flat else F.lit(False)
+
+
+def below_excluded(c: Column, exclude: list[str]) -> Column:
+    """Whether a directory above, or the name itself, is excluded: nothing below one is walked."""
+    parts = F.split(c, "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.exists(above, lambda p: any_selector(p, exclude)) if exclude else F.lit(False)
+
+
 def display_name(name: Column, version: Column) -> Column:
     return F.when(version > 0, F.concat(name, F.lit(";"), version.cast("string"))).otherwise(name)

@@ -21,6 +21,29 @@ def listing(members: DataFrame) -> DataFrame:
     )
 
 
+def table(members: DataFrame) -> DataFrame:
+    """The long listing of members with its row of totals, whose ``ord`` is null."""
+    rows = members.select(
+        "ord", cells.attributes_cell(F.lit(cells.NEWEST), F.col("host"), F.col("attributes")).alias("attributes"), "size", "packed_size", cells.ratio(F.col("packed_size"), F.col("size")).alias("ratio"),
+        cells.time_cell(F.col("mtime_s")).alias("time"), F.col("md5").alias("checksum"), paths.display_name(F.col("name"), F.col("version")).alias("name"),
+    )
+    none, total = F.lit(None).cast("string"), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = members.agg(total("size").alias("size"), total("packed_size").alias("packed_size"), F.count(F.lit(1)).cast("string").alias("name"))
+    last = sums.select(F.lit(None).cast("long").alias("ord"), none.alias("attributes"), "size", "packed_size", cells.ratio(F.col("packed_size"), F.col("size")).alias("ratio"), none.alias("time"), none.alias("checksum"), "name")
+    return rows.unionByName(last)
+
+
+def bare(members: DataFrame) -> DataFrame:
+    """Names alone."""
+    return members.select("ord", paths.display_name(F.col("name"), F.col("version")).alias("name"))
+
+
+def with_streams(members: DataFrame, streams: DataFrame) -> DataFrame:
+    """Members, each followed by its streams; one without streams has a single row."""
+    of = streams.select(F.col("owner").alias("_owner"), "stream", "stream_size")
+    return members.join(of, F.col("ord") == F.col("_owner"), "left").select("ord", "name", "stream", "stream_size")
+
+
 def totals(members: DataFrame) -> DataFrame:
     """Detail sums per source and language, per source, and overall, in one pass."""
     return members.rollup("source", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("size"), F.sum("packed_size").cast("long").alias("packed_size"))
@@ -43,7 +66,8 @@ def volume_listing(chunks: DataFrame) -> DataFrame:
 def volume_totals(chunks: DataFrame) -> DataFrame:
     """Members count, and their sizes, where they start; packed bytes count everywhere."""
     starts = F.col("lo") == F.col("first")
-    return chunks.groupBy("volume").agg(F.count_if(starts).alias("files"), F.count(F.lit(1)).alias("fragments"), F.sum(F.col("hi") - F.col("lo")).cast("long").alias("bytes"))
+    size = F.coalesce(F.sum(F.when(starts, F.col("size"))), F.lit(0)).cast("long")
+    return chunks.groupBy("volume").agg(F.count_if(starts).alias("files"), size.alias("size"), F.count(F.lit(1)).alias("fragments"), F.sum(F.col("hi") - F.col("lo")).cast("long").alias("bytes"))
 
 
 def find_text(members: DataFrame, needle: str, case: bool = False) -> DataFrame:
@@ -57,6 +81,5 @@ def find_text(members: DataFrame, needle: str, case: bool = False) -> DataFrame:
 
 def find_hex(members: DataFrame, hex_bytes: str) -> DataFrame:
     """Members whose bytes have the given ones; ASCII case is ignored here too."""
-    wanted = bytes.fromhex(hex_bytes).lower().hex().upper()
-    at = F.locate(wanted, F.hex(paths.ascii_lower(F.col("text")).cast("binary")))
-    return members.where((at > 0) & (F.hex(paths.ascii_lower(F.col("text")).cast("binary")).rlike(f"^(?:..)*?{wanted}"))).select("ord", "name")
+    wanted = F.lit(bytes.fromhex(hex_bytes).lower())
+    return members.where(F.contains(paths.ascii_lower(F.col("text")).cast("binary"), wanted)).select("ord", "name")

@@ -28,8 +28,8 @@ SNAPSHOT_SQL = MEMBERS_SQL + """, snapshot AS (
   SELECT name, size, mtime_s + size % 3 - 1 AS mtime_s FROM members WHERE lang <> 'fr'
   UNION ALL SELECT 'pages/' || CAST(page_id AS VARCHAR) || '.html', CAST(octet_length(encode(html)) AS BIGINT), 1700000000 + page_id FROM pages)"""
 CHUNKS_SQL = MEMBERS_SQL + f""", placed AS (
-  SELECT ord, name, packed_size, CAST(sum(packed_size) OVER (ORDER BY ord) - packed_size AS BIGINT) AS first FROM members), chunks AS (
-  SELECT ord, name, v AS volume, CAST(greatest(first, v * {VOLUME}) AS BIGINT) AS lo, CAST(least(first + packed_size, (v + 1) * {VOLUME}) AS BIGINT) AS hi, first, packed_size
+  SELECT ord, name, size, packed_size, CAST(sum(packed_size) OVER (ORDER BY ord) - packed_size AS BIGINT) AS first FROM members), chunks AS (
+  SELECT ord, name, v AS volume, CAST(greatest(first, v * {VOLUME}) AS BIGINT) AS lo, CAST(least(first + packed_size, (v + 1) * {VOLUME}) AS BIGINT) AS hi, first, packed_size, size
   FROM placed, unnest(range(first // {VOLUME}, greatest(first, first + packed_size - 1) // {VOLUME} + 1)) AS t(v))"""
 
 
@@ -64,7 +64,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str, volume: int = VOLUME) -> DataFrame:
     """A row for each member and volume with the packed bytes ``lo`` to ``hi``; offsets run through all volumes."""
-    placed = running_total(members(spark, sf_dir).select("ord", "name", "packed_size"), "ord", "packed_size", "first")
+    placed = running_total(members(spark, sf_dir).select("ord", "name", "size", "packed_size"), "ord", "packed_size", "first")
     div = lambda c: F.floor(c / volume).cast("long")
     last = F.greatest(F.col("first"), F.col("first") + F.col("packed_size") - 1)
     cut = placed.withColumn("volume", F.explode(F.sequence(div(F.col("first")), div(last))))
@@ -72,5 +72,5 @@ def chunks(spark: SparkSession, sf_dir: str, volume: int = VOLUME) -> DataFrame:
         "ord", "name", "volume",
         F.greatest("first", F.col("volume") * volume).alias("lo"),
         F.least(F.col("first") + F.col("packed_size"), (F.col("volume") + 1) * volume).alias("hi"),
-        "first", "packed_size",
+        "first", "packed_size", "size",
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import binary, cells, filters, paths
-from vellum.operators import diff, listing, order, ranges, volumes
+from vellum.functions import binary, cells, filters, parse, paths
+from vellum.operators import chains, diff, listing, order, ranges, select, volumes
 from vellum.plans.catalog import CHUNKS_SQL, MEMBERS_SQL, SNAPSHOT_SQL, chunks, members, snapshot, table
 from vellum.sources import container, lists
 from vellum.streaming import assemble
@@ -53,13 +54,13 @@ def list_cells(s, d):
     return listing.listing(members(s, d))
 
 
-_BYTES = "CASE WHEN {0} > 0 AND {0} % 1073741824 = 0 THEN ({0} // 1073741824) || 'g' WHEN {0} > 0 AND {0} % 1048576 = 0 THEN ({0} // 1048576) || 'm' WHEN {0} > 0 AND {0} % 1024 = 0 THEN ({0} // 1024) || 'k' ELSE CAST({0} AS VARCHAR) END"
+_BYTES = "CASE WHEN {0} % 1073741824 = 0 THEN ({0} // 1073741824) || 'g' WHEN {0} % 1048576 = 0 THEN ({0} // 1048576) || 'm' WHEN {0} % 1024 = 0 THEN ({0} // 1024) || 'k' ELSE CAST({0} AS VARCHAR) END"
 _DICT = _BYTES.format("(131072 * CAST(pow(2, method) AS BIGINT))")
 
 
 @query(
     M + f"""SELECT ord, unnest(['Name','Type','Size','Packed size','Compression','MD5']) AS field,
-    unnest([name, 'File', CAST(size AS VARCHAR), CAST(packed_size AS VARCHAR), 'v50 -m' || method || ' -md=' || {_DICT}, md5]) AS value FROM members"""
+    unnest([name, 'File', CAST(size AS VARCHAR), CAST(packed_size AS VARCHAR), 'RAR 5.0(v50) -m' || method || ' -md=' || {_DICT}, md5]) AS value FROM members"""
 )
 def unpivot_technical(s, d):
     return listing.technical(members(s, d))
@@ -70,36 +71,37 @@ def volume_split(s, d):
     return listing.volume_listing(chunks(s, d))
 
 
-@query(C + "SELECT volume, count(*) FILTER (lo = first) AS files, count(*) AS fragments, CAST(sum(hi - lo) AS BIGINT) AS bytes FROM chunks GROUP BY volume")
+@query(C + "SELECT volume, count(*) FILTER (lo = first) AS files, coalesce(CAST(sum(size) FILTER (lo = first) AS BIGINT), 0) AS size, count(*) AS fragments, CAST(sum(hi - lo) AS BIGINT) AS bytes FROM chunks GROUP BY volume")
 def volume_totals(s, d):
     return listing.volume_totals(chunks(s, d))
 
 
-_MODE_BITS = "(CASE p_size % 3 WHEN 0 THEN 32768 WHEN 1 THEN 16384 ELSE 40960 END + CAST(p_partkey * 37 % 4096 AS INTEGER))"
+# Written out by hand: nothing is taken from the expressions they are compared with.
+_MODE_SQL = """SELECT p_partkey,
+  CASE m // 4096 WHEN 4 THEN 'd' WHEN 10 THEN 'l' WHEN 1 THEN 'p' WHEN 2 THEN 'c' WHEN 6 THEN 'b' ELSE '-' END
+  || CASE WHEN m & 256 > 0 THEN 'r' ELSE '-' END || CASE WHEN m & 128 > 0 THEN 'w' ELSE '-' END || CASE m & 2112 WHEN 2112 THEN 's' WHEN 2048 THEN 'S' WHEN 64 THEN 'x' ELSE '-' END
+  || CASE WHEN m & 32 > 0 THEN 'r' ELSE '-' END || CASE WHEN m & 16 > 0 THEN 'w' ELSE '-' END || CASE m & 1032 WHEN 1032 THEN 's' WHEN 1024 THEN 'S' WHEN 8 THEN 'x' ELSE '-' END
+  || CASE WHEN m & 4 > 0 THEN 'r' ELSE '-' END || CASE WHEN m & 2 > 0 THEN 'w' ELSE '-' END || CASE m & 513 WHEN 513 THEN 't' WHEN 512 THEN 'T' WHEN 1 THEN 'x' ELSE '-' END AS mode
+FROM (SELECT p_partkey, [32768, 16384, 40960, 4096, 8192, 24576, 49152][p_size % 7 + 1] + p_partkey * 37 % 4096 AS m FROM part)"""
 
 
-def _rwx(shift, special, on):
-    b = lambda m: f"(m & {m}) <> 0"
-    return f"CASE WHEN {b(4 << shift)} THEN 'r' ELSE '-' END || CASE WHEN {b(2 << shift)} THEN 'w' ELSE '-' END || CASE WHEN {b(special)} THEN CASE WHEN {b(1 << shift)} THEN '{on}' ELSE '{on.upper()}' END ELSE CASE WHEN {b(1 << shift)} THEN 'x' ELSE '-' END END"
-
-
-@query(f"SELECT p_partkey, CASE m & 61440 WHEN 16384 THEN 'd' WHEN 40960 THEN 'l' ELSE '-' END || {_rwx(6, 2048, 's')} || {_rwx(3, 1024, 's')} || {_rwx(0, 512, 't')} AS mode FROM (SELECT p_partkey, {_MODE_BITS} AS m FROM part)")
+@query(_MODE_SQL)
 def mode_string(s, d):
-    m = F.when(F.col("p_size") % 3 == 0, 32768).when(F.col("p_size") % 3 == 1, 16384).otherwise(40960) + F.col("p_partkey") * 37 % 4096
-    return table(s, d, "part").select("p_partkey", cells.unix_mode(m).alias("mode"))
-
-
-_DOS = " || ".join(f"CASE WHEN (a & {b}) <> 0 THEN '{letter}' ELSE '.' END" for b, letter in cells.DOS_BITS)
+    kind = F.element_at(F.array(*map(F.lit, (32768, 16384, 40960, 4096, 8192, 24576, 49152))), (F.col("p_size") % 7 + 1).cast("int"))
+    mode = kind + F.col("p_partkey") * 37 % 4096
+    # Every second one as the middle formats have it, in the high word.
+    return table(s, d, "part").select("p_partkey", cells.unix_mode(F.when(F.col("p_partkey") % 2 == 0, mode * 65536).otherwise(mode)).alias("mode"))
 
 
-@query(f"SELECT p_partkey, {_DOS} AS attributes FROM (SELECT p_partkey, p_partkey * 131 % 16384 AS a FROM part)")
+@query("""SELECT p_partkey, CASE WHEN a & 8192 > 0 THEN 'I' ELSE '.' END || '.' || CASE WHEN a & 32 > 0 THEN 'A' ELSE '.' END || CASE WHEN a & 16 > 0 THEN 'D' ELSE '.' END
+  || CASE WHEN a & 4 > 0 THEN 'S' ELSE '.' END || CASE WHEN a & 2 > 0 THEN 'H' ELSE '.' END || CASE WHEN a & 1 > 0 THEN 'R' ELSE '.' END AS attributes FROM (SELECT p_partkey, p_partkey * 131 % 16384 AS a FROM part)""")
 def dos_string(s, d):
     return table(s, d, "part").select("p_partkey", cells.dos_attributes(F.col("p_partkey") * 131 % 16384).alias("attributes"))
 
 
-@query(f"SELECT o_orderkey, {_BYTES.format('n')} AS cell FROM (SELECT o_orderkey, o_orderkey * 256 AS n FROM orders)")
+@query(f"SELECT o_orderkey, {_BYTES.format('n')} AS cell FROM (SELECT o_orderkey, o_orderkey % 5000 * 256 AS n FROM orders)")
 def byte_count_cell(s, d):
-    return table(s, d, "orders").select("o_orderkey", cells.byte_count(F.col("o_orderkey") * 256).alias("cell"))
+    return table(s, d, "orders").select("o_orderkey", cells.byte_count(F.col("o_orderkey") % 5000 * 256).alias("cell"))
 
 
 @query("SELECT p_partkey, CASE p_size % 7 WHEN 1 THEN 'Unix symbolic link' WHEN 2 THEN 'Windows symbolic link' WHEN 3 THEN 'NTFS junction point' WHEN 4 THEN 'Hard link' WHEN 5 THEN 'File reference' ELSE CASE WHEN p_size % 2 = 0 THEN 'Directory' ELSE 'File' END END AS type FROM part")
@@ -107,10 +109,10 @@ def member_type(s, d):
     return table(s, d, "part").select("p_partkey", cells.member_type(F.col("p_size") % 7, F.col("p_size") % 2 == 0).alias("type"))
 
 
-@query(M + "SELECT m.ord, m.name, s.turn AS stream, CAST(octet_length(encode(s.text)) AS BIGINT) AS stream_size FROM members m JOIN conversations s ON s.conv_id = m.ord")
+@query(M + "SELECT m.ord, m.name, s.turn AS stream, CAST(octet_length(encode(s.text)) AS BIGINT) AS stream_size FROM members m LEFT JOIN conversations s ON s.conv_id = m.ord")
 def streams_join(s, d):
-    streams = table(s, d, "conversations").select(F.col("conv_id").alias("ord"), F.col("turn").alias("stream"), F.octet_length("text").cast("long").alias("stream_size"))
-    return members(s, d).select("ord", "name").join(streams, "ord")
+    streams = table(s, d, "conversations").select(F.col("conv_id").alias("owner"), F.col("turn").alias("stream"), F.octet_length("text").cast("long").alias("stream_size"))
+    return listing.with_streams(members(s, d).select("ord", "name"), streams)
 
 
 # Selection
@@ -135,29 +137,82 @@ def store_types(s, d):
     return members(s, d).select("ord", "name", paths.store_match(F.col("name"), ["txt", "*.log"]).alias("stored"))
 
 
-@query(M + "SELECT ord, name, size FROM members WHERE size < 5000 AND size > 1000")
+@query(M + "SELECT ord, name, size FROM members WHERE ord % 9 = 0 OR (size < 5000 AND size > 1000)")
 def size_filter(s, d):
-    return members(s, d).where("size < 5000 AND size > 1000").select("ord", "name", "size")
+    files = members(s, d).withColumn("is_dir", F.col("ord") % 9 == 0)
+    return select.by_size(files, less=parse.size("5000"), more=parse.size("1000")).select("ord", "name", "size")
 
 
-@query("SELECT event_id, ts FROM events WHERE epoch_us(ts) // 1000000 >= (SELECT min(epoch_us(ts)) // 1000000 + 86400 FROM events) AND epoch_us(ts) // 1000000 < (SELECT min(epoch_us(ts)) // 1000000 + 864000 FROM events)")
-def time_after_before(s, d):
-    e = table(s, d, "events")
-    start = e.agg(F.min("ts").alias("t0"))  # one row
-    day = F.expr("INTERVAL '1' DAY")
-    return e.crossJoin(F.broadcast(start)).where((F.col("ts") >= F.date_trunc("second", F.col("t0")).cast("timestamp_ntz") + day) & (F.col("ts") < F.date_trunc("second", F.col("t0")).cast("timestamp_ntz") + day * 10)).select("event_id", "ts")
+def _timed(s, d):
+    """Events as files: three times in nanoseconds, each eleventh a directory."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(s, d, "events").select(
+        F.col("event_id").alias("ord"), (F.col("event_id") % 11 == 0).alias("is_dir"),
+        (us * 1000 + F.col("event_id") % 1000).alias("mtime_ns"), (us * 1000 - F.col("user_id") * 86_400_000_000_000).alias("ctime_ns"), F.when(F.col("event_id") % 5 > 0, us * 1000).alias("atime_ns"),
+    )
+
+
+_TIMED = "WITH e AS (SELECT event_id AS ord, event_id % 11 = 0 AS is_dir, epoch_us(ts) * 1000 + event_id % 1000 AS m, epoch_us(ts) * 1000 - user_id * 86400000000000 AS c, CASE WHEN event_id % 5 > 0 THEN epoch_us(ts) * 1000 ELSE 0 END AS a, (SELECT max(epoch_us(ts)) * 1000 FROM events) AS now FROM events)"
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND (o_orderdate >= TIMESTAMP '1995-06-01' OR o_totalprice > 100000)")
+def _now(s, d):
+    return table(s, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] * 1000
+
+
+@query(_TIMED + " SELECT ord FROM e WHERE is_dir OR (m >= now - 864000000000000 AND c < now - 5184000000000000)")
+def time_newer_older(s, d):
+    return select.by_time(_timed(s, d), [("newer", "10d"), ("older", "c60d")], _now(s, d)).select("ord")
+
+
+@query(_TIMED + " SELECT ord FROM e WHERE is_dir OR (m < now - 3600000000000 AND (c >= now - 2592000000000000 OR a >= now - 86400000000000))")
 def time_or_group(s, d):
-    o = F.col("o_orderdate")
-    return table(s, d, "orders").where((o < F.lit("1996-01-01").cast("timestamp_ntz")) & ((o >= F.lit("1995-06-01").cast("timestamp_ntz")) | (F.col("o_totalprice") > 100000))).select("o_orderkey")
+    # The later switch of a kind replaces the earlier one.
+    return select.by_time(_timed(s, d), [("newer", "m1d"), ("newer", "oc30d"), ("newer", "oa24h"), ("older", "m1h")], _now(s, d)).select("ord")
+
+
+@query("WITH e AS (SELECT event_id AS ord, ts FROM events), b AS (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY AS t FROM events) SELECT ord FROM e, b WHERE ord % 11 = 0 OR (ts >= t AND ts < t + INTERVAL 9 DAY)")
+def time_after_before(s, d):
+    start = table(s, d, "events").agg(F.min("ts")).first()[0].replace(hour=0, minute=0, second=0, microsecond=0)
+    at = lambda days: (start + timedelta(days=days)).replace(tzinfo=timezone.utc).astimezone().strftime("%Y-%m-%d %H:%M:%S")
+    files = _timed(s, d).withColumn("ctime_ns", F.col("mtime_ns"))
+    return select.by_time(files, [("before", at(10)), ("after", "c" + at(1))], 0).select("ord")
+
+
+_TREE = "WITH f AS (SELECT p_partkey AS ord, 'd' || p_partkey % 7 || '/e' || p_partkey % 5 || '/' || p_name AS name, false AS is_dir FROM part WHERE p_partkey % 7 <> 3 AND (p_partkey % 7 <> 4 OR p_partkey % 5 = 1)), t AS (SELECT 'd' || i AS name FROM range(8) r(i) UNION ALL SELECT 'd' || i || '/e' || j FROM range(8) r(i), range(5) q(j))"
+
+
+def _tree(s, d):
+    p = F.col("p_partkey")
+    files = table(s, d, "part").where((p % 7 != 3) & ((p % 7 != 4) | (p % 5 == 1))).select(p.alias("ord"), F.concat(F.lit("d"), (p % 7).cast("string"), F.lit("/e"), (p % 5).cast("string"), F.lit("/"), F.col("p_name")).alias("name"), F.lit(False).alias("is_dir"))
+    deep = s.range(8).crossJoin(F.broadcast(s.range(5).withColumnRenamed("id", "j"))).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("/e"), F.col("j").cast("string")).alias("name"))
+    dirs = s.range(8).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("name")).union(deep).select(F.lit(None).cast("long").alias("ord"), "name", F.lit(True).alias("is_dir"))
+    return files.unionByName(dirs)
+
+
+@query(_TREE + " SELECT ord, name, is_dir FROM f UNION ALL SELECT NULL, name, true FROM t WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(f.name, t.name || '/'))")
+def empty_dirs(s, d):
+    return select.without_empty_directories(_tree(s, d))
+
+
+@query(_TREE + " SELECT ord, name, is_dir FROM f WHERE NOT starts_with(name, 'd1/') AND name NOT LIKE '%/e2/%' UNION ALL SELECT NULL, name, true FROM t WHERE name <> 'd1' AND NOT starts_with(name, 'd1/') AND name NOT LIKE '%/e2'")
+def directory_rules(s, d):
+    return select.by_masks(_tree(s, d), [], ["d1", "*/e2"])
+
+
+@query(_TREE + " SELECT ord, name, is_dir FROM f WHERE name LIKE '%/e0/%' AND NOT starts_with(name, 'd1/')")
+def directory_rules_include(s, d):
+    return select.by_masks(_tree(s, d), ["*/e0/*"], ["d1"])
+
+
+@query(M + "SELECT ord, name FROM members WHERE version = 2")
+def version_selection(s, d):
+    return select.by_version(members(s, d), 2).select("ord", "name")
 
 
-@query("SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier))")
-def empty_dir_semi(s, d):
-    nation = table(s, d, "nation").join(table(s, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
-    return table(s, d, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"), "left_semi").select("r_name")
+@query(M + "SELECT ord, name FROM members WHERE version = 0")
+def version_current(s, d):
+    # The current member has no record.
+    return select.by_version(members(s, d).withColumn("version", F.nullif(F.col("version"), F.lit(0)))).select("ord", "name")
 
 
 @query("SELECT page_id, CASE WHEN len(list_filter(string_split(replace(u, '\\', '/'), '/'), lambda p: p = '..')) = 0 AND NOT starts_with(u, '/') THEN array_to_string(list_filter(string_split(replace(u, '\\', '/'), '/'), lambda p: p <> '' AND p <> '.'), '/') END AS path FROM (SELECT page_id, replace(replace(substr(url, strpos(url, '//') + CAST(page_id % 2 AS INTEGER) + 1), '/en/', '/../'), '/fr/', '/./') AS u FROM pages)")
@@ -221,7 +276,8 @@ def dedup_summary(s, d):
 def delete_nth_duplicate(s, d):
     m = table(s, d, "events").select(F.col("event_id").alias("ord"), F.concat_ws("-", "event_type", "user_id").alias("name"))
     n = table(s, d, "customer").select(F.col("c_custkey").alias("line"), F.concat(F.lit("click-"), F.col("c_custkey").cast("string")).alias("name"))
-    return diff.delete_nth(m, n).select("ord", "name")
+    # Customers without a click have no member to delete.
+    return diff.delete_nth(m, n, strict=False).select("ord", "name")
 
 
 @query(M + "SELECT ord, name, CASE WHEN name = 'src1/en/00000001.md' THEN 'first.md' WHEN starts_with(name, 'src1/en/') THEN 'one/english' || substr(name, 8) WHEN starts_with(name, 'src1/') THEN 'one' || substr(name, 5) ELSE name END AS new_name FROM members")
@@ -257,12 +313,12 @@ def auto_rename(s, d):
 
 # Checks and statistics
 
-@query("SELECT count(*) AS checked, count(*) FILTER (NOT bad) AS passed, count(*) FILTER (bad) AS failed, min(doc_id) FILTER (bad) AS first_failure FROM (SELECT doc_id, md5(text) <> md5(CASE WHEN n_chars % 97 = 0 THEN text || '!' ELSE text END) AS bad FROM documents)")
+@query("SELECT count(*) AS checked, count(*) FILTER (NOT bad) AS passed, count(*) FILTER (bad) AS failed, min(doc_id) FILTER (bad) AS first_failure, 'm' || min(doc_id) FILTER (bad) AS first_name, CASE WHEN bool_or(bad) THEN 3 ELSE 0 END AS exit_code FROM (SELECT doc_id, md5(text) <> md5(CASE WHEN n_chars % 97 = 0 THEN text || '!' ELSE text END) AS bad FROM documents)")
 def verify_report(s, d):
-    d = table(s, d, "documents")
+    docs = table(s, d, "documents")
     stored = F.md5(F.when(F.col("n_chars") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"))
-    bad = d.select("doc_id", (F.md5(F.col("text").cast("binary")) != stored).alias("bad"))
-    return bad.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("bad")).alias("passed"), F.count_if("bad").alias("failed"), F.min(F.when(F.col("bad"), F.col("doc_id"))).alias("first_failure"))
+    state = F.when(F.md5(F.col("text").cast("binary")) == stored, "ok").otherwise("checksum")
+    return select.verification_report(docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("name"), state.alias("state")))
 
 
 @query(M + "SELECT ord, name, row_number() OVER (ORDER BY lower(" + _EXT + "), lower(split_part(name, '/', -1)), size, lower(name), ord) AS position FROM members")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """``name, size, mtime_s`` of the files below a directory; their bytes aren't read.
 
-    Files without bytes are missing: Spark's file scan leaves them out.
+    The file scan leaves out files without bytes; they are found in its listing, and asked for one by one.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = [unquote(p) for p in found.inputFiles()]
     # Whatever the scheme and authority, names begin behind the root's path.
     base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
-    name = F.regexp_replace("path", f"^.*?\\Q{base}\\E", "")
-    return found.select(name.alias("name"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_s"))
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    full = found.select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_s"))
+    names = spark.createDataFrame([(p,) for p in listed], "_path string")
+    empty = [r["_path"] for r in names.join(full.select(bare("path").alias("_full")), bare(F.col("_path")) == F.col("_full"), "left_anti").collect()]
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    status = lambda p: (place := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).getFileStatus(place)
+    rows = [(p, s.getLen(), s.getModificationTime() // 1000) for p in empty for s in [status(p)]]
+    both = full.unionByName(spark.createDataFrame(rows, "path string, size long, mtime_s long"))
+    return both.select(F.regexp_replace("path", f"^.*?\\Q{base}\\E", "").alias("name"), "size", "mtime_s")
