@@ -2,6 +2,8 @@ import hashlib
 import re
 import zlib
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,8 +48,10 @@ def test_extension(spark):
 
 def test_cells(spark):
     sizes = [0, 1, 1023, 1024, 1025, 1 << 20, 3 << 30]
-    assert values(spark, sizes, cells.byte_count(F.col("x")), "x long") == ["0", "1", "1023", "1k", "1025", "1m", "3g"]
+    assert values(spark, sizes, cells.byte_count(F.col("x")), "x long") == ["0g", "1", "1023", "1k", "1025", "1m", "3g"]
     assert values(spark, [0o100644, 0o040755, 0o104755, 0o101666], cells.unix_mode(F.col("x")), "x int") == ["-rw-r--r--", "drwxr-xr-x", "-rwsr-xr-x", "-rw-rw-rwT"]
+    assert values(spark, [0o010644, 0o020600, 0o060777, 0o100644 << 16, 0o644 << 16], cells.unix_mode(F.col("x")), "x long") == ["prw-r--r--", "crw-------", "brwxrwxrwx", "-rw-r--r--", "-rw-r--r--"]
+    assert values(spark, [0x3FFF, 0x800, 0], cells.dos_attributes(F.col("x")), "x int") == ["I.ADSHR", ".......", "......."]
     assert values(spark, [0, 3, 7], cells.ratio(F.lit(5).cast("long"), F.col("x")), "x long") == [0, 166, 71]
     assert values(spark, [None, 0], cells.time_cell(F.col("x")), "x long") == ["????-??-?? ??:??", "1970-01-01 00:00"]
 
@@ -60,12 +64,58 @@ def test_parsers():
         with pytest.raises(ValueError):
             parse.dictionary(bad)
     assert parse.period("1d2h3m4s") == 93784 and parse.period("5x") == 0 and parse.period("") == 0
-    assert parse.date("2024") == 1704067200 and parse.date("2024-01-02 03:04:05") == 1704164645
-    assert parse.time_filter("oc1d") == ("c", True, "1d") and parse.time_filter("5h") == ("m", False, "5h")
+    assert parse.period("30D") == 0 and parse.period("1d5") == 0 and parse.period("5") == 0 and parse.period("d2h") == 7200 and parse.period("1h1h") == 7200
+    assert parse.time_filter("oc1d") == ("c", True, "1d") and parse.time_filter("5h") == ("m", False, "5h") and parse.time_filter("mc30d") == ("mc", False, "30d")
     assert [parse.volume_name("a", k, 12) for k in (1, 12)] == ["a.part01.rar", "a.part12.rar"]
     assert [parse.volume_name("a", k, 200, True) for k in (1, 2, 101, 102)] == ["a.rar", "a.r00", "a.r99", "a.s00"]
 
 
+def test_dates_are_local(monkeypatch):
+    import time
+
+    for zone, shift in (("UTC", 0), ("Etc/GMT-3", 3 * 3600)):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        assert parse.date("2024") == 1704067200 - shift and parse.date("2024-01-02 03:04:05") == 1704164645 - shift
+        assert parse.date("2024/02/31") == parse.date("2024/03/02") and parse.date("1969") == 0
+    monkeypatch.undo()
+    time.tzset()
+    for bad in ("2024010203040506", "202", "20241", "20241301", "20240132", "2024010124", "21070101", "", "x"):
+        with pytest.raises(ValueError):
+            parse.date(bad)
+    assert parse.auto_name("", datetime(2024, 1, 2, 3, 4, 5)) == "20240102030405" and parse.auto_name("a-YYYY.MM-mm", datetime(2024, 1, 2, 3, 4, 5)) == "a-2024.01-04"
+
+
+def test_checksums_have_known_answers():
+    assert binary.blake2sp_bytes(b"").hex() == "dd0e891776933f43c7d032b08a917e25741f8aa9a12c12e1cac8801500f2ca4f"
+    assert binary.crc64_bytes(b"123456789") == 0x995DC9BBDF1939FA
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (0, 1, 7, 8, 9, 255, 256, 257, 511, 512, 5000, 70_000)] + [bytes(600), b"123456789"]
+    assert binary.crc64_many(texts) == [binary.crc64_bytes(t) for t in texts] and binary.crc64_many([]) == []
+    for n in (0, 63, 64, 511, 512, 513, 5000):
+        data = bytes(rng.integers(0, 256, n, np.uint8))
+        leaves = [hashlib.blake2s(b"".join(data[a : a + 64] for a in range(64 * k, n, 512)), fanout=8, depth=2, node_offset=k, inner_size=32, last_node=k == 7) for k in range(8)]
+        root = hashlib.blake2s(b"".join(x.digest() for x in leaves), fanout=8, depth=2, node_depth=1, inner_size=32, last_node=True)
+        assert binary.blake2sp_bytes(data) == root.digest()
+
+
+def test_passwords_and_macs():
+    import hmac
+
+    assert binary.clamp_password(("é" * 200).encode()) == ("é" * 127).encode() and binary.clamp_password(b"\xff" * 200) == b"\xff" * 127 and binary.clamp_password(b"ab") == b"ab"
+    digest = hmac.digest(b"k", (77).to_bytes(4, "little"), "sha256")
+    want = 0
+    for k in range(0, 32, 4):
+        want ^= int.from_bytes(digest[k : k + 4], "little")
+    assert binary.mac_crc32(b"k", 77) == want and binary.mac_hash(b"k", b"h" * 32) == hmac.digest(b"k", b"h" * 32, "sha256")
+
+
+def test_stored_names(spark):
+    name = lambda **k: values(spark, ["a/b/c.TXT", "a", "a/", "x\\y"], paths.stored_name(F.col("x"), **k))
+    assert name(strip_base=True) == ["b/c.TXT", "a", "a/", "y"] and name(flat=True) == ["c.TXT", "a", "", "y"]
+    assert name(drop_prefix="a/") == ["b/c.TXT", "a", "", "x/y"] and name(strip_base=True, drop_prefix="b", case="lower", prefix="p") == ["p/c.txt", "p/a", "p/a/", "p/y"]
+
+
 def test_byte_folds(spark):
     rng = np.random.default_rng(1)
     data = [b"", b"a", b"hello world", rng.bytes(700)]

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellum.operators import volumes
-from vellum.sources import container, lists
+from vellum.sources import container, lists, sinks
 from vellum.streaming import assemble
 
 
@@ -78,12 +78,13 @@ def test_lines(spark):
     assert [r.line for r in lists.mask_lines(masks).orderBy("line_no").collect()] == ["*.txt", "$default ; rest", ";x"]
 
 
-def test_walk_lists_files_that_have_bytes(spark, tmp_path):
+def test_walk_lists_all_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "b.txt").write_text("12345")
     (tmp_path / "c").write_text("1")
-    (tmp_path / "empty").write_text("")
-    assert sorted((r.name, r.size) for r in lists.walk(spark, str(tmp_path)).collect()) == [("a/b.txt", 5), ("c", 1)]
+    (tmp_path / "a" / "empty é 1").write_text("")
+    found = lists.walk(spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.size) for r in found) == [("a/b.txt", 5), ("a/empty é 1", 0), ("c", 1)] and all(r.mtime_s > 1 << 30 for r in found)
 
 
 def test_assembly_of_a_stream_is_that_of_the_table(spark, tmp_path):
@@ -96,3 +97,45 @@ def test_assembly_of_a_stream_is_that_of_the_table(spark, tmp_path):
     assert sorted(tuple(r) for r in assemble.assemble(stream(path)).collect()) == want
     df.limit(0).write.parquet(str(tmp_path / "none"))
     assert assemble.assemble(stream(str(tmp_path / "none"))).count() == 0
+
+
+def test_catalog_passes_payloads_by(spark, tmp_path):
+    members = [("a", b"x" * 100_000, 5), ("d", b"", 6, 0, True), ("é" * 9000, b"yz", 7, 2)]
+    whole = archive(*members)
+    (tmp_path / "whole").write_bytes(b"stub" + whole)
+    (tmp_path / "cut").write_bytes(whole[:50_000])
+    (tmp_path / "none").write_bytes(b"text")
+    files = spark.createDataFrame([(str(tmp_path / n),) for n in ("whole", "cut", "none")] + [(None,)], "path string")
+    got = sorted((r.path.rsplit("/", 1)[1], r.block, (r.name or "")[:2], r.size, r.mtime_s, r.version, r.state) for r in container.catalog(files).collect())
+    assert got == [("cut", 0, "a", 100_000, 5, None, "truncated"), ("none", 0, "", None, None, None, "no signature"), ("whole", 0, "a", 100_000, 5, None, "listed"), ("whole", 1, "d", 0, 6, None, "listed"), ("whole", 2, "éé", 2, 7, 2, "listed")]
+
+
+def test_members_become_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a/b", b"12"), (2, "./c", b""), (3, "../x", b"no"), (4, "n", None), (5, "a", b"a folder is there")], "ord long, target string, payload binary")
+    (tmp_path / "a").mkdir()
+    got = sorted(tuple(r) for r in sinks.extract(rows, str(tmp_path)).collect())
+    assert got == [(1, "a/b", 2, "written"), (2, "./c", 0, "corrected"), (3, "../x", 2, "refused"), (4, "n", 0, "failed"), (5, "a", 17, "failed")]
+    assert (tmp_path / "a" / "b").read_bytes() == b"12" and sorted(os.listdir(tmp_path)) == ["a", "c"]
+    assert list(sinks.printed(rows.where("payload is not null"))) == [b"12", b"", b"no", b"a folder is there"]
+    sinks.log_names(rows.withColumn("name", F.col("target")), str(tmp_path / "log"))
+    sinks.log_names(rows.where("ord = 4").withColumn("name", F.col("target")), str(tmp_path / "log"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == sorted(["a/b", "./c", "../x", "n", "a", "n"])
+    sinks.log_names(rows.where("ord = 4").withColumn("name", F.lit("é")), str(tmp_path / "log16"), utf16=True)
+    assert "é" in b"".join(f.read_bytes() for f in (tmp_path / "log16").glob("part-*")).decode("utf-16-le")
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    root = str(tmp_path / "table")
+    first = spark.range(5).withColumnRenamed("id", "ord")
+    sinks.commit(first, root)
+    broken = first.select(F.when(F.col("ord") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("ord")).alias("ord"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.commit(broken, root)
+    assert sorted(r.ord for r in sinks.current(spark, root).collect()) == list(range(5))
+    old = sinks.current(spark, root)
+    sinks.append(spark.createDataFrame([(7,), (9,)], "ord long"), root)
+    assert sorted(r.ord for r in sinks.current(spark, root).collect()) == [0, 1, 2, 3, 4, 5, 7] and old.count() == 5
+    sinks.clean(spark, root)
+    assert len([n for n in os.listdir(root) if n.startswith("data-")]) == 1 and sinks.current(spark, root).count() == 7
+    with pytest.raises(Exception):
+        sinks.current(spark, str(tmp_path / "nothing"))

@@ -84,18 +84,79 @@ def crc64_bytes(data: bytes, state: int = 0) -> int:
     return crc ^ 0xFFFFFFFFFFFFFFFF
 
 
+_ROW = 256
+
+
+def _advance(crc: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The states after ``_ROW`` bytes of zeros; ``steps`` has them for each value of each byte."""
+    out = np.zeros_like(crc)
+    for k in range(8):
+        out ^= steps[k][(crc >> np.uint64(8 * k) & np.uint64(255)).astype(np.intp)]
+    return out
+
+
+def _steps(table: np.ndarray) -> np.ndarray:
+    crc = (np.arange(256, dtype=np.uint64)[None, :] << (8 * np.arange(8, dtype=np.uint64))[:, None]).ravel()
+    for _ in range(_ROW):
+        crc = crc >> np.uint64(8) ^ table[(crc & np.uint64(255)).astype(np.intp)]
+    return crc.reshape(8, 256)
+
+
+def crc64_many(data: list[bytes]) -> list[int]:
+    """The checksums of several texts: all their rows of ``_ROW`` bytes take each step together, then each text's rows are joined.
+
+    The initial state is folded into the first eight bytes; zeros before them change nothing.
+    """
+    table = np.array(_TABLE64, np.uint64)
+    steps = _steps(table)
+    out = [0 if len(d) >= 8 else crc64_bytes(d) for d in data]
+    long = [k for k, d in enumerate(data) if len(d) >= 8]
+    counts = [-(-len(data[k]) // _ROW) for k in long]
+    if not long:
+        return out
+    rows = np.zeros((sum(counts), _ROW), np.uint8)
+    flat, at = rows.reshape(-1), 0
+    for k, n in zip(long, counts):
+        at += n * _ROW
+        own = flat[at - len(data[k]) : at]
+        own[:] = np.frombuffer(data[k], np.uint8)
+        own[:8] ^= 255
+    crc = np.zeros(len(rows), np.uint64)
+    for column in np.ascontiguousarray(rows.T):
+        crc = crc >> np.uint64(8) ^ table[((crc ^ column) & np.uint64(255)).astype(np.intp)]
+    first, number = np.cumsum([0, *counts[:-1]]), np.array(counts)
+    state = np.zeros(len(long), np.uint64)
+    order = np.argsort(-number, kind="stable")
+    for step in range(max(counts)):
+        live = order[: int(np.searchsorted(-number[order], -step))]  # texts with a row more
+        state[live] = _advance(state[live], steps) ^ crc[first[live] + step]
+    for k, value in zip(long, (state ^ np.uint64(0xFFFFFFFFFFFFFFFF)).tolist()):
+        out[k] = value
+    return out
+
+
 @F.pandas_udf(StringType())
 def crc64(data: pd.Series) -> pd.Series:
     """CRC-64 of the xz format, as 16 hex digits."""
-    return data.map(lambda b: None if b is None else f"{crc64_bytes(bytes(b)):016x}")
+    found, values, size = [], [], 0
+    raw = [None if b is None else bytes(b) for b in data]
+    for k, b in enumerate(raw):
+        values.append(b or b"")
+        size += len(b or b"")
+        if size > 4 << 20 or k == len(raw) - 1:
+            found += crc64_many(values)
+            values, size = [], 0
+    return pd.Series([None if b is None else f"{c:016x}" for b, c in zip(raw, found)], dtype=object)
 
 
 def blake2sp_bytes(data: bytes) -> bytes:
     """BLAKE2sp: 8 leaves take 64-byte blocks in turn, a root joins their hashes."""
     leaves = [hashlib.blake2s(fanout=8, depth=2, node_offset=k, inner_size=32, last_node=k == 7) for k in range(8)]
-    for at in range(0, len(data), 512):
-        for k in range(8):
-            leaves[k].update(data[at + 64 * k : at + 64 * k + 64])
+    whole = len(data) // 512 * 512
+    turns = np.frombuffer(data, np.uint8, whole).reshape(-1, 8, 64)
+    for k in range(8):
+        leaves[k].update(np.ascontiguousarray(turns[:, k]))
+        leaves[k].update(data[whole + 64 * k : whole + 64 * k + 64])
     root = hashlib.blake2s(fanout=8, depth=2, node_depth=1, inner_size=32, last_node=True)
     for leaf in leaves:
         root.update(leaf.digest())
@@ -107,12 +168,40 @@ def blake2sp(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else blake2sp_bytes(bytes(b)).hex())
 
 
+# Characters of a password that count.
+PASSWORD_CHARS = 127
+
+
+def clamp_password(password: bytes) -> bytes:
+    """The first characters of a password in UTF-8; of one in another encoding as many bytes."""
+    try:
+        return password.decode()[:PASSWORD_CHARS].encode()
+    except UnicodeDecodeError:
+        return password[:PASSWORD_CHARS]
+
+
+def mac_crc32(hash_key: bytes, crc: int) -> int:
+    """The checksum that an encrypted member shows: the words of an HMAC of the real one, folded."""
+    import hmac
+
+    digest = hmac.digest(hash_key, crc.to_bytes(4, "little"), "sha256")
+    return int(np.bitwise_xor.reduce(np.frombuffer(digest, "<u4")))
+
+
+def mac_hash(hash_key: bytes, digest: bytes) -> bytes:
+    """The hash that an encrypted member shows."""
+    import hmac
+
+    return hmac.digest(hash_key, digest, "sha256")
+
+
 def kdf(password: bytes, salt: bytes, strength: int) -> tuple[bytes, bytes, bytes]:
     """Key, hash key and password check of an HMAC-SHA256 chain, tapped at n, n + 16 and n + 32 rounds."""
     import hmac
 
     if strength > 24:
         raise ValueError("key strength is over 24")
+    password = clamp_password(password)
     block = hmac.digest(password, salt + b"\0\0\0\1", "sha256")
     total, taps = int.from_bytes(block, "big"), []
     for rounds in ((1 << strength) - 1, 16, 16):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta, timezone
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions import binary, cells, filters, parse, paths
 from vellum.operators import chains, diff, listing, order, ranges, select, volumes
 from vellum.plans.catalog import CHUNKS_SQL, MEMBERS_SQL, SNAPSHOT_SQL, chunks, members, snapshot, table
-from vellum.sources import container, lists
+from vellum.sources import container, lists, sinks
 from vellum.streaming import assemble
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,9 +144,14 @@ def size_filter(s, d):
     return select.by_size(files, less=parse.size("5000"), more=parse.size("1000")).select("ord", "name", "size")
 
 
+def _micros(ts):
+    """Microseconds of a time without zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def _timed(s, d):
     """Events as files: three times in nanoseconds, each eleventh a directory."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = _micros(F.col("ts"))
     return table(s, d, "events").select(
         F.col("event_id").alias("ord"), (F.col("event_id") % 11 == 0).alias("is_dir"),
         (us * 1000 + F.col("event_id") % 1000).alias("mtime_ns"), (us * 1000 - F.col("user_id") * 86_400_000_000_000).alias("ctime_ns"), F.when(F.col("event_id") % 5 > 0, us * 1000).alias("atime_ns"),
@@ -156,7 +162,7 @@ _TIMED = "WITH e AS (SELECT event_id AS ord, event_id % 11 = 0 AS is_dir, epoch_
 
 
 def _now(s, d):
-    return table(s, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] * 1000
+    return table(s, d, "events").agg(F.max(_micros(F.col("ts")))).first()[0] * 1000
 
 
 @query(_TIMED + " SELECT ord FROM e WHERE is_dir OR (m >= now - 864000000000000 AND c < now - 5184000000000000)")
@@ -456,6 +462,15 @@ def container_roundtrip(s, d):
     return found.select("name", "size", "mtime_s", F.coalesce("version", F.lit(0).cast("long")).alias("version"), F.md5("payload").alias("md5"), "state")
 
 
+@query(M + "SELECT name, size, mtime_s, version, 'listed' AS state FROM members")
+def container_catalog(s, d):
+    data = members(s, d).select("ord", "name", F.col("text").cast("binary").alias("data"), "mtime_s", "version")
+    files = container.write(data, 1 << 20).select((F.col("archive")).alias("ord"), F.concat(F.col("archive").cast("string"), F.lit(".rar")).alias("target"), F.col("content").alias("payload"))
+    root = ranges.shared_dir(s).removeprefix("file://") + "/archives-" + uuid.uuid4().hex
+    written = ranges.written(sinks.extract(files, root), "written").select(F.concat(F.lit(root + "/"), "name").alias("path"))
+    return container.catalog(written).select("name", "size", "mtime_s", F.coalesce("version", F.lit(0).cast("long")).alias("version"), "state")
+
+
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 2 THEN 'v15' ELSE 'v50' END AS family, CAST(CASE page_id % 4 WHEN 0 THEN NULL WHEN 3 THEN octet_length(encode(url)) + 6 ELSE octet_length(encode(url)) END AS BIGINT) AS at FROM pages")
 def signature_start(s, d):
     long, old, weak = (F.lit(x) for x in (container.SIGNATURE, container.SIGNATURE_OLD, container.SIGNATURE_OLDEST))
@@ -493,6 +508,215 @@ def dos_time(s, d):
     return packed.select("event_id", "packed", cells.from_dos_time(F.col("packed")).alias("unpacked"))
 
 
+# Cells of all formats
+
+_FORMATS = """WITH f AS (SELECT p_partkey, p_partkey % 3 + 3 AS format, p_partkey % 6 AS host, [2, 15, 20, 26, 29, 36, 99][p_partkey % 7 + 1] AS unpacker, p_partkey % 2 = 0 AS extended, p_partkey % 10 AS log,
+  CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS BIGINT) * 1073741824 END AS explicit, p_partkey % 13 = 0 AS is_dir, p_partkey % 6 AS method, 33188 + p_partkey % 512 AS attributes, p_partkey % 5 AS volume, p_size % 3 AS volumes FROM part),
+v AS (SELECT *, CASE format WHEN 3 THEN 'v14' WHEN 4 THEN CASE unpacker WHEN 2 THEN 'v14' WHEN 15 THEN 'v15' WHEN 20 THEN 'v20' WHEN 26 THEN 'v26' WHEN 36 THEN 'v36' ELSE 'v29' END ELSE CASE WHEN extended THEN 'v70' ELSE 'v50' END END AS version,
+  coalesce(explicit, 0) > 4294967296 AND format = 5 AND extended AS large FROM f) """
+
+
+def _formats(s, d):
+    k = F.col("p_partkey")
+    f = table(s, d, "part").select(
+        k, (k % 3 + 3).alias("format"), (k % 6).alias("host"), F.element_at(F.array(*map(F.lit, (2, 15, 20, 26, 29, 36, 99))), (k % 7 + 1).cast("int")).alias("unpacker"), (k % 2 == 0).alias("extended"), (k % 10).alias("log"),
+        F.when(k % 4 == 0, F.col("p_size") * F.lit(1 << 30).cast("long")).alias("explicit"), (k % 13 == 0).alias("is_dir"), (k % 6).alias("method"), (k % 512 + 33188).alias("attributes"), (k % 5).alias("volume"), (F.col("p_size") % 3).alias("volumes"),
+    )
+    return f.withColumn("version", cells.version_label(F.col("format"), F.col("unpacker"), F.col("extended")))
+
+
+@query(_FORMATS + "SELECT p_partkey, version, CASE format WHEN 3 THEN NULL WHEN 4 THEN CASE host WHEN 0 THEN 'DOS' WHEN 1 THEN 'OS/2' WHEN 2 THEN 'Windows' WHEN 3 THEN 'Unix' ELSE 'Mac' END ELSE CASE host WHEN 1 THEN 'Unix' ELSE 'Windows' END END AS host, CASE WHEN format < 5 THEN CASE WHEN host IN (0, 2) THEN 0 ELSE 1 END ELSE host END AS code FROM v")
+def host_and_version(s, d):
+    return _formats(s, d).select("p_partkey", "version", cells.host_name(F.col("format"), F.col("host")).alias("host"), cells.host_code(F.col("format"), F.col("host")).alias("code"))
+
+
+_SIZED = "CASE WHEN is_dir THEN NULL WHEN format = 3 THEN '64k' WHEN format = 4 THEN CASE WHEN log < 4 THEN (64 << CAST(log AS INT)) || 'k' WHEN log <= 6 THEN (1 << (CAST(log AS INT) - 4)) || 'm' END WHEN explicit IS NOT NULL THEN (explicit // 1073741824) || 'g' WHEN log < 3 THEN (128 << CAST(log AS INT)) || 'k' ELSE (1 << (CAST(log AS INT) - 3)) || 'm' END"
+
+
+@query(_FORMATS + f"SELECT p_partkey, CASE WHEN format = 3 THEN 'RAR 5.0(v13)' WHEN format = 4 THEN 'RAR 1.5(' || version || ')' WHEN large THEN 'RAR 7.0(v70)' ELSE 'RAR 5.0(v50)' END || ' -m' || method || coalesce(' -md=' || {_SIZED}, '') AS compression FROM v")
+def compression_cells(s, d):
+    size = cells.dictionary_cell(F.col("format"), F.col("is_dir"), F.col("log"), F.col("explicit"))
+    return _formats(s, d).select("p_partkey", cells.compression_label(F.col("format"), F.col("version"), F.col("method"), size, F.col("explicit")).alias("compression"))
+
+
+@query(_FORMATS + "SELECT p_partkey, CASE WHEN format = 3 THEN 'RAR 1.4' WHEN format = 4 THEN 'RAR 1.5' WHEN large THEN 'RAR 7' ELSE 'RAR 5' END || CASE WHEN extended THEN ', solid' ELSE '' END || CASE WHEN volumes <= 1 THEN '' WHEN format = 5 THEN ', volume ' || (volume + 1) ELSE ', volume' END AS details FROM v")
+def archive_details(s, d):
+    label = cells.details_label(F.col("format"), F.col("version"), F.col("explicit"), F.col("extended"), F.col("volumes"), F.col("volume"))
+    return _formats(s, d).select("p_partkey", label.alias("details"))
+
+
+@query(M + """, r AS (SELECT ord, CASE WHEN ord % 2 = 1 THEN '-r' || CASE WHEN ord % 3 = 0 THEN 'w' ELSE '-' END || '-r--r--' ELSE '..' || CASE WHEN ord % 3 = 0 THEN 'A' ELSE '.' END || '...R' END AS attributes, size, packed_size,
+  CASE WHEN size = 0 THEN 0 ELSE packed_size * 100 // size END AS ratio, strftime(make_timestamp(mtime_s * 1000000), '%Y-%m-%d %H:%M') AS time, md5 AS checksum, CASE WHEN version > 0 THEN name || ';' || version ELSE name END AS name FROM members)
+SELECT * FROM r UNION ALL SELECT NULL, NULL, CAST(sum(size) AS BIGINT), CAST(sum(packed_size) AS BIGINT), CAST(sum(packed_size) AS BIGINT) * 100 // CAST(sum(size) AS BIGINT), NULL, NULL, CAST(count(*) AS VARCHAR) FROM members""")
+def list_table(s, d):
+    third, host = F.col("ord") % 3 == 0, F.col("ord") % 2
+    attributes = F.when(host == 1, F.when(third, 0o100644).otherwise(0o100444)).otherwise(F.when(third, 0x21).otherwise(0x1))
+    return listing.table(members(s, d).withColumns({"host": host, "attributes": attributes}))
+
+
+@query(M + "SELECT ord, CASE WHEN version > 0 THEN name || ';' || version ELSE name END AS name FROM members")
+def list_bare(s, d):
+    return listing.bare(members(s, d))
+
+
+@query(M + ", n AS (SELECT ord, name, substr(name, strpos(name, '/') + 1) AS rest FROM members) SELECT ord, 'in/' || upper(CASE WHEN starts_with(rest, 'en/') THEN substr(rest, 4) ELSE rest END) AS stored, split_part(name, '/', -1) AS base FROM n")
+def stored_names(s, d):
+    name = F.col("name")
+    return members(s, d).select("ord", paths.stored_name(name, strip_base=True, drop_prefix="en/", case="upper", prefix="in").alias("stored"), paths.stored_name(name, flat=True).alias("base"))
+
+
+# More two-relation operations
+
+@query(S + ", f AS (SELECT name, min(ord) AS first FROM members GROUP BY name) SELECT m.ord, m.name, coalesce(s.size, m.size) AS size, coalesce(s.mtime_s, m.mtime_s) AS mtime_s, CASE WHEN s.name IS NULL THEN 'kept' ELSE 'replaced' END AS origin FROM members m JOIN f ON f.name = m.name LEFT JOIN snapshot s ON s.name = m.name WHERE s.name IS NULL OR m.ord = f.first")
+def replace_in_place(s, d):
+    return diff.replace_in_place(members(s, d), snapshot(s, d))
+
+
+@query("SELECT o_orderkey AS ord, 'f' || o_orderkey AS name, CAST(o_custkey AS BIGINT) AS size, CASE WHEN o_orderkey % 10 > 0 AND o_orderkey <> min(o_orderkey) OVER w THEN 'f' || min(o_orderkey) OVER w END AS target FROM orders WINDOW w AS (PARTITION BY o_orderkey % 10 = 0, o_custkey % 2, o_custkey)")
+def hard_links(s, d):
+    k = F.col("o_orderkey")
+    files = table(s, d, "orders").select(k.alias("ord"), F.concat(F.lit("f"), k.cast("string")).alias("name"), F.col("o_custkey").cast("long").alias("size"), (F.col("o_custkey") % 2).alias("device"), F.when(k % 10 > 0, F.col("o_custkey")).alias("inode"))
+    return diff.hard_links(files)
+
+
+@query("WITH m AS (SELECT event_type || '-' || user_id AS name, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1) SELECT w.name, coalesce(n, 0) AS matches, first AS first_ord, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS state FROM (SELECT 'click-' || c_custkey AS name FROM customer) w LEFT JOIN m ON m.name = w.name")
+def name_lookup(s, d):
+    m = table(s, d, "events").select(F.col("event_id").alias("ord"), F.concat_ws("-", "event_type", "user_id").alias("name"))
+    return diff.lookup(m, table(s, d, "customer").select(F.concat(F.lit("click-"), F.col("c_custkey").cast("string")).alias("name")))
+
+
+@query("SELECT min(o_orderkey) AS ord, 'src/' || o_custkey AS path, 'n' || min(o_orderkey) AS name FROM orders GROUP BY o_custkey")
+def input_dedup(s, d):
+    k = F.col("o_orderkey")
+    return diff.first_of_path(table(s, d, "orders").select(k.alias("ord"), F.concat(F.lit("src/"), F.col("o_custkey").cast("string")).alias("path"), F.concat(F.lit("n"), k.cast("string")).alias("name")))
+
+
+_STATES = "(SELECT name, arg_max(mtime_s, mtime_s) AS t FROM snapshot GROUP BY name)"
+
+
+@query(S + f", x AS {_STATES} SELECT m.ord, m.name, CASE WHEN t IS NOT NULL AND NOT m.mtime_s > t THEN 'skip' ELSE 'extract' END AS action, CASE WHEN t IS NOT NULL AND NOT m.mtime_s > t THEN NULL ELSE m.name END AS target FROM members m LEFT JOIN x ON x.name = m.name")
+def extract_update(s, d):
+    return select.destinations(_extracted(s, d), _existing(s, d), "update")
+
+
+@query(S + f", x AS {_STATES} SELECT m.ord, m.name, CASE WHEN m.mtime_s > t THEN 'extract' ELSE 'skip' END AS action, CASE WHEN m.mtime_s > t THEN m.name END AS target FROM members m LEFT JOIN x ON x.name = m.name")
+def extract_freshen(s, d):
+    return select.destinations(_extracted(s, d), _existing(s, d), "freshen")
+
+
+@query(S + f", x AS {_STATES} SELECT m.ord, m.name, 'extract' AS action, CASE WHEN t IS NULL THEN m.name WHEN strpos(split_part(m.name, '/', -1), '.') > 0 THEN regexp_replace(m.name, '\\.([^.]*)$', '(1).\\1') ELSE m.name || '(1)' END AS target FROM members m LEFT JOIN x ON x.name = m.name")
+def extract_rename(s, d):
+    return select.destinations(_extracted(s, d), _existing(s, d), "rename")
+
+
+def _extracted(s, d):
+    return members(s, d).select("ord", "name", F.lit(False).alias("is_dir"), (F.col("mtime_s") * 1_000_000_000).alias("mtime_ns"))
+
+
+def _existing(s, d):
+    return snapshot(s, d).select("name", (F.col("mtime_s") * 1_000_000_000).alias("mtime_ns"))
+
+
+@query(M + "SELECT CASE WHEN starts_with(name, 'src1/') THEN 'refused' WHEN ord % 7 = 0 THEN 'failed' WHEN ord % 5 = 0 THEN 'corrected' ELSE 'written' END AS outcome, count(*) AS members, CAST(sum(CASE WHEN ord % 7 = 0 THEN 0 ELSE size END) AS BIGINT) AS bytes, min(ord) AS first_ord, arg_min(CASE WHEN starts_with(name, 'src1/') THEN '/' || name WHEN ord % 5 = 0 THEN './' || name ELSE name END, ord) AS first_name FROM members GROUP BY 1")
+def extract_files(s, d):
+    name = F.when(F.col("name").startswith("src1/"), F.concat(F.lit("/"), "name")).when(F.col("ord") % 5 == 0, F.concat(F.lit("./"), "name")).otherwise(F.col("name"))
+    rows = members(s, d).select("ord", name.alias("target"), F.when(F.col("ord") % 7 > 0, F.col("text").cast("binary")).alias("payload"))
+    root = ranges.shared_dir(s).removeprefix("file://") + "/extract-" + uuid.uuid4().hex
+    return select.extraction_report(sinks.extract(rows, root))
+
+
+@query(M + "SELECT ord, name, size FROM members WHERE ord % 3 = 0 UNION ALL SELECT (SELECT max(ord) FROM members WHERE ord % 3 = 0) + 1 + ord - (SELECT min(ord) FROM members WHERE ord % 3 = 1), name, size FROM members WHERE ord % 3 = 1")
+def append_members(s, d):
+    m, root = members(s, d).select("ord", "name", "size"), ranges.shared_dir(s) + "/table-" + uuid.uuid4().hex
+    sinks.commit(m.where("ord % 3 = 0"), root)
+    sinks.append(m.where("ord % 3 = 1"), root)
+    return sinks.current(s, root)
+
+
+@query(M + "SELECT ord, CASE WHEN ord % 4 = 1 THEN 'new/' || ord ELSE name END AS name, size, CASE WHEN ord % 6 = 1 THEN 'c' || ord END AS comment FROM members WHERE ord % 4 <> 0")
+def edit_apply(s, d):
+    m = members(s, d).select("ord", "name", "size")
+    edit = lambda where, kind, value: m.where(where).select("ord", F.lit(kind).alias("kind"), value.alias("value"))
+    text = lambda head: F.concat(F.lit(head), F.col("ord").cast("string"))
+    edits = edit("ord % 4 = 0", "delete", F.lit(None).cast("string")).union(edit("ord % 4 = 1", "rename", text("new/"))).union(edit("ord % 6 = 1", "comment", text("c")))
+    return diff.apply_edits(m, edits)
+
+
+@query("SELECT CAST(sum(o_custkey) AS BIGINT) AS size, 'ok' AS state FROM orders")
+def checked_total(s, d):
+    return select.checked_total(table(s, d, "orders").select(F.col("o_custkey").alias("size")))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS size, 'overflow' AS state")
+def checked_total_overflow(s, d):
+    return select.checked_total(table(s, d, "orders").select(F.lit((1 << 63) - 1).alias("size")))
+
+
+# Runs of neighbours
+
+_SOLID = "WITH m AS (SELECT o_orderkey AS ord, o_orderkey % 11 = 0 AS is_dir, o_custkey % 4 > 0 AS solid FROM orders), f AS (SELECT ord, solid, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (ORDER BY ord) AS chain, row_number() OVER (ORDER BY ord) AS k FROM m WHERE NOT is_dir), c AS (SELECT chain, min(ord) AS first_ord, max(ord) AS last_ord, arg_max(solid, ord) AS ends FROM f GROUP BY chain), p AS (SELECT ord, coalesce(count(*) FILTER (NOT is_dir) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS k FROM m) SELECT p.ord, first_ord, last_ord FROM p JOIN f USING (k) JOIN c USING (chain)"
+
+
+def _solid(s, d):
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 11 == 0).alias("is_dir"), (F.col("o_custkey") % 4 > 0).alias("solid"))
+
+
+@query(_SOLID + " WHERE p.ord < last_ord")
+def chain_range(s, d):
+    return chains.chain_ranges(_solid(s, d))
+
+
+@query(_SOLID + " WHERE p.ord < last_ord OR ends")
+def chain_range_replace(s, d):
+    return chains.chain_ranges(_solid(s, d), for_replace=True)
+
+
+@query(M + ", e AS (SELECT ord, regexp_extract(name, '[^.]*$') AS ext FROM members WHERE ord % 8 > 1), c AS (SELECT ord, CASE WHEN ext = lag(ext) OVER (ORDER BY ord) THEN 0 ELSE 1 END AS new FROM e) SELECT ord, CAST(sum(new) OVER (ORDER BY ord) AS BIGINT) AS run FROM c")
+def solid_runs(s, d):
+    return chains.solid_runs(members(s, d).where("ord % 8 > 1").select("ord", "name"))
+
+
+_RANGES = "SELECT l_partkey % 50 AS key, l_orderkey * 3 AS lo, l_orderkey * 3 + CAST(l_quantity AS BIGINT) * 20 AS hi FROM lineitem"
+
+
+@query(f"WITH r AS ({_RANGES}), o AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r), n AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT key, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY key, run")
+def interval_merge(s, d):
+    lo = F.col("l_orderkey") * 3
+    return chains.merge_ranges(table(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("key"), lo.alias("lo"), (lo + F.col("l_quantity").cast("long") * 20).alias("hi")))
+
+
+# Each supplier's set has up to 13 volumes, and every third set lacks its fourth.
+@query("""WITH v AS (SELECT s_suppkey AS k, n, s_suppkey % 3 = 0 AS broken, s_suppkey % 4 AS style FROM supplier, range(1, 14) AS r(n) WHERE n <= s_suppkey % 13 + 1)
+SELECT 'set' || k AS volume_set, n AS volume, CASE style WHEN 0 THEN 'set' || k || '.part' || n || '.rar' WHEN 1 THEN 'Set' || k || '.PART' || lpad(CAST(n AS VARCHAR), 2, '0') || CASE WHEN n = 1 THEN '.exe' ELSE '.rar' END
+  WHEN 2 THEN 'set' || k || CASE WHEN n = 1 THEN '.rar' ELSE '.r' || lpad(CAST(n - 2 AS VARCHAR), 2, '0') END ELSE 'set' || k || '.part' || lpad(CAST(n AS VARCHAR), 3, '0') || '.rar' END AS path FROM v WHERE NOT broken OR n < 4""")
+def volume_discovery(s, d):
+    k, n = F.col("s_suppkey"), F.col("n")
+    pad = lambda w, c=n: F.lpad(c.cast("string"), w, "0")
+    base = lambda head: F.concat(F.lit(head), k.cast("string"))
+    rows = table(s, d, "supplier").select(k, F.explode(F.sequence(F.lit(1).cast("long"), k % 13 + 1)).alias("n")).where((k % 3 > 0) | (n != 4))
+    path = (
+        F.when(k % 4 == 0, F.concat(base("set"), F.lit(".part"), n.cast("string"), F.lit(".rar"))).when(k % 4 == 1, F.concat(base("Set"), F.lit(".PART"), pad(2), F.when(n == 1, ".exe").otherwise(".rar")))
+        .when(k % 4 == 2, F.concat(base("set"), F.when(n == 1, ".rar").otherwise(F.concat(F.lit(".r"), pad(2, n - 2))))).otherwise(F.concat(base("set"), F.lit(".part"), pad(3), F.lit(".rar")))
+    )
+    return chains.volume_sets(rows.select(path.alias("path")).union(table(s, d, "supplier").select(F.concat(F.lit("note"), k.cast("string"), F.lit(".txt")))))
+
+
+# Checksums, bit by bit in the twin
+
+_BITS = "list_transform(string_split(p_name, ''), lambda c: ascii(c))"
+
+
+@query(f"SELECT p_partkey, crc AS crc32, CAST(crc & 65535 AS INTEGER) AS crc16 FROM (SELECT p_partkey, xor(4294967295, list_reduce(list_prepend(4294967295, CAST({_BITS} AS BIGINT[])), lambda a, b: list_reduce(CAST([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384)))) AS crc FROM part)")
+def crc32_names(s, d):
+    data = F.col("p_name").cast("binary")
+    return table(s, d, "part").select("p_partkey", F.crc32(data).alias("crc32"), binary.crc16(data).cast("int").alias("crc16"))
+
+
+@query(f"SELECT p_partkey, printf('%016x', xor(18446744073709551615::UBIGINT, list_reduce(list_prepend(18446744073709551615::UBIGINT, CAST({_BITS} AS UBIGINT[])), lambda a, b: list_reduce(CAST([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[]), lambda c, z: xor(c >> 1, (c & 1::UBIGINT) * 14514072000185962306::UBIGINT))))) AS crc64 FROM part")
+def crc64_names(s, d):
+    return table(s, d, "part").select("p_partkey", F.col("p_name").cast("binary").alias("data")).select("p_partkey", binary.crc64("data").alias("crc64"))
+
+
 # Category coverage; no operator of its own
 
 @query("SELECT n_name, r_name, count(*) AS orders, CAST(round(sum(CAST(o_totalprice * 100 AS BIGINT))) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")

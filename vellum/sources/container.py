@@ -9,6 +9,7 @@ built or read by one task, and ``write`` bounds its size.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -99,7 +100,9 @@ def write(members: DataFrame, limit: int = 64 << 20) -> DataFrame:
     larger than that and its last member.  A null time or version is 0, null data empty.
     """
     cells = members.select("ord", "name", F.coalesce("data", F.lit(b"")).alias("data"), F.coalesce("mtime_s", F.lit(0)).alias("mtime_s"), F.coalesce("version", F.lit(0)).alias("version"))
-    placed = running_total(cells, "ord", F.octet_length("data"), "before")
+    # Only lengths are dealt by ranges; the data join their places.
+    sized = running_total(cells.select("ord", F.octet_length("data").alias("_length")), "ord", "_length", "before").select(F.col("ord").alias("_ord"), "before")
+    placed = cells.join(sized, F.col("ord") == F.col("_ord")).drop("_ord")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("ord")
@@ -210,3 +213,50 @@ def scan(files: DataFrame, salvage: bool = False, path: str = "path") -> DataFra
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return files.select(F.col(path).cast("string"), "content").mapInArrow(run, SCHEMA)
+
+
+#: Bytes that are read at once for a header; a longer one is read again.
+WINDOW = 1 << 14
+
+
+def _listed(path: str) -> Iterator[dict]:
+    """The members of one file by their headers; payloads are passed by, not read."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path) else f"file://{path}")
+    with system.open_input_file(name) as f:
+        size = f.size()
+        at = f.read_at(min(size, SCAN), 0).find(SIGNATURE)
+        if at < 0:
+            yield {"state": "no signature", "offset": 0}
+            return
+        at += len(SIGNATURE)
+        while at < size:
+            for window in (WINDOW, 1 << 22):
+                data = f.read_at(min(window, size - at), at)
+                try:
+                    kind, got, body, packed = _header(data, 0)
+                    break
+                except (ValueError, IndexError) as e:
+                    kind, fault = None, str(e) if isinstance(e, ValueError) else "truncated"
+            if kind is None:
+                yield {"state": fault, "offset": at}
+                return
+            if kind == FILE:
+                whole = at + body + packed <= size
+                yield got | {"offset": at, "state": "truncated" if not whole else "fragment" if got["continued"] or got["goes_on"] else "listed"}
+            elif kind == END:
+                return
+            at += body + packed
+
+
+def catalog(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The members of the files named by ``path``, from their headers alone: no payload is read or checked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where in batch.column(0).to_pylist():
+                rows = [] if where is None else [r | {"path": where, "block": k} for k, r in enumerate(_listed(where))]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return paths.select(F.col(path).cast("string")).mapInArrow(run, SCHEMA).drop("payload")
