@@ -1,7 +1,6 @@
 import hashlib
 import re
 import zlib
-
 from datetime import datetime
 
 import numpy as np

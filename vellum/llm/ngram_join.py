@@ -59,7 +59,7 @@ BLOCK, OFTEN = 1_000_000, 3
 #: Texts with a common shingle that are led by one of them before the leaders meet.
 HOT = 1000
 #: Partners of one hub that are compared in one run of rows.
-FAN = 500
+FAN = 100
 #: Pairs that are broadcast to the sets at most; more are joined by a shuffle.
 BROADCAST_PAIRS = 250_000
 
