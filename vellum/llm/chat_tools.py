@@ -15,8 +15,8 @@ No group is gathered: a row is one call, and its place in the conversation is
 its ``level`` and ``turn``, so a conversation of any size is spread over tasks.
 
 Cases: equal rows are one; calls that share conversation and identifier but
-differ are all kept, with the error ``duplicate id``, and the smallest decides
-the level; of several results the smallest is linked, with the error ``several
+differ are all kept, with the error ``duplicate id``, and that of the first turn,
+then of the smallest predecessor, decides the level; of several results the smallest is linked, with the error ``several
 results``; a call without a result has ``linked`` false and a null result; a
 result without a call is a row of the kind ``result``, with the error ``no
 call``; calls in or after a cycle have a null level; arguments that aren't
@@ -156,7 +156,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     named = each.where("key is not null")
     # Written, so that the joins by key can split a hot one.
     to = F.when(F.col("first.after").isNotNull(), F.struct(F.col("key.conv_id").alias("conv_id"), F.col("first.after").alias("call_id")))
-    nodes = named.groupBy("key").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("first"), F.count(F.lit(1)).alias("same")).select("key", to.alias("to"), "same")
+    nodes = named.groupBy("key").agg(F.min(F.struct("turn", "after", F.xxhash64("name", "arguments").alias("rest"))).alias("first"), F.count(F.lit(1)).alias("same")).select("key", to.alias("to"), "same")
     nodes = _util.materialize(nodes, "nodes")
     level = levels(nodes.select("key", "to"))
     answers = results.select(key, F.struct("result").alias("r")).where("key is not null").groupBy("key").agg(F.min("r").alias("r"), (F.min("r") != F.max("r")).alias("several"))
