@@ -168,6 +168,15 @@ def blake2sp(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else blake2sp_bytes(bytes(b)).hex())
 
 
+def comment_text(payload: Column, unicode: Column) -> Column:
+    """The text of a stored comment: UTF-16 if it says so, or if it isn't UTF-8 and its pairs of bytes hold no surrogate."""
+    pairs = F.regexp_extract_all(F.hex(payload), F.lit("..(..)"), F.lit(1))
+    surrogate = F.exists(pairs, lambda high: high.rlike("^D[89A-F]$"))
+    wide = F.decode(F.substring(payload, F.lit(1), F.octet_length(payload) - F.octet_length(payload) % 2), "UTF-16LE")
+    plain = F.is_valid_utf8(payload.cast("string")) | (F.octet_length(payload) % 2 == 1) | surrogate
+    return F.when(unicode, wide.cast("binary")).when(plain, payload).otherwise(wide.cast("binary"))
+
+
 # Characters of a password that count.
 PASSWORD_CHARS = 127
 

@@ -154,3 +154,42 @@ def from_dos_time(n: Column) -> Column:
     part = lambda bits, width: F.shiftright(n, bits).bitwiseAND((1 << width) - 1)
     cell = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", part(25, 7) + 1980, part(21, 4), part(16, 5), part(11, 5), part(5, 6), part(0, 5) * 2)
     return F.try_to_timestamp(cell, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+
+
+def civil(seconds: Column, offset: int = 0) -> Column:
+    """Year, month, day, hour, minute and second of an epoch time at an offset of seconds from UTC; no zone counts."""
+    days = F.floor((seconds + offset) / 86400).cast("int")
+    rest = (seconds + offset) - days.cast("long") * 86400
+    day = F.date_from_unix_date(days)
+    fields = {"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day), "hour": F.floor(rest / 3600), "minute": F.floor(rest % 3600 / 60), "second": rest % 60}
+    return F.struct(*[v.cast("int").alias(k) for k, v in fields.items()])
+
+
+def from_civil(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, offset: int = 0) -> Column:
+    """Epoch seconds of civil fields at an offset; days beyond the month's end run on into the next."""
+    first = F.unix_date(F.make_date(year, month, F.lit(1))).cast("long")
+    return (first + day - 1) * 86400 + hour * 3600 + minute * 60 + second - offset
+
+
+# The least dictionary, the one that is taken without a request, the largest by its logarithm, and where explicit sizes begin.
+LEAST_DICTIONARY, USUAL_DICTIONARY, MOST_LOG, EXPLICIT_FROM = 128 << 10, 32 << 20, 15, 4 << 30
+
+
+def dictionary_fields(size: Column, log: Column, requested: Column, always: bool = False) -> Column:
+    """``log, explicit`` of a member of ``size`` bytes: no dictionary is larger than twice the largest power of two in the size.
+
+    ``log`` is a requested logarithm, ``requested`` a requested number of bytes; either may be null.  An
+    explicit size is kept only beyond 4 GiB, or ``always``.
+    """
+    bits = F.length(F.bin(F.greatest(size, F.lit(1))))  # the power of two is 1 << bits - 1
+    cap = F.greatest(F.when(bits < 62, F.expr("1L") * F.pow(F.lit(2.0), bits).cast("long")).otherwise(F.lit((1 << 63) - 1)), F.lit(LEAST_DICTIONARY))
+    fit = lambda target: F.least(F.greatest(F.ceil(F.log2(target / LEAST_DICTIONARY)), F.lit(0)), F.lit(MOST_LOG)).cast("int")
+    by_log = fit(F.least(cap, F.coalesce(dictionary_bytes(log), F.lit(USUAL_DICTIONARY))))
+    capped = F.least(requested, cap)
+    declared = F.greatest(capped, F.lit(LEAST_DICTIONARY))
+    window = F.least(by_log, F.floor(F.log2(declared / LEAST_DICTIONARY)).cast("int"))
+    explicit = F.lit(always) | (capped > EXPLICIT_FROM)
+    return F.struct(
+        F.when(requested.isNull(), by_log).when(explicit, window).otherwise(fit(capped)).alias("log"),
+        F.when(requested.isNotNull() & explicit, declared).alias("explicit"),
+    )

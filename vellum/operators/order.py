@@ -36,6 +36,22 @@ def deepest_first(directories: DataFrame) -> DataFrame:
     return directories.withColumn("depth", paths.depth(F.col("name")).cast("long")).orderBy(F.desc("depth"), "name")
 
 
+def files_then_directories(entries: DataFrame) -> DataFrame:
+    """Files in their order, then directories, the deepest first and those of one depth in their order; as a rank."""
+    down = F.when(F.col("is_dir"), -paths.depth(F.rtrim("name", F.lit("/")))).otherwise(0).cast("long")
+    keyed = entries.select("ord", "name", F.col("is_dir").cast("int").alias("_dir"), down.alias("_down"))
+    ranked = running_total(keyed, ["_dir", "_down", "ord"], F.lit(1), "before")
+    return ranked.select("ord", "name", (F.col("before") + 1).alias("position"))
+
+
+def listed_order(members: DataFrame, masks: list[str]) -> DataFrame:
+    """Members by their place in an order list, those of one place in the order of solid compression; as a rank."""
+    placed = mask_order(members, masks).select(F.col("ord").alias("_ord"), "place")
+    keyed = members.join(placed, F.col("ord") == F.col("_ord")).select("ord", "name", "place", *[k.alias(f"_k{i}") for i, k in enumerate(solid_key())])
+    ranked = running_total(keyed, ["place", *[f"_k{i}" for i in range(5)]], F.lit(1), "before")
+    return ranked.select("ord", "name", (F.col("before") + 1).alias("position"))
+
+
 def mask_order(members: DataFrame, masks: list[str]) -> DataFrame:
     """The place of each member in an order list of masks on the basename.
 

@@ -26,9 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables below the shared one."""
+    return f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this application has written; results that read them are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}/{name}"
+    """``df`` as a table in the shared folder; it stays until ``clean``, as results are lazy."""
+    path = f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.ranges import running_total
+
 
 def merge_fragments(fragments: DataFrame) -> DataFrame:
     """Fold ``ord, volume, lo, hi, is_first, is_final`` into one row per member with its error.
@@ -27,6 +29,43 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
     return folded.select("ord", "fragments", "first_volume", "last_volume", "bytes", F.coalesce(error, F.lit("ok")).alias("state"))
 
 
+# Fragments of one member at most.
+MOST_FRAGMENTS = 65_536
+
+
+def merged_members(fragments: DataFrame, most: int = MOST_FRAGMENTS) -> DataFrame:
+    """Members of ``seq, name, attributes, crc, size, packed_size, from_before, goes_on``, headers in their order.
+
+    A member begins at each header that isn't continued and takes the continuations
+    behind it.  The first gives name and attributes, the last checksum and size; packed
+    sizes are added.  States: ``ok``; ``no start`` (a continuation of nothing);
+    ``interrupted`` and ``overlapping`` (another whole, or split, member begins before
+    the last fragment); ``no end``; ``too many fragments``; ``overflow``.
+    """
+    # A continuation belongs to the last beginning; numbers of beginnings are dealt by ranges.
+    begins = F.when(F.col("from_before"), 0).otherwise(1)
+    numbered = running_total(fragments, "seq", begins, "begun")
+    numbered = numbered.withColumn("_member", F.col("begun") + F.when(F.col("from_before"), 0).otherwise(1))
+    head = F.struct("seq", "name", "attributes", "from_before", "goes_on")
+    ends = F.min(F.when(~F.col("goes_on"), F.col("seq")))
+    folded = numbered.groupBy("_member").agg(
+        F.min(head).alias("first"), F.max_by(F.struct("crc", "size", "goes_on"), "seq").alias("last"), F.count(F.lit(1)).alias("fragments"),
+        F.sum(F.col("packed_size").cast("decimal(20,0)")).alias("packed"), ends.alias("end"), F.max("seq").alias("last_seq"),
+    )
+    after = folded.select((F.col("_member") - 1).alias("_of"), F.col("first.goes_on").alias("next_split"))
+    both = folded.join(after, F.col("_member") == F.col("_of"), "left")
+    state = (
+        F.when(F.col("first.from_before") | (F.col("end") < F.col("last_seq")), "no start")
+        .when(F.col("fragments") > most, "too many fragments").when(F.col("packed") > (1 << 63) - 1, "overflow")
+        .when(F.col("last.goes_on") & F.col("next_split").isNull(), "no end").when(F.col("last.goes_on") & F.col("next_split"), "overlapping").when(F.col("last.goes_on"), "interrupted").otherwise("ok")
+    )
+    good = state == "ok"
+    return both.select(
+        F.col("first.seq").alias("seq"), F.col("first.name").alias("name"), F.col("first.attributes").alias("attributes"), "fragments",
+        F.when(good, F.col("last.crc")).alias("crc"), F.when(good, F.col("last.size")).alias("size"), F.when(good, F.col("packed").cast("long")).alias("packed_size"), state.alias("state"),
+    )
+
+
 def recovery_volume_count(volumes: Column, percent: int) -> Column:
     """``max(1, ceil(percent of volumes))``, at most as many as the volumes."""
     return F.least(F.greatest(F.ceil(volumes * percent / 100).cast("long"), F.lit(1).cast("long")), volumes.cast("long"))

@@ -652,6 +652,66 @@ def checked_total_overflow(s, d):
     return select.checked_total(table(s, d, "orders").select(F.lit((1 << 63) - 1).alias("size")))
 
 
+@query(M + ", e AS (SELECT ord, name, ord % 5 = 0 AS is_dir, CASE WHEN ord % 5 = 0 THEN -(length(name) - length(replace(name, '/', ''))) ELSE 0 END AS down FROM (SELECT ord, CASE WHEN ord % 2 = 0 THEN source ELSE name END AS name FROM members)) SELECT ord, name, row_number() OVER (ORDER BY is_dir, down, ord) AS position FROM e")
+def files_then_directories(s, d):
+    name = F.when(F.col("ord") % 2 == 0, F.col("source")).otherwise(F.col("name"))
+    return order.files_then_directories(members(s, d).select("ord", name.alias("name"), (F.col("ord") % 5 == 0).alias("is_dir")))
+
+
+@query(M + ", p AS (SELECT ord, name, size, CASE WHEN ends_with(name, '1.md') THEN 3 WHEN ends_with(name, '.md') THEN 0 WHEN ends_with(name, '.LOG') THEN 2 ELSE 1 END AS place FROM members) SELECT ord, name, row_number() OVER (ORDER BY place, lower(" + _EXT + "), lower(split_part(name, '/', -1)), size, lower(name), ord) AS position FROM p")
+def listed_order(s, d):
+    return order.listed_order(members(s, d).select("ord", "name", "size"), ["*.md", "$default", "*.LOG", "*1.md"])
+
+
+# Headers of a set: each order is a member of up to five fragments; the first or third of some is lost.
+_HEADERS = "h AS (SELECT o_orderkey * 10 + line AS seq, o_orderkey AS k, line > 1 AS from_before, line < o_custkey % 5 + 1 AS goes_on, o_custkey * line AS packed_size FROM orders, range(1, 6) AS r(line) WHERE line <= o_custkey % 5 + 1 AND NOT (o_orderkey % 5 = 1 AND line = 1) AND NOT (o_orderkey % 7 = 1 AND line = 3))"
+
+
+def _headers(s, d):
+    line, k, n = F.col("line"), F.col("o_orderkey"), F.col("o_custkey") % 5 + 1
+    h = table(s, d, "orders").withColumn("line", F.explode(F.sequence(F.lit(1).cast("long"), n))).where(~((k % 5 == 1) & (line == 1)) & ~((k % 7 == 1) & (line == 3)))
+    return h.select((k * 10 + line).alias("seq"), k.alias("k"), (line > 1).alias("from_before"), (line < n).alias("goes_on"), (F.col("o_custkey") * line).alias("packed_size"))
+
+
+@query("WITH " + _HEADERS + """, m AS (SELECT *, sum(CASE WHEN from_before THEN 0 ELSE 1 END) OVER (ORDER BY seq) AS member FROM h),
+g AS (SELECT member, min(seq) AS seq, arg_min(k, seq) AS k, arg_min(from_before, seq) AS headless, arg_min(goes_on, seq) AS split, arg_max(goes_on, seq) AS open, count(*) AS fragments, CAST(sum(packed_size) AS BIGINT) AS packed, min(seq) FILTER (NOT goes_on) AS fin, max(seq) AS last, arg_max(packed_size, seq) AS size FROM m GROUP BY member),
+s AS (SELECT *, CASE WHEN headless OR fin < last THEN 'no start' WHEN open THEN CASE WHEN lead(split) OVER (ORDER BY member) IS NULL THEN 'no end' WHEN lead(split) OVER (ORDER BY member) THEN 'overlapping' ELSE 'interrupted' END ELSE 'ok' END AS state FROM g)
+SELECT seq, 'm' || k AS name, k % 512 AS attributes, fragments, CASE WHEN state = 'ok' THEN last END AS crc, CASE WHEN state = 'ok' THEN size END AS size, CASE WHEN state = 'ok' THEN packed END AS packed_size, state FROM s""")
+def merged_headers(s, d):
+    h = _headers(s, d).select("seq", F.concat(F.lit("m"), F.col("k").cast("string")).alias("name"), (F.col("k") % 512).alias("attributes"), F.col("seq").alias("crc"), F.col("packed_size").alias("size"), "packed_size", "from_before", "goes_on")
+    return volumes.merged_members(h)
+
+
+@query("SELECT event_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second, epoch_us(ts) // 1000000 AS back FROM (SELECT event_id, ts - to_seconds(event_id * 100000) AS ts FROM events)")
+def civil_time(s, d):
+    seconds = F.floor(_micros(F.col("ts")) / 1_000_000).cast("long") - F.col("event_id") * 100_000
+    c = table(s, d, "events").select("event_id", cells.civil(seconds + 3600, -3600).alias("c"))
+    fields = [F.col(f"c.{x}") for x in ("year", "month", "day", "hour", "minute", "second")]
+    return c.select("event_id", "c.*", cells.from_civil(*fields).cast("long").alias("back"))
+
+
+_POWERS = "list_min(list_transform(list_filter(range(0, 16), lambda i: (131072::HUGEINT << i) >= {0} OR i = 15), lambda i: i))"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, o_orderkey * o_custkey * 977 AS size, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 12 END AS log, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 20 + 1) * 500000000 END AS requested FROM orders),
+c AS (SELECT *, greatest(2 * list_max(list_filter(list_transform(range(0, 50), lambda i: 1::BIGINT << i), lambda x: x <= greatest(size, 1))), 131072) AS cap FROM p),
+b AS (SELECT *, {_POWERS.format("least(cap, CASE WHEN log IS NULL THEN 33554432 ELSE 131072 << CAST(log AS INT) END)")} AS by_log, CASE WHEN requested IS NOT NULL THEN least(requested, cap) END AS capped FROM c)
+SELECT o_orderkey, CAST(CASE WHEN requested IS NULL THEN by_log WHEN capped > 4294967296 THEN least(by_log, CAST(floor(log2(capped / 131072)) AS BIGINT)) ELSE {_POWERS.format("capped")} END AS INTEGER) AS log, CASE WHEN capped > 4294967296 THEN capped END AS explicit FROM b""")
+def dictionary_policy(s, d):
+    k = F.col("o_orderkey")
+    rows = table(s, d, "orders").select(k, (k * F.col("o_custkey") * 977).alias("size"), F.when(k % 3 == 0, k % 12).alias("log"), F.when(k % 2 == 0, (F.col("o_custkey") % 20 + 1) * 500_000_000).alias("requested"))
+    return rows.select("o_orderkey", cells.dictionary_fields(F.col("size"), F.col("log"), F.col("requested")).alias("f")).select("o_orderkey", "f.*")
+
+
+@query("SELECT page_id, page_id % 3 AS kind, 'é' || url AS text FROM pages")
+def comment_codec(s, d):
+    text = F.concat(F.lit("é"), F.col("url"))
+    kind = F.col("page_id") % 3
+    # A comment that isn't UTF-8 and isn't marked is told by its bytes.
+    payload = F.when(kind == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "UTF-16LE"))
+    return table(s, d, "pages").select("page_id", kind.alias("kind"), binary.comment_text(payload, kind == 1).cast("string").alias("text"))
+
+
 # Runs of neighbours
 
 _SOLID = "WITH m AS (SELECT o_orderkey AS ord, o_orderkey % 11 = 0 AS is_dir, o_custkey % 4 > 0 AS solid FROM orders), f AS (SELECT ord, solid, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (ORDER BY ord) AS chain, row_number() OVER (ORDER BY ord) AS k FROM m WHERE NOT is_dir), c AS (SELECT chain, min(ord) AS first_ord, max(ord) AS last_ord, arg_max(solid, ord) AS ends FROM f GROUP BY chain), p AS (SELECT ord, coalesce(count(*) FILTER (NOT is_dir) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS k FROM m) SELECT p.ord, first_ord, last_ord FROM p JOIN f USING (k) JOIN c USING (chain)"

@@ -19,7 +19,7 @@ def assemble(fragments: DataFrame) -> DataFrame:
     batch that is run again after a failure replaces its rows.
     """
     spark = fragments.sparkSession
-    base = f"{ranges.shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+    base = f"{ranges.session_dir(spark)}/{uuid.uuid4().hex}"
     merged = volumes.merge_fragments(fragments)
 
     def put(batch: DataFrame, number: int) -> None:
