@@ -77,6 +77,18 @@ def test_token_counts(spark, bytes_bpe):
     assert token_counts.token_counts(empty(spark), public_tokenizers.path("byte_bpe_50k.json"), 9).count() == 0
 
 
+def test_vocabularies_of_other_kinds_are_refused(tmp_path):
+    specs = {n: json.load(open(public_tokenizers.path(n), encoding="utf-8")) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    for module, own, other in ((token_counts, "byte_bpe_50k.json", "word_bpe_49k.json"), (packing, "word_bpe_49k.json", "byte_bpe_50k.json")):
+        module.check_vocabulary(specs[own])
+        with pytest.raises(ValueError):
+            module.check_vocabulary(specs[other])
+        with pytest.raises(ValueError, match="added_tokens"):
+            module.check_vocabulary(specs[own] | {"added_tokens": [specs[own]["added_tokens"][0] | {"lstrip": True}]})
+        with pytest.raises(ValueError, match="pre_tokenizer"):
+            module.check_vocabulary(specs[own] | {"pre_tokenizer": {"type": "Whitespace"}})
+
+
 def test_truncate_needs_no_encoding(spark):
     docs = documents(spark, ["one two three four", "one"])
     counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)

@@ -46,13 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables below the shared one."""
+    return f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this application has written; results that read them are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs a reread, not a recomputation.
+    It cuts the lineage: a lost executor costs a reread, not a recomputation.  The
+    table stays until ``clean``, as results are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}/{name}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,6 +19,7 @@ read.  A text of any length is cut into pieces of at most one sequence.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,24 @@ JOINED = 500
 WINDOW = 256
 
 
+# The pattern that splits texts of such a vocabulary.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_vocabulary(spec: dict) -> None:
+    """Refuse a vocabulary whose tokens may depend on more than one word: its ids would be wrong."""
+    flat = lambda section, inner: (section or {}).get(inner) or [section or {}]
+    steps, splits, model = flat(spec.get("normalizer"), "normalizers"), flat(spec.get("pre_tokenizer"), "pretokenizers"), spec["model"]
+    known = {
+        "normalizer": [n.get("type") for n in steps] == ["NFC", "Replace", "Lowercase"] and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " "),
+        "pre_tokenizer": [t.get("type") for t in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == {"Regex": SPLIT} and splits[0].get("behavior") == "Removed" and bool(splits[0].get("invert")) and not splits[1].get("add_prefix_space") and not splits[1].get("use_regex"),
+        "model": model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]),
+    }
+    if bad := [name for name, fine in known.items() if not fine]:
+        raise ValueError(f"not a vocabulary of words: {', '.join(bad)}")
+
+
 class WordEncoder:
     """Token ids of texts for a vocabulary whose tokens never span white space.
 
@@ -49,6 +68,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        check_vocabulary(json.loads(self.library.to_str()))
         self.library.no_truncation()
         self.library.no_padding()
         self._encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)

@@ -65,12 +65,26 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_vocabulary(spec: dict) -> None:
+    """Refuse a vocabulary whose settings the dynamic program doesn't know: its counts would be wrong."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    known = {
+        "normalizer": spec.get("normalizer") is None,
+        "pre_tokenizer": split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True),
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if bad := [name for name, fine in known.items() if not fine]:
+        raise ValueError(f"not a plain byte-level BPE vocabulary: {', '.join(bad)}")
+
+
 class PrefixCounter:
     """Exact token counts of the prefixes of texts, for one byte-level BPE vocabulary."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_vocabulary(spec)
         byte = _byte_of_char()
         raw = lambda s: bytes(byte[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
