@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,28 +73,37 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self._encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self._tokenize = self.library.model.tokenize
         self.cache: dict[str, bytes] = {"": b""}
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words of letters many at a time; the ids that end a word tell them apart."""
-        single = [w for w in words if not w.isalpha()]
-        letters = [w for w in words if w.isalpha()]
+        """Encode new words: those of ASCII letters, in lower case already, by the model alone, whose one piece they
+        are; other words of letters many at a time, told apart by the ids that end a word."""
+        cache, tokenize = self.cache, self._tokenize
+        single, letters = [], []
+        for w in words:
+            if not w.isalpha():
+                single.append(w)
+            elif w.isascii() and w.islower():
+                cache[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+            else:
+                letters.append(w)
         for at in range(0, len(letters), JOINED):
             some = letters[at : at + JOINED]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):  # a letter has become more than letters in lower case
                 single += some
                 continue
             raw, low = ids.tobytes(), 0
             for word, high in zip(some, (4 * ends).tolist()):
-                self.cache[word] = raw[low:high]
+                cache[word] = raw[low:high]
                 low = high
         for word, found in zip(single, self._encode(single, add_special_tokens=False)):
-            self.cache[word] = np.array(found.ids, "<u4").tobytes()
+            cache[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
