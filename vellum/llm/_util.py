@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -98,6 +99,8 @@ class WordHashes(dict):
 
 #: The one cache of word hashes in a worker, whichever operators it runs.
 _words = WordHashes()
+#: What an operator keeps in a worker from task to task, by its name: the next operator's first task empties it.
+kept: dict[str, dict] = {}
 
 
 def segments(text: bytes) -> Iterator[bytes]:
@@ -126,18 +129,31 @@ def hash_words(texts: Iterable[bytes]) -> np.ndarray:
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def trim() -> None:
+    """Give free pages back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def releasing(run: Run) -> Run:
-    """``run``, which leaves no cache and no free pages behind in the worker that the next task reuses."""
+    """``run``, which finds no other operator's cache in its worker and leaves no cache and no free pages behind there."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Imported by name: a closure would bring a copy of the module's cache along.
         from vellum.llm import _util
 
+        if _util.kept:
+            for cache in _util.kept.values():
+                cache.clear()
+            _util.kept.clear()
+            _util.trim()
         try:
             yield from run(batches)
         finally:
             _util._words.clear()
-            pa.default_memory_pool().release_unused()
+            _util.trim()
 
     return task
 

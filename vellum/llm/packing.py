@@ -134,6 +134,7 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _util.kept[__name__] = _encoders
     return _encoders[path]
 
 
