@@ -42,3 +42,34 @@ def test_columns_keep_nulls(spark):
     got = [r.x and bytes(r.x) for r in data.select(filters.x86_filter(F.col("data"), F.col("at")).alias("x")).collect()]
     assert got == [None, b"\xe8\x0a\x00\x00\x00", b"\xe9\x01\x00\x00\x00"]
     assert data.limit(0).select(filters.arm_filter(F.col("data"), F.lit(9))).count() == 0
+
+
+def plain_sums(raw, channels):
+    before, total, small = [0] * channels, 0, 0
+    for at, byte in enumerate(raw):
+        left = (before[at % channels] - byte) % 256
+        total, small = total + left, small + (left <= 8)
+        before[at % channels] = byte
+    return total, small
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 15, 16, 17, 700])
+def test_differences_against_a_plain_loop(n):
+    raw = random.Random(n).randbytes(n)
+    for channels in filters.CHANNELS:
+        assert filters.delta_sums(raw, channels) == plain_sums(raw, channels)
+
+
+def test_channels(spark):
+    falling = bytes(b for k in range(400) for b in (255 - k // 2 % 200, 40 + 3 * (k % 2 == 0), 9))
+    rows = [(0, None), (1, b""), (2, b"x" * 5000), (3, random.Random(1).randbytes(9000)), (4, falling), (5, falling[:255]), (6, b"ab" * 200), (7, falling + random.Random(2).randbytes(200_000))]
+    # Only the head counts: noise after it changes nothing, noise within it does.
+    rows.append((8, falling * 60 + random.Random(2).randbytes(200_000)))
+    data = spark.createDataFrame(rows, "k int, data binary")
+    got = {r.k: r.c for r in data.select("k", filters.delta_channels(F.col("data")).alias("c")).collect()}
+    assert {k: got[k] for k in (0, 1, 2, 3, 5, 7)} == dict.fromkeys((0, 1, 2, 3, 5, 7))
+    for k in (4, 6, 8):
+        head = rows[k][1][:65536]
+        assert got[k] == min(filters.CHANNELS, key=lambda c: plain_sums(head, c)[0])
+    sums = data.where("k < 2").select("k", filters.delta_statistics(F.col("data"), 3).alias("s")).select("k", "s.*").collect()
+    assert {tuple(r) for r in sums} == {(0, None, None), (1, 0, 0)}

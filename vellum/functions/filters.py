@@ -6,12 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, IntegerType
 
 # Opcodes of near calls and jumps, the last byte of a linked branch, the size of the address space.
 CALL, JUMP, BRANCH, SPACE = 0xE8, 0xE9, 0xEB, 1 << 24
 # Bytes between two windows, bytes of a window, and the fewest windows that can be judged.
 STRIDE, WINDOW, LEAST_WINDOWS = 16, 4, 4096
+# Channel counts that are tried, the fewest bytes they are tried on, the bytes of the head that is looked at, and the largest small difference.
+CHANNELS, LEAST_BYTES, HEAD, SMALL = (1, 2, 3, 4, 6, 8, 9, 12, 16), 256, 64 << 10, 8
 
 
 def _opcodes(data: np.ndarray, jumps: bool) -> np.ndarray:
@@ -85,3 +87,44 @@ def distinct_window_percent(data: Column, least: int = LEAST_WINDOWS) -> Column:
     n = window_count(data)
     windows = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.hex(F.substring(data, k * STRIDE + 1, F.lit(WINDOW))))
     return F.when(n >= max(least, 1), F.floor(F.size(F.array_distinct(windows)) * 100 / n).cast("int"))
+
+
+def delta_sums(raw: bytes, channels: int) -> tuple[int, int]:
+    """The sum of the differences that ``channels`` interleaved channels leave, as bytes, and how many are small."""
+    data = np.frombuffer(raw, np.uint8)
+    before = np.concatenate([np.zeros(channels, np.uint8), data])[: len(data)]
+    left = before - data  # modulo 256
+    return int(left.sum(dtype=np.int64)), int((left <= SMALL).sum())
+
+
+def best_channels(raw: bytes) -> int | None:
+    """The channel count whose differences have the smallest sum, the lower of equals.
+
+    None where a filter isn't worth it: too few bytes, one byte all along, or
+    half of the head's differences aren't small with any count.  A head without
+    a single small difference isn't refused.
+    """
+    if len(raw) < LEAST_BYTES or raw.count(raw[0]) == len(raw):
+        return None
+    head = raw[:HEAD]
+    sums, small = zip(*(delta_sums(head, c) for c in CHANNELS))
+    if 0 < 2 * max(small) < len(head):
+        return None
+    return CHANNELS[sums.index(min(sums))]
+
+
+def delta_statistics(data: Column, channels: int) -> Column:
+    """``magnitude`` and ``near_zero`` of the differences of a member's bytes; null data gives nulls."""
+
+    @F.pandas_udf("magnitude long, near_zero long")
+    def run(data: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if b is None else delta_sums(bytes(b), channels) for b in data]
+        return pd.DataFrame(found, columns=["magnitude", "near_zero"], dtype="Int64")
+
+    return run(data)
+
+
+@F.pandas_udf(IntegerType())
+def delta_channels(data: pd.Series) -> pd.Series:
+    """``best_channels`` of a column; null data gives null."""
+    return pd.Series([None if b is None else best_channels(bytes(b)) for b in data], dtype="Int32")

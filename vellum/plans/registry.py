@@ -453,6 +453,19 @@ def window_screen(s, d):
     return data.select("doc_id", filters.window_count(F.col("data")).alias("windows"), filters.distinct_window_percent(F.col("data"), 64).alias("percent"))
 
 
+@query("""WITH b AS (SELECT l_suppkey, list_transform(string_split(left(string_agg(l_returnflag || l_linestatus, '' ORDER BY l_orderkey, l_linenumber, l_returnflag, l_linestatus), 65536), ''), lambda c: ascii(c)) AS x FROM lineitem GROUP BY l_suppkey),
+d AS (SELECT l_suppkey, len(x) AS n, len(list_distinct(x)) AS kinds, ch, list_transform(range(1, len(x) + 1), lambda i: ((CASE WHEN i > ch THEN x[i - ch] ELSE 0 END) - x[i] + 256) % 256) AS y FROM b, (SELECT unnest([1, 2, 3, 4, 6, 8, 9, 12, 16]) AS ch)),
+t AS (SELECT l_suppkey, n, kinds, ch, CAST(list_sum(y) AS BIGINT) AS m, len(list_filter(y, lambda v: v <= 8)) AS z FROM d)
+SELECT l_suppkey, CAST(max(m) FILTER (ch = 2) AS BIGINT) AS magnitude, CAST(max(z) FILTER (ch = 2) AS BIGINT) AS near_zero,
+CASE WHEN max(n) >= 256 AND max(kinds) > 1 AND (max(z) = 0 OR 2 * max(z) >= max(n)) THEN CAST(min(m * 100 + ch) % 100 AS INTEGER) END AS channels FROM t GROUP BY l_suppkey""")
+def delta_statistics(s, d):
+    flags = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")))
+    text = F.array_join(F.transform(flags, lambda x: F.concat(x["l_returnflag"], x["l_linestatus"])), "")
+    data = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.substring(text, 1, filters.HEAD).cast("binary").alias("data"))
+    found = data.select("l_suppkey", filters.delta_statistics(F.col("data"), 2).alias("sums"), filters.delta_channels(F.col("data")).alias("channels"))
+    return found.select("l_suppkey", "sums.magnitude", "sums.near_zero", "channels")
+
+
 # Sources, containers, streams
 
 @query(M + "SELECT name, size, mtime_s, version, md5, 'ok' AS state FROM members")
