@@ -128,6 +128,39 @@ def test_packing_is_a_round_trip(spark, parts):
     assert packing.pack(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_asks_the_library_for_each_word_once(monkeypatch):
+    words, asked = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda *groups: (asked.extend(w for g in map(list, groups) for w in g), learn(*map(list, groups))))
+    monkeypatch.setattr(packing, "CACHE", 3)
+    first = words.encode(["Éclair éclair&&& ÉCLAIR, stone Stone!!"])
+    assert sorted(asked) == ["!!", "&&&", ",", "stone", "éclair"]
+    # A full cache keeps what the next texts need.
+    assert words.encode(["stone Stone!! ÉCLAIR,"]) != first and len(asked) == 5
+    assert set(words.cache) == {"", "stone", "Stone!!", "ÉCLAIR,"}
+
+
+def test_packing_words_equal_the_library():
+    words, rng = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(6)
+    letters = [chr(k) for k in range(33, 0x250)]
+    parts = ["the", "ing", "ño", "É", "œ", "İ", "ŉ", "ſ", "ǅ", "ª", "K", "क़", "$$$", ".", "!?", "'s", "'", "7", "漢", "\u0301", "<|endoftext|>", "<|ENDOFTEXT|>", "😀", "\t", "\x1c", "\xa0", " ", "\n"]
+    texts = ["", "İ.", "क़. x", *letters, *[f"x{c}e! {c}{c}" for c in letters], *["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(800)]]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_reads_bytes_that_are_no_text():
+    import pyarrow as pa
+
+    assert packing._strings(pa.array([b"a\xffb", "é".encode(), b""])).to_pylist() == ["a\ufffdb", "é", ""]
+
+
+def test_packing_refuses_added_tokens_inside_words():
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    with pytest.raises(ValueError, match="added_tokens"):
+        packing.check_vocabulary(spec | {"added_tokens": [spec["added_tokens"][0] | {"content": "ing!"}]})
+
+
 def test_balance_evens_the_cost():
     rng = random.Random(6)
     pieces = [packing.Piece(k, 0, bytes(4 * n), n) for k, n in enumerate(rng.choice([20, 100, 700, 3000]) for _ in range(300))]

@@ -21,27 +21,35 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import add
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import _util
 
-#: Entries that the word cache of one Python worker holds at most; a full cache is emptied.
+#: Entries that the word cache of one Python worker holds at most; of a full cache the words of the next texts stay.
 CACHE = 600_000
 #: Words that are encoded together.
 JOINED = 500
+#: Texts whose distinct words are looked up together.
+TOGETHER = 100
 #: Full sequences in one window.
 WINDOW = 256
 
 
 # The pattern that splits texts of such a vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Latin letters that lower-case one by one to letters of the same kind and are their own normal form, and ASCII marks
+# after them.  U+0130 is left out, it becomes two characters; an apostrophe may belong to what follows it.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def check_vocabulary(spec: dict) -> None:
@@ -52,7 +60,7 @@ def check_vocabulary(spec: dict) -> None:
         "normalizer": [n.get("type") for n in steps] == ["NFC", "Replace", "Lowercase"] and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " "),
         "pre_tokenizer": [t.get("type") for t in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == {"Regex": SPLIT} and splits[0].get("behavior") == "Removed" and bool(splits[0].get("invert")) and not splits[1].get("add_prefix_space") and not splits[1].get("use_regex"),
         "model": model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
-        "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]),
+        "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]) and not any(LATIN(t["content"]) for t in spec.get("added_tokens", [])),
     }
     if bad := [name for name, fine in known.items() if not fine]:
         raise ValueError(f"not a vocabulary of words: {', '.join(bad)}")
@@ -67,65 +75,94 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         check_vocabulary(json.loads(self.library.to_str()))
         self.library.no_truncation()
         self.library.no_padding()
-        self._encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        self._tokenize = self.library.model.tokenize
+        # The same model, for words that are one piece and in normal form already.
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {"": b""}
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words: those of ASCII letters, in lower case already, by the model alone, whose one piece they
-        are; other words of letters many at a time, told apart by the ids that end a word."""
-        cache, tokenize = self.cache, self._tokenize
-        single, letters = [], []
+    def _learn(self, words: Iterable[str], latin: Iterable[str]) -> None:
+        """Encode new words: those of letters many at a time, told apart by the ids that end a word; ``latin`` ones,
+        in lower case, by the model alone, whose one piece each of them is."""
+        cache, single, letters = self.cache, [], []
         for w in words:
-            if not w.isalpha():
-                single.append(w)
-            elif w.isascii() and w.islower():
-                cache[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
-            else:
-                letters.append(w)
-        for at in range(0, len(letters), JOINED):
-            some = letters[at : at + JOINED]
-            ids = np.array(self._encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):  # a letter has become more than letters in lower case
-                single += some
-                continue
-            raw, low = ids.tobytes(), 0
-            for word, high in zip(some, (4 * ends).tolist()):
-                cache[word] = raw[low:high]
-                low = high
-        for word, found in zip(single, self._encode(single, add_special_tokens=False)):
+            (letters if w.isalpha() else single).append(w)
+        for library, group in ((self.plain, list(latin)), (self.library, letters)):
+            encode = getattr(library, "encode_batch_fast", library.encode_batch)
+            for at in range(0, len(group), JOINED):
+                some = group[at : at + JOINED]
+                ids = np.array(encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(some):  # a letter has become more than letters in lower case
+                    single += some
+                    continue
+                raw, low = ids.tobytes(), 0
+                for word, high in zip(some, (4 * ends).tolist()):
+                    cache[word] = raw[low:high]
+                    low = high
+        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        for word, found in zip(single, encode(single, add_special_tokens=False)):
             cache[word] = np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray | list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        return [ids for at in range(0, len(texts), TOGETHER) for ids in self._encode(texts[at : at + TOGETHER])]
+
+    def _encode(self, texts: pa.StringArray) -> list[bytes]:
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.values.dictionary_encode()
+        seen = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.cache) > CACHE:  # only what these texts need stays
+            self.cache = {w: self.cache[w] for w in ["", *seen] if w in self.cache}
         cache = self.cache
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in cache}
-        # A word of letters alone and the mark after it are separate for the library too,
+        known = list(map(cache.get, seen))
+        places = [k for k, found in enumerate(known) if found is None]
+        new = [seen[k] for k in places]
+        # A word that is letters alone once normalized and the marks after it are separate for the library too,
         # and the library lower-cases: the shorter form is looked up in place of each variant.
-        base = {}
+        stems, tails, latin, other = [], [], set(), set()
         for w in new:
-            stem, tail = (w[:-1], w[-1]) if w[-1] in ".,!?;:" and w[:-1].isalpha() else (w, "")
-            if stem.isascii() and stem.isalpha():
+            if found := LATIN(w):
+                stem, tail = found.groups()
                 stem = stem.lower()
-            base[w] = (stem, tail)
-        wanted = {x for pair in base.values() for x in pair if x not in cache}
-        self._learn(list(wanted))
-        for w, (stem, tail) in base.items():
-            cache[w] = cache[stem] + cache[tail]
+                latin.add(stem)
+            else:
+                stem, tail = (w[:-1], w[-1]) if w[-1] in ".,!?;:" and normalize("NFC", w[:-1]).lower().isalpha() else (w, "")
+                other.add(stem)
+            stems.append(stem)
+            tails.append(tail)
+        other.update(tails)
+        self._learn(other.difference(cache, latin), latin.difference(cache))
         get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for k, w, found in zip(places, new, map(add, map(get, stems), map(get, tails))):
+            known[k] = cache[w] = found
+        # The ids of the distinct words in a row; each word of the texts takes its run of them.
+        ids, size = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        word = coded.indices.to_numpy()
+        runs = size[word]
+        ends = np.concatenate([[0], np.cumsum(runs)])
+        at = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], runs)
+        at += np.arange(len(at))
+        raw, cuts = ids[at].tobytes(), (4 * ends[words.offsets.to_numpy()]).tolist()
+        return [raw[low:high] for low, high in zip(cuts, cuts[1:])]
+
+
+def _strings(texts: pa.BinaryArray) -> pa.StringArray:
+    """Bytes as text; what isn't UTF-8 is replaced."""
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -241,8 +278,7 @@ def pack(
         open_pieces: list[Piece] = []
         tokens = 0
         for batch in batches:
-            texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(_strings(batch.column(1)))):
                 p = Piece(doc, 0, memoryview(ids + tail), (len(ids) >> 2) + 1)
                 while p.length > size:
                     whole, p = p.cut(size)
